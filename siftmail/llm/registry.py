@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("host_rules",)
+MODULES = ("host_rules", "lang_spans")
 
 
 def _merged(name: str) -> dict:
