@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("host_rules", "lang_spans")
+MODULES = ("host_rules", "lang_spans", "toxic_lexicon")
 
 
 def _merged(name: str) -> dict:
