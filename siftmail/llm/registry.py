@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("host_rules", "lang_spans", "toxic_lexicon")
+MODULES = ("host_rules", "lang_spans", "minmax_dedup", "toxic_lexicon")
 
 
 def _merged(name: str) -> dict:
