@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("host_rules", "lang_spans", "minmax_dedup", "toxic_lexicon")
+MODULES = ("chunked_bpe", "host_rules", "lang_spans", "minmax_dedup", "toxic_lexicon", "unigram_count")
 
 
 def _merged(name: str) -> dict:
