@@ -8,10 +8,11 @@ similarity 0.8 shares none with probability (1 - 0.8^4)^24 = 3e-6.
 
 Links. 1. Equal sets form classes (aggregation by a 128-bit hash of the set); one document stands for a class, and
 copies are never paired. 2. Each class is compared with the smallest class that it shares a band with; confirmed
-links are joined into components. 3. Within each band bucket that still holds several components, members of
-different components are compared, and components joined again. A pair is left out only if its members are already
-connected, or if their set sizes alone exclude the similarity; so the components are those of all links between
-candidates. Buckets of any size take part: pairs are dealt in blocks over tasks, and nothing is capped.
+links are joined into components. 3. All members of band buckets that still hold several components are compared
+across components by an exact prefix filter on their shingles, rarest first, and components joined again. A pair is
+left out only if its members are already connected or if sizes or prefixes exclude the similarity, so the components
+are those of all links between candidates. Buckets of any size take part, nothing is capped, and members of one
+component are never paired.
 
 Skew. Copies and bucket minima are aggregated before they move; joins on a hot class, bucket or root read plain
 tables on both sides, so that AQE splits them.
@@ -23,6 +24,7 @@ the input are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,9 @@ from pyspark.sql import functions as F
 from .common import saved
 from .shingles import WordHashes, mixed, shingle_set
 
+#: Ratio of the size classes in which candidate partners are sought.
+STEP = 1.04
+
 
 def min_max(hashes: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     """Minimum and maximum of a set under each permutation, in turn: 2 * perms values."""
@@ -127,16 +132,51 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _cross_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) within a bucket whose components differ and whose sizes allow the similarity. ``buckets``: bucket,
-    node, n, label. Sizes of a linked pair are within the percentage of each other, so members are matched only with
-    those of their own and the next size class; buckets of one component are left out first."""
-    mixed_only = buckets.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    rows = saved(buckets.join(mixed_only, "bucket", "left_semi").withColumn("c", F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)) + 1e-9)), "mixed")
-    x = rows.select("bucket", F.col("c").alias("c"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = rows.select("bucket", F.explode(F.array("c", F.col("c") - 1, F.col("c") + 1)).alias("c"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return x.join(y, ["bucket", "c"]).where(fits).select("a", "b").distinct()
+def _elements(sets: DataFrame) -> DataFrame:
+    """node, g: one row per shingle of each set."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = [np.frombuffer(x.as_py(), np.int64) for x in part.column(1)]
+                node = np.repeat(part.column(0).to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], ["node", "g"])
+
+    return sets.mapInArrow(spread, "node long, g long")
+
+
+def _cross_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can be linked, among the members of buckets of several components.
+    ``buckets``: bucket, node, n, label.
+
+    Linked sets of sizes n and m share at least need = p (n + m) / (100 + p) shingles, so the two share one of the
+    first n - need + 1 and m - need + 1 of their own in any common order. The order is by number of sets that hold the
+    shingle, rarest first: what only one set holds comes first and meets nobody, and a set with too much of its own
+    drops out. A set takes part once for each class of partner sizes (powers of STEP), so that need is close. Every
+    pair of components at a shingle has a side outside its largest component, so only those are matched with all."""
+    split = buckets.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    nodes = saved(buckets.join(split, "bucket", "left_semi").select("node", "n", "label").distinct(), "mixed")
+    own = saved(_elements(sets.join(nodes.select("node"), "node", "left_semi").select("node", "shingles")), "elements")
+    held = saved(own.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "held")
+    lists = own.join(held, "g").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("common"))
+    n, p = F.col("n"), percent
+    size_class = F.floor(F.log(n.cast("double")) / F.log(F.lit(STEP)))
+    reach = math.ceil(math.log(100 / p) / math.log(STEP)) + 1
+    smallest = F.greatest(F.floor(F.pow(F.lit(STEP), F.col("d"))), F.ceil(p * n / 100))  # partner of the class
+    need = F.ceil(p * (n + smallest) / (100 + p) - 1e-6)
+    left = (n - need + 1 - (n - F.size("common"))).cast("int")  # the unshared stand first
+    heads = lists.join(nodes, "node").withColumn("c", size_class).withColumn("d", F.explode(F.sequence(F.col("c") - reach, F.col("c") + reach)))
+    heads = heads.where((F.pow(F.lit(STEP), F.col("d") + 1) * 100 >= p * n) & (smallest * p <= 100 * n) & (left > 0))
+    heads = heads.select("node", "n", "label", "c", "d", F.explode(F.slice("common", F.lit(1), F.greatest(left, F.lit(1)))).alias("e"))
+    heads = saved(heads.select("node", "n", "label", "c", "d", F.col("e.g").alias("g")), "heads")
+    key = [F.col("g"), F.least("c", "d").alias("s"), F.greatest("c", "d").alias("t")]
+    sizes = heads.select(*key, "label").groupBy("g", "s", "t", "label").agg(F.count(F.lit(1)).alias("k"))
+    largest = saved(sizes.groupBy("g", "s", "t").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("g", "s", "t", "major"), "largest")
+    x = heads.select(*key, F.col("c").alias("cx"), F.col("d").alias("dx"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")).join(largest, ["g", "s", "t"]).where("la <> major").drop("major")
+    y = heads.select(*key, F.col("c").alias("cy"), F.col("d").alias("dy"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    fits = (F.col("la") != F.col("lb")) & (F.col("cx") == F.col("dy")) & (F.col("cy") == F.col("dx")) & (100 * F.least("na", "nb") >= p * F.greatest("na", "nb"))
+    return saved(x, "minor").join(y, ["g", "s", "t"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -162,7 +202,7 @@ def near_duplicates(
 
     known = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = saved(_cross_pairs(known, percent).join(tested, ["a", "b"], "left_anti"), "rest")
+    rest = saved(_cross_pairs(known, sets, percent).join(tested, ["a", "b"], "left_anti"), "rest")
     more = saved(confirmed(rest, sets, percent), "links")
     labels = components(links.union(more))
 
