@@ -32,14 +32,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch table of this session. Call it only when no frame still reads one."""
-    mine = [p for s, p in _written if s is spark]
-    _written[:] = [x for x in _written if x[0] is not spark]
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in mine:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+def written() -> int:
+    """How many scratch tables there are so far: a mark for ``release``."""
+    return len(_written)
+
+
+def taken(since: int) -> list[tuple[SparkSession, str]]:
+    """The scratch tables written after the mark; they are the caller's to release."""
+    own = _written[since:]
+    del _written[since:]
+    return own
+
+
+def release(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete scratch tables. Call it only when no frame still reads one of them."""
+    for spark, path in tables:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -220,7 +220,7 @@ def remove_repeats(
     docs: DataFrame, *, width: int = 200, batch: int = 600, most: int = 2000, text_col: str = "text", id_col: str = "doc_id",
 ) -> DataFrame:
     """One row per text that loses anything: id and x (its key: ``text_key``), n_bytes, n_removed, n_spans, spans (start,
-    end) and kept (the remaining bytes)."""
+    end), kept (the remaining bytes) and kept_text (the characters that kept all their bytes)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*_key(F.col(id_col), text), text.alias("text"))
     runs, texts = repeated_runs(rows, width=width, batch=batch, most=most)
@@ -228,7 +228,7 @@ def remove_repeats(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "spans", "kept")}
+            out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_text")}
             for text, own in zip(batch.column(2), batch.column(3), strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 a, b = np.asarray(own.values.field(0)), np.asarray(own.values.field(1))
@@ -241,13 +241,17 @@ def remove_repeats(
                 out["n_removed"].append(int(gone.sum()))
                 out["n_spans"].append(len(turn) // 2)
                 out["spans"].append([{"start": int(s), "end": int(e)} for s, e in turn.reshape(-1, 2)])
-                out["kept"].append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+                data = np.frombuffer(raw, np.uint8)
+                out["kept"].append(data[~gone].tobytes())
+                begins = (data & 0xC0) != 0x80
+                whole = ~np.logical_or.reduceat(gone, np.flatnonzero(begins))
+                out["kept_text"].append(data[whole[np.cumsum(begins) - 1]].tobytes().decode("utf-8", "ignore"))
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), span, pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), span, pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["id", "x", *out])
 
     return texts.join(gathered, ["id", "x"]).select("id", "x", "text", "runs").mapInArrow(
-        cut, "id long, x long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary"
+        cut, "id long, x long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary, kept_text string"
     )
 
 

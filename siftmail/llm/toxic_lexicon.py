@@ -4,9 +4,9 @@ a hit separate quotation from abuse.
 Model, all learned from labelled rows:
 * lexicon: words (at least 4 letters) whose share of toxic documents is far above the base rate, by document counts;
 * exceptions: words within the automaton's reach that clean documents use;
-* a logistic model of a document's evidence: plain hits, misspelled hits, hits in quotation, hits beside address.
+* a logistic model of a document's evidence: hits, misspelled hits, hits in quotation, hits beside address.
 It is fitted on at most about ``max_docs`` labelled documents drawn by a hash of the text (the documented bound);
-copies and near copies in the sample count once (documents with the same smallest and largest word hash), so that a
+copies and most near copies in the sample count once (documents with the same four smallest word hashes), so that a
 text repeated a thousand times does not make its words terms. Word counts are a Spark aggregation; to the driver
 come the terms, at most ``max_terms``, and six numbers for each sampled document.
 
@@ -155,16 +155,17 @@ def hits(text: str, matcher: Matcher) -> list[dict]:
 
 
 def evidence(text: str | None, matcher: Matcher) -> tuple[float, float, float, float]:
-    """Hits without error, with errors, quoted and addressed, each as log(1 + n)."""
+    """Hits, those of them with errors, quoted and addressed, each as log(1 + n)."""
     found = hits(text or "", matcher)
     if not found:
         return 0.0, 0.0, 0.0, 0.0
-    n = (sum(not h["errors"] for h in found), sum(h["errors"] > 0 for h in found), sum(h["quoted"] for h in found), sum(h["addressed"] for h in found))
+    n = (len(found), sum(h["errors"] > 0 for h in found), sum(h["quoted"] for h in found), sum(h["addressed"] for h in found))
     return tuple(map(math.log1p, n))  # type: ignore[return-value]
 
 
-#: What is believed of the evidence's weights before any label: hits speak for toxicity, quotation against it.
-PRIOR = np.array([2.0, 1.5, -1.0, 0.5])
+#: What is believed of the evidence's weights before any label: hits speak for toxicity, misspelled ones nearly as
+#: much, quotation against it.
+PRIOR = np.array([2.0, -0.5, -1.0, 0.5])
 
 
 class Model:
@@ -201,7 +202,7 @@ def fit(labelled: DataFrame, *, max_docs: int = 20_000, max_terms: int = 300, mi
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1))
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000))).withColumn("words", words)
     hashed = F.transform("words", lambda w: F.xxhash64(w))
-    sample = sample.groupBy(F.array_min(hashed).alias("a"), F.array_max(hashed).alias("b")).agg(F.max_by("words", F.xxhash64("text")).alias("words"), F.max_by("text", F.xxhash64("text")).alias("text"), F.max_by("y", F.xxhash64("text")).alias("y"))
+    sample = sample.groupBy(F.slice(F.sort_array(hashed), F.lit(1), F.lit(4)).alias("a")).agg(F.max_by("words", F.xxhash64("text")).alias("words"), F.max_by("text", F.xxhash64("text")).alias("text"), F.max_by("y", F.xxhash64("text")).alias("y"))
     sample = sample.persist()  # at most about max_docs texts
     try:
         totals = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).first()
@@ -211,7 +212,7 @@ def fit(labelled: DataFrame, *, max_docs: int = 20_000, max_terms: int = 300, mi
         # lower end of the 99.9 % Wilson interval of the word's share of toxic documents
         z, p = 3.1, F.col("pos") / F.col("n")
         low = (p + z * z / (2 * F.col("n")) - z * F.sqrt(p * (1 - p) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
-        strong = df.where((F.col("pos") >= min_docs) & (p >= 0.6) & (low > 2 * base)).orderBy(low.desc(), "w").limit(max_terms).collect()
+        strong = df.where((F.col("pos") >= min_docs) & (p >= 0.6) & (low > base + 0.25 * (1 - base))).orderBy(low.desc(), "w").limit(max_terms).collect()
         terms = sorted(r["w"] for r in strong)
         reach = Lexicon(terms)
 
