@@ -1,0 +1,78 @@
+"""Synthetic messages with known results, for the golden queries and tests.
+
+Fixed values: the input messages that the goldens are stated for; attachments are plain text.
+"""
+
+from __future__ import annotations
+
+import base64
+
+
+def _b64(text: str) -> str:
+    return base64.encodebytes(text.encode()).decode().replace("\n", "\r\n").rstrip()
+
+
+def _message(*lines: str) -> bytes:
+    return "\r\n".join(lines).encode()
+
+
+_DATE = "Mon, 10 Aug 2026 09:00:00 +0200"
+_FORM = (
+    "<html><body><p><b>Su cuenta ser&aacute; suspendida en 24 horas.</b></p>"
+    '<p><a href="http://microsoft-login.verify-account.tk/o365/login.php">https://login.microsoftonline.com</a></p>'
+    '<p><a href="http://185.199.110.153:8080/update">Revisar</a></p><p><a href="https://xn--micrsoft-y0a.com/portal">Portal</a></p>'
+    '<form action="http://microsoft-login.verify-account.tk/collect.php"><input type="password" name="p"></form></body></html>'
+)
+
+MESSAGES: dict[str, bytes] = {
+    "PHISHING": _message(
+        "Received: from vps.cheap-hosting.ru (vps.cheap-hosting.ru [185.220.101.44])", " by mx1.corp.es (Postfix) with ESMTP id 3D19A; Mon, 10 Aug 2026 09:14:31 +0200",
+        "Received: from localhost (unknown [45.155.205.233]) by vps.cheap-hosting.ru", " (Exim 4.94) with SMTP id 1rXk2P; Mon, 10 Aug 2026 07:12:03 +0000",
+        "Authentication-Results: mx1.corp.es; spf=fail smtp.mailfrom=bounce@cheap-hosting.ru;", " dkim=none header.d=none; dmarc=fail header.from=microsoft.com",
+        "Return-Path: <bounce@cheap-hosting.ru>", "From: =?utf-8?B?TWljcm9zb2Z0IDM2NSBTZWd1cmlkYWQ=?= <no-reply@micros0ft-security.tk>",
+        'Reply-To: "Soporte" <recovery@mail-verify.xyz>', "To: maria@corp.es", "Subject: =?utf-8?Q?ACCI=C3=93N_REQUERIDA=3A_cuenta_suspendida?=",
+        "Message-ID: <20260810@vps.cheap-hosting.ru>", "Date: Mon, 10 Aug 2026 09:12:01 +0200", "X-Mailer: PHPMailer 6.8.0", "MIME-Version: 1.0",
+        'Content-Type: multipart/mixed; boundary="=_b1"', "", "--=_b1", 'Content-Type: text/html; charset="utf-8"', "Content-Transfer-Encoding: base64", "", _b64(_FORM), "--=_b1",
+        'Content-Type: application/vnd.ms-word.document.macroEnabled.12; name="Detalles.docm"', "Content-Transfer-Encoding: base64",
+        'Content-Disposition: attachment; filename="Factura.pdf.docm"', "", _b64("PKFALSO-OOXML-CON-MACROS"), "--=_b1--", "",
+    ),
+    "BOLETIN": _message(
+        "Authentication-Results: mx.corp.es; spf=pass smtp.mailfrom=news.tienda.com;", " dkim=pass header.d=tienda.com; dmarc=pass header.from=tienda.com",
+        "Received: from mx.news.tienda.com (mx.news.tienda.com [93.184.216.34]) by mx.corp.es", f" with ESMTPS id A1; {_DATE}", "From: Tienda <ofertas@tienda.com>", "To: maria@corp.es",
+        "Subject: Tu factura de julio ya esta disponible", "Message-ID: <a1@tienda.com>", f"Date: {_DATE}", 'Content-Type: text/html; charset="utf-8"', "",
+        '<html><body><p>Tu factura: <a href="https://tienda.com/facturas">Verla</a></p></body></html>', "",
+    ),
+    "BEC": _message(
+        "Authentication-Results: mx.corp.es; spf=pass smtp.mailfrom=gmail.com; dkim=pass header.d=gmail.com; dmarc=pass header.from=gmail.com",
+        "Received: from mail-wr1.google.com (mail-wr1.google.com [209.85.221.50]) by mx.corp.es", f" with ESMTPS id A1; {_DATE}",
+        'From: "Carlos Ruiz (CEO)" <carlos.ruiz.director@gmail.com>', "Reply-To: carlos.ruiz.pagos@gmail.com", "To: maria@corp.es", "Subject: Transferencia urgente",
+        "Message-ID: <bec1@gmail.com>", f"Date: {_DATE}", 'Content-Type: text/html; charset="utf-8"', "",
+        "<html><body><p>Necesito una transferencia hoy. Nuevo IBAN ES91 2100 0418 4502 0005 1332.", " No me llames, estoy en una reunion.</p></body></html>", "",
+    ),
+    "BANCO": _message(
+        "Authentication-Results: mx.corp.es; spf=pass smtp.mailfrom=bbva.es; dkim=pass header.d=bbva.es; dmarc=pass header.from=bbva.es",
+        "Received: from mx.bbva.es (mx.bbva.es [195.55.20.30]) by mx.corp.es with ESMTPS id A1;", f" {_DATE}", "From: BBVA <avisos@bbva.es>", "To: maria@corp.es",
+        "Subject: Accion requerida: verifica tu operacion en 24 horas", "Message-ID: <b1@bbva.es>", f"Date: {_DATE}", 'Content-Type: text/html; charset="utf-8"', "",
+        '<html><body><p><a href="https://www.bbva.es/personas/operaciones.html">Revisar en la app</a></p></body></html>', "",
+    ),
+    "TIENDA": _message(
+        "Authentication-Results: mx.corp.es; spf=pass smtp.mailfrom=steampowered.com;", " dkim=pass header.d=steampowered.com; dmarc=pass header.from=steampowered.com",
+        "Received: from mail.steampowered.com (mail.steampowered.com [208.64.202.36])", f" by mx.corp.es with ESMTPS id A1; {_DATE}", "From: Steam <noreply@steampowered.com>",
+        "To: maria@corp.es", "Subject: Un juego de tu lista de deseados ya esta disponible", "Message-ID: <s1@steampowered.com>", f"Date: {_DATE}",
+        'Content-Type: text/html; charset="utf-8"', "", "<html><body>", '<div style="display:none;font-size:0;max-height:0;color:#ffffff">Ya disponible</div>',
+        '<div style="display:none;font-size:0">preheader</div>', '<img src="https://cdn.akamai.steamstatic.com/store/email/logo.png">',
+        '<img src="https://shared.akamai.steamstatic.com/store_item_assets/apps/374.jpg">', '<p><a href="https://store.steampowered.com/app/374/">Ver en la tienda</a></p>',
+        '<p><a href="https://store.steampowered.com/account/notificationsettings?token=18ca">Ajustes de notificaciones</a></p>', "</body></html>", "",
+    ),
+}
+
+#: message: score, verdict, origin address, hops, clickable links, other links, attachments, rules in order of emission
+EXPECTED: dict[str, tuple] = {
+    "PHISHING": (100, "CRITICO", "45.155.205.233", 2, 4, 1, 1,
+        "spf-fail dkim-absent dmarc-fail align-none rp-mismatch replyto-mismatch dn-brand from-tld mid-mismatch xmailer subj-urgency body-form body-password url-tld url-creds "
+        "url-http url-brand url-mismatch url-ip url-port url-creds url-http url-punycode att-macro att-double combo-credenciales combo-malware"),
+    "BOLETIN": (3, "BAJO", "93.184.216.34", 1, 1, 0, 0, "rcv-one"),
+    "BEC": (53, "ALTO", "209.85.221.50", 1, 0, 0, 0, "replyto-freemail from-freemail-cargo rcv-one subj-urgency body-bec body-iban body-nocontacto combo-bec"),
+    "BANCO": (11, "BAJO", "195.55.20.30", 1, 1, 0, 0, "rcv-one subj-urgency"),
+    "TIENDA": (13, "BAJO", "208.64.202.36", 1, 2, 2, 0, "rcv-one body-image"),
+}
