@@ -1,105 +1,76 @@
-"""Column-wise construction of a collection's Burrows-Wheeler transform and common prefixes.
+"""Column-wise construction of collections' Burrows-Wheeler transforms and common prefixes.
 
-All strings are taken from their ends: a round inserts, for every string that is long enough, the suffix one symbol
-longer than the last round's. Where it goes follows from the transform so far (the suffix cX stands after all suffixes
-of smaller first symbols and after those cY with Y before X), and its common prefixes with its new neighbours are one
-more than the least common prefix between X and the nearest Y preceded by c. A round is one pass over the two
-sequences in order, the transform and the capped common prefixes, as over the sequential files of the published
-method; here a collection is bounded, so its files are arrays in memory.
+The strings of a group stand under each other, each from a column of its own. A round goes one column to the left and
+inserts one symbol for every string that reaches there: the order of the suffixes that begin at this column is the
+order of the last round, sorted stably by the new symbol; that column of symbols, in the order of the suffixes behind
+it, is the (positional) Burrows-Wheeler transform. The common prefix of two neighbours with one symbol is one more
+than the least common prefix between them in the last round. Strings enter as empty suffixes, before all others of
+their group, when their end is reached, and leave after their first symbol. A round reads and writes these sequences
+once, in order, as the published construction does with its files; here all groups of a batch share them in memory,
+and only suffixes of one column are compared, since equal windows always stand in equal columns.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-END = 255  # stands before a whole string; UTF-8 has no such byte
 
-
-def build(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """The transform (symbol before each suffix, in suffix order) and the common prefix of each suffix with the one
-    before it, at most ``cap``. The empty suffixes of the strings, in their order, come first. No string holds END."""
+def repeated_windows(strings: list[bytes], columns: np.ndarray, groups: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each string, the starts, ascending, of its ``width``-byte windows that stand at the same column of another
+    string of its group. ``columns``: where each string begins; ``groups``: ascending numbers."""
     m = len(strings)
-    length = np.array([len(s) for s in strings], np.int64)
-    text = np.frombuffer(b"".join(strings) + b"\xff", np.uint8)
-    last = np.cumsum(length)  # one past the end of each string
-    bwt = np.where(length > 0, text[np.maximum(last - 1, 0)], END).astype(np.uint8)
-    lcp = np.zeros(m, np.uint8 if cap < 256 else np.uint16)
-    pos = np.arange(m)
-    live = np.flatnonzero(length > 0)
-    j = 0
-    while len(live):
-        j += 1
-        p = pos[live]
-        c = bwt[p]
-        order = np.argsort(bwt, kind="stable")
-        first = np.append(0, np.cumsum(np.bincount(bwt, minlength=256)))  # of each symbol in order; END is the last
-        rank = np.empty(len(live), np.int64)
-        for x in np.unique(c):
-            own = np.flatnonzero(c == x)
-            rank[own] = first[x] + np.searchsorted(order[first[x] : first[x + 1]], p[own])
-        new = m + rank  # behind the empty suffixes; those of earlier rounds are there already
-        up = np.zeros(len(live), lcp.dtype)
-        down = np.full(len(live), -1, np.int64)
-        has = rank > first[c]
-        if has.any():
-            up[has] = np.minimum(cap, _range_min(lcp, order[rank[has] - 1] + 1, p[has] + 1).astype(np.int64) + 1)
-        nxt = rank + 1 < first[c.astype(np.int64) + 1]
-        if nxt.any():
-            down[nxt] = np.minimum(cap, _range_min(lcp, p[nxt] + 1, order[rank[nxt] + 1] + 1).astype(np.int64) + 1)
-        # merge: new suffixes at their places among the old ones
-        by = np.argsort(new, kind="stable")
-        at = new[by]
-        old = np.ones(len(bwt) + len(live), bool)
-        old[at] = False
-        more = length[live] > j
-        symbol = np.where(more, text[np.maximum(last[live] - j - 1, 0)], END).astype(np.uint8)
-        b2, l2 = np.empty(len(old), np.uint8), np.empty(len(old), lcp.dtype)
-        b2[old], l2[old] = bwt, lcp
-        b2[at], l2[at] = symbol[by], up[by]
-        follows = down[by] >= 0
-        l2[at[follows] + 1] = down[by][follows]
-        bwt, lcp = b2, l2
-        pos[live] = new
-        live = live[more]
-    return bwt, lcp
-
-
-def _range_min(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least of x[a:b] for each pair, a < b."""
-    cuts = np.stack([a, b], 1).ravel()
-    return np.minimum.reduceat(np.append(x, x.dtype.type(0)), cuts)[::2]
-
-
-def places(bwt: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Suffix order -> number of the suffix: string * (longest + 1) + suffix length, by following each string from its
-    empty suffix through the transform."""
-    m, longest = len(lengths), int(lengths.max()) if len(lengths) else 0
-    order = np.argsort(bwt, kind="stable")
-    to = np.empty(len(bwt), np.int64)
-    to[order] = m + np.arange(len(bwt))
-    out = np.empty(len(bwt), np.int64)
-    p = np.arange(m)
-    live = np.arange(m)
-    out[p] = live * (longest + 1)
-    for j in range(1, longest + 1):
-        live = live[lengths[live] >= j]
-        p[live] = to[p[live]]
-        out[p[live]] = live * (longest + 1) + j
-    return out
-
-
-def repeated_windows(strings: list[bytes], width: int) -> list[np.ndarray]:
-    """For each string, the starts of the ``width``-byte windows that start anywhere else in the collection, too."""
-    if not strings:
+    if not m:
         return []
-    lengths = np.array([len(s) for s in strings], np.int64)
-    bwt, lcp = build(strings, width)
-    hit = lcp >= width
-    hit[:-1] |= hit[1:]
-    who = places(bwt, lengths)[hit]
-    longest = int(lengths.max())
-    string, size = who // (longest + 1), who % (longest + 1)
-    by = np.lexsort((-size, string))
-    cuts = np.searchsorted(string[by], np.arange(len(strings) + 1))
-    start = lengths[string[by]] - size[by]
-    return [start[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    length = np.array([len(s) for s in strings], np.int64)
+    text = np.frombuffer(b"".join(strings) + b"\0", np.uint8)
+    zero = np.cumsum(length) - length - columns  # text[zero + t]: the symbol of a string at column t
+    first, end = columns.astype(np.int64), columns + length
+    enter = np.argsort(-end, kind="stable")
+    enter = enter[length[enter] > 0]
+    todo = 0  # of enter
+    order = np.zeros(0, np.int64)  # strings in suffix order, groups apart
+    common = np.zeros(0, np.int64)  # with the string before, at most width
+    hit_string, hit_start = [], []
+    for t in range(int(end.max()) - 1, int(first.min()) - 1, -1):
+        come = todo
+        while come < len(enter) and end[enter[come]] == t + 1:
+            come += 1
+        if come > todo:
+            new = enter[todo:come]
+            todo = come
+            both = np.concatenate([new, order])
+            by = np.argsort(groups[both], kind="stable")
+            common = np.concatenate([np.zeros(len(new), np.int64), common])[by]
+            # whoever now stands behind an empty suffix shares nothing with it
+            order = both[by]
+            common[1:][(end[order[:-1]] == t + 1)] = 0
+        if not len(order):
+            continue
+        n = len(order)
+        key = groups[order] * 256 + text[zero[order] + t]
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        same = np.flatnonzero(key[1:] == key[:-1]) + 1
+        after = np.zeros(n, np.int64)
+        if len(same):
+            cuts = np.stack([by[same - 1] + 1, by[same] + 1], 1).ravel()
+            after[same] = np.minimum(width, 1 + np.minimum.reduceat(np.append(common, 0), cuts)[::2])
+        order, common = order[by], after
+        full = common >= width
+        if full.any():
+            full[:-1] |= full[1:]
+            hit_string.append(order[full])
+            hit_start.append(np.full(int(full.sum()), t))
+        stay = first[order] < t
+        if not stay.all():
+            # a string that leaves passes the least on to the one behind it
+            keep = np.flatnonzero(stay)
+            common = np.minimum.reduceat(common[: keep[-1] + 1], np.append(0, keep[:-1] + 1)) if len(keep) else common[:0]
+            order = order[keep]
+            if len(order):
+                common[np.append(True, groups[order[1:]] != groups[order[:-1]])] = 0
+    string = np.concatenate([np.zeros(0, np.int64), *hit_string])
+    start = np.concatenate([np.zeros(0, np.int64), *hit_start]) - columns[string]
+    by = np.lexsort((start, string))
+    cuts = np.searchsorted(string[by], np.arange(m + 1))
+    return [start[by[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

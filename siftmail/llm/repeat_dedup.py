@@ -6,12 +6,11 @@ anchor form a fragment of at most 2 * width - GRAM bytes; fragments are dealt by
 meets all its equals. (A text's fragments are some 24 bytes of numbers for 85 bytes of text; their bytes stay put.)
 1. An anchor that occurs once has no repeated window: its fragment is done.
 2. A fragment whose whole content occurs twice is repeated as a whole: one aggregation by content.
-3. The other fragments of anchors with several contents: their bytes are fetched, one copy of each content, and a
-   collection of them goes through the column-wise construction of its Burrows-Wheeler transform and common prefixes
-   (``column_bwt``); a window is repeated if its suffix shares ``width`` bytes with a neighbour in suffix order. A
-   collection is some ``batch`` fragments, so memory is bounded and the construction's passes, one for each symbol of
-   the longest fragment, stay short. This is the named method restricted to where it decides; over whole texts it
-   would need a pass over all text for each byte of the longest document.
+3. The other fragments of anchors with several contents: their bytes are fetched, one copy of each content, and the
+   contents of an anchor, aligned at it, go through the column-wise construction of their Burrows-Wheeler transform
+   and common prefixes (``column_bwt``): a round for each column, a symbol for each content; a window is repeated if
+   its suffix shares ``width`` bytes with a neighbour. This is the named method restricted to where it decides and to
+   suffixes of equal columns; over whole texts it would need a pass over all text for each byte of the longest one.
 4. Anchors with more than ``most`` contents (a passage amid as many different surroundings) aren't gathered in one
    task: each window's 64-bit hash beside the anchor's is counted instead, by an aggregation, to the same end.
 Texts are then joined with their repeated runs by key and cut.
@@ -61,8 +60,9 @@ def _sliding_first_min(key: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(right[: n - span + 1], left[span - 1 : n])
 
 
-def fragments(texts: list[bytes], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For texts of at least ``width`` bytes: number, starts, lengths, anchor hashes and content hashes of the fragments."""
+def fragments(texts: list[bytes], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For texts of at least ``width`` bytes: number, starts, lengths, places of the anchor, anchor hashes and
+    content hashes of the fragments."""
     todo: list[tuple[int, int, bytes]] = []
     size = 0
 
@@ -87,7 +87,7 @@ def fragments(texts: list[bytes], width: int) -> Iterator[tuple[int, np.ndarray,
         cuts = np.searchsorted(text[first], np.arange(len(todo) + 1))
         for (number, offset, _), a, b, end, x in zip(todo, cuts[:-1], cuts[1:], ends, (x for _, _, x in todo), strict=True):
             start = first[a:b] - (end - len(x))
-            yield number, start + offset, stop[a:b] - first[a:b] + width - 1, hashes[a:b], content[a:b]
+            yield number, start + offset, stop[a:b] - first[a:b] + width - 1, anchor[first[a:b]] - first[a:b], hashes[a:b], content[a:b]
 
     for i, text in enumerate(texts):
         for at in range(0, max(1, len(text) - width + 1), _PIECE):
@@ -108,7 +108,7 @@ def _key(id_col: Column, text: Column) -> list[Column]:
 
 
 def _fragments_of(docs: DataFrame, width: int) -> DataFrame:
-    """id, x, start, length, m (anchor), k (content) of the rows (id, x, text)."""
+    """id, x, start, length, place (of the anchor), m (anchor), k (content) of the rows (id, x, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,14 +116,14 @@ def _fragments_of(docs: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(at, 1024)
                 ids, xs = part.column(0).to_numpy(), part.column(1).to_numpy()
                 texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in part.column(2)]
-                for number, start, length, m, k in fragments(texts, width):
+                for number, start, length, place, m, k in fragments(texts, width):
                     n = len(start)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, ids[number])), pa.array(np.full(n, xs[number])), pa.array(start, pa.int64()), pa.array(length.astype(np.int32)), pa.array(m), pa.array(k)],
-                        ["id", "x", "start", "length", "m", "k"],
+                        [pa.array(np.full(n, ids[number])), pa.array(np.full(n, xs[number])), pa.array(start, pa.int64()), pa.array(length.astype(np.int32)), pa.array(place.astype(np.int16)), pa.array(m), pa.array(k)],
+                        ["id", "x", "start", "length", "place", "m", "k"],
                     )
 
-    return docs.mapInArrow(_joined(run), "id long, x long, start long, length int, m long, k long")
+    return docs.mapInArrow(_joined(run), "id long, x long, start long, length int, place short, m long, k long")
 
 
 def _joined(run, rows: int = 20_000):
@@ -152,29 +152,32 @@ def _runs(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
 
 
 def _by_construction(contents: DataFrame, width: int, batch: int) -> DataFrame:
-    """m, k, runs (a, b) of repeated bytes of contents (m, k, bytes) dealt and sorted by m."""
+    """m, k, runs (a, b) of repeated bytes of contents (m, k, place, bytes) dealt and sorted by m."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
 
         def solved():
             out: dict[str, list] = {"m": [], "k": [], "a": [], "b": []}
-            for (m, k, _), starts in zip(held, repeated_windows([x for _, _, x in held], width), strict=True):
+            m = np.array([x[0] for x in held], np.int64)
+            groups = np.cumsum(np.append(0, m[1:] != m[:-1]))
+            found = repeated_windows([x[3] for x in held], -np.array([x[2] for x in held], np.int64), groups, width)
+            for (m, k, _, _), starts in zip(held, found, strict=True):
                 for a, b in _runs(starts, width):
                     for c, v in zip(out, (m, k, a, b), strict=True):
                         out[c].append(v)
             return pa.RecordBatch.from_pydict(out, pa.schema([(c, pa.int64()) for c in out]))
 
         for got in batches:
-            for m, k, raw in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2), strict=True):
+            for m, k, place, raw in zip(*(got.column(i).to_pylist() for i in range(3)), got.column(3), strict=True):
                 if len(held) >= batch and held[-1][0] != m:  # an anchor's contents stay together
                     yield solved()
                     held = []
-                held.append((m, k, raw.as_py()))
+                held.append((m, k, place, raw.as_py()))
         if held:
             yield solved()
 
-    dealt = contents.select("m", "k", "bytes").repartition("m").sortWithinPartitions("m", "k")
+    dealt = contents.select("m", "k", "place", "bytes").repartition("m").sortWithinPartitions("m", "k")
     return dealt.mapInArrow(run, "m long, k long, a long, b long")
 
 
@@ -200,14 +203,14 @@ def repeated_runs(docs: DataFrame, *, width: int, batch: int, most: int) -> tupl
     anchors = saved(frags.groupBy("m").agg(F.count(F.lit(1)).alias("n"), (F.min("k") != F.max("k")).alias("several")).where("n > 1").select("m", "several"), "anchors")
     maybe = saved(frags.join(anchors, "m"), "candidates")
     contents = saved(
-        maybe.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n"), F.first("several").alias("several"), F.min(F.struct("id", "x", "start")).alias("at"), F.min("length").alias("length")), "contents"
+        maybe.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n"), F.first("several").alias("several"), F.min(F.struct("id", "x", "start")).alias("at"), F.min("length").alias("length"), F.min("place").alias("place")), "contents"
     )
-    groups = contents.where("several").groupBy("m").agg(F.count(F.lit(1)).alias("contents"), F.min("n").alias("least")).where("least = 1").select("m", "contents")
+    groups = saved(contents.where("several").groupBy("m").agg(F.count(F.lit(1)).alias("contents"), F.min("n").alias("least")).where("least = 1").select("m", "contents"), "groups")
     texts = saved(docs.join(maybe.select("id", "x").distinct(), ["id", "x"], "left_semi").dropDuplicates(["id", "x"]), "texts")
 
-    open_ = contents.join(groups, "m").select("m", "k", "contents", F.col("at.id").alias("id"), F.col("at.x").alias("x"), F.col("at.start").alias("start"), "length")
+    open_ = contents.join(groups, "m").select("m", "k", "contents", F.col("at.id").alias("id"), F.col("at.x").alias("x"), F.col("at.start").alias("start"), "length", "place")
     raw = F.expr("substring(cast(text AS binary), int(start + 1), length)")
-    fetched = saved(open_.join(texts, ["id", "x"]).select("m", "k", "contents", raw.alias("bytes")), "contents-bytes")
+    fetched = saved(open_.join(texts, ["id", "x"]).select("m", "k", "contents", "place", raw.alias("bytes")), "contents-bytes")
     found = _by_construction(fetched.where(F.col("contents") <= most), width, batch).unionByName(_by_counting(fetched.where(F.col("contents") > most), width))
     whole = contents.where("n > 1").select("m", "k", F.lit(0).cast("long").alias("a"), F.col("length").cast("long").alias("b"))
     single = contents.where("n = 1").select("m", "k")
@@ -217,7 +220,7 @@ def repeated_runs(docs: DataFrame, *, width: int, batch: int, most: int) -> tupl
 
 
 def remove_repeats(
-    docs: DataFrame, *, width: int = 200, batch: int = 600, most: int = 2000, text_col: str = "text", id_col: str = "doc_id",
+    docs: DataFrame, *, width: int = 200, batch: int = 2000, most: int = 2000, text_col: str = "text", id_col: str = "doc_id",
 ) -> DataFrame:
     """One row per text that loses anything: id and x (its key: ``text_key``), n_bytes, n_removed, n_spans, spans (start,
     end), kept (the remaining bytes) and kept_text (the characters that kept all their bytes)."""

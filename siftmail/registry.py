@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("urls",)
 
 
 def _merged(name: str) -> dict:
