@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("urls",)
+MODULES: tuple[str, ...] = ("urls", "events", "texts")
 
 
 def _merged(name: str) -> dict:
