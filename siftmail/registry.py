@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("urls", "events", "texts")
+MODULES: tuple[str, ...] = ("urls", "events", "texts", "mailbox")
 
 
 def _merged(name: str) -> dict:

@@ -1,0 +1,16 @@
+"""The analysis as a stream. It keeps no state: every message stands alone."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.analyze import analyze
+from ..operators.report import summary
+from ..sources.messages import stream_messages
+
+
+def analyze_stream(spark: SparkSession, source: str, target: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
+    """Analyse the files that arrive below ``source``; reports go to ``target`` as Parquet, each file once."""
+    out = summary(analyze(stream_messages(spark, source))).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out).start()
