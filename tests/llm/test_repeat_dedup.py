@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from siftmail.llm.column_bwt import repeated_windows
@@ -66,7 +67,7 @@ def test_against_brute_force(spark, docs_of, tmp_path, monkeypatch, most):
 def test_fragments_cover_each_window_once():
     texts = [(t or "").encode() for t in corpus(6)]
     seen = Counter()
-    for i, start, length, _, _ in fragments(texts, 200):
+    for i, start, length, *_ in fragments(texts, 200):
         for s, n in zip(start, length):
             seen.update((i, a) for a in range(s, s + n - 199))
     assert set(seen.values()) == {1} and len(seen) == sum(max(0, len(x) - 199) for x in texts)
@@ -74,11 +75,15 @@ def test_fragments_cover_each_window_once():
 
 def test_construction_against_counting():
     rng = random.Random(1)
-    for _ in range(200):
-        s = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 8))]
+    for _ in range(400):
+        n = rng.randint(1, 9)
+        s = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 14))) for _ in range(n)]
+        columns = np.array([-rng.randint(0, 4) for _ in s])
+        groups = np.sort([rng.randint(0, 2) for _ in s])
         w = rng.randint(1, 5)
-        c = Counter(x[a : a + w] for x in s for a in range(len(x) - w + 1))
-        assert [g.tolist() for g in repeated_windows(s, w)] == [[a for a in range(len(x) - w + 1) if c[x[a : a + w]] > 1] for x in s]
+        c = Counter((g, a + o, x[a : a + w]) for x, o, g in zip(s, columns, groups) for a in range(len(x) - w + 1))
+        want = [[a for a in range(len(x) - w + 1) if c[g, a + o, x[a : a + w]] > 1] for x, o, g in zip(s, columns, groups)]
+        assert [g.tolist() for g in repeated_windows(s, columns, groups, w)] == want
 
 
 def test_empty(spark, docs_of, tmp_path):
