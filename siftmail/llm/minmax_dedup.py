@@ -18,7 +18,7 @@ Skew. Copies and bucket minima are aggregated before they move; joins on a hot c
 tables on both sides, so that AQE splits them.
 
 Null text and texts without words have an empty set: linked with nothing. Rows with one id are one document (the
-same component). A null id can't name a component: such rows have component_id null and are kept. Other columns of
+same component; if their texts differ, it is compared by the set whose bytes come first). A null id can't name a component: such rows have component_id null and are kept. Other columns of
 the input are ignored. An empty table gives an empty result.
 """
 
@@ -196,7 +196,7 @@ def near_duplicates(
 
     star = members.where("node <> first").groupBy("node").agg(F.min("first").alias("b")).select(F.col("node").alias("a"), "b")
     star = saved(star, "star")
-    sets = saved(_sets(docs, members.select("node").distinct(), shingle=shingle, text_col=text_col, id_col=id_col).dropDuplicates(["node"]), "sets")
+    sets = saved(_sets(docs, members.select("node").distinct(), shingle=shingle, text_col=text_col, id_col=id_col).groupBy("node").agg(F.min("shingles").alias("shingles")), "sets")
     links = saved(confirmed(star, sets, percent).union(same_id), "links")
     labels = components(links)
 
