@@ -90,6 +90,17 @@ def features(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ho
     return out.select("doc_id", "host", "w.*", "n_symbols", "l.*")
 
 
+def beta_prior(failed: int, docs: int, hosts: int, weighted_squares: float) -> tuple[float, float]:
+    """Mean and strength (a + b) of the prior, by moments: from all failures and documents, the number of hosts, and the
+    sum over hosts of documents times squared rate."""
+    if not docs:
+        return 0.0, 1.0
+    mean = failed / docs
+    between = weighted_squares / docs - mean * mean
+    noise = mean * (1 - mean) * hosts / docs  # what the binomial alone adds to it
+    return mean, max(1.0, min(1e6, mean * (1 - mean) / max(between - noise, 1e-9) - 1))
+
+
 def judge(
     docs: DataFrame, *, min_words: int = 50, max_repeat_pct: int = 50, max_symbol_pct: int = 20, max_dup_line_pct: int = 30,
     max_host_rate: float = 0.6, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source",
@@ -101,19 +112,11 @@ def judge(
     rows = saved(features(docs, text_col, id_col, host_col).withColumns({"base_failed": base, "rule_failed": rules}), "host-features")
 
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("rule_failed").cast("long")).alias("host_failed"))
-    p, n = F.col("host_failed") / F.col("host_docs"), F.col("host_docs")
-    total = hosts.agg(F.sum("host_failed").alias("f"), F.sum(n).alias("n"), F.count(F.lit(1)).alias("k"), F.sum(n * p * p).alias("npp"))
-    mean = F.col("f") / F.col("n")
-    between = F.col("npp") / F.col("n") - mean * mean
-    noise = mean * (1 - mean) * F.col("k") / F.col("n")  # what the binomial alone adds to it
-    excess = F.greatest(between - noise, F.lit(1e-9))
-    strength = F.greatest(F.lit(1.0), F.least(F.lit(1e6), mean * (1 - mean) / excess - 1))
-    prior = total.select((mean * strength).alias("a"), strength.alias("s"))
-    rate = (F.col("host_failed") + F.col("a")) / (F.col("host_docs") + F.col("s"))
-    verdicts = (
-        hosts.join(F.broadcast(prior))  # one row
-        .select("host", "host_docs", "host_failed", rate.alias("host_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
+    share, n = F.col("host_failed") / F.col("host_docs"), F.col("host_docs")
+    t = hosts.agg(F.sum("host_failed").alias("f"), F.sum(n).alias("n"), F.count(F.lit(1)).alias("k"), F.sum(n * share * share).alias("npp")).first()  # one row
+    mean, strength = beta_prior(t["f"] or 0, t["n"] or 0, t["k"], t["npp"] or 0.0)
+    rate = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
+    verdicts = hosts.select("host", "host_docs", "host_failed", rate.alias("host_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
     v = verdicts.select(F.col("host").alias("v_host"), F.col("salt").alias("v_salt"), "host_docs", "host_failed", "host_rate")
     both = dealt.join(v, F.col("host").eqNullSafe(F.col("v_host")) & (F.col("salt") == F.col("v_salt")))
