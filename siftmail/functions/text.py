@@ -149,7 +149,7 @@ def magic_of(content: Column) -> Column:
 def human_size(n: Column) -> Column:
     """Bytes as B, KB (one decimal) or MB (two), base 1024, halves rounded up, in whole-number arithmetic."""
     n = n.cast("long")
-    tenths, hundredths = F.expr("1") * F.floor((20 * n + 1024) / 2048), F.floor((200 * n + 1048576) / 2097152)
+    tenths, hundredths = F.floor((20 * n + 1024) / 2048), F.floor((200 * n + 1048576) / 2097152)
     kb = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" KB"))
     mb = F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(" MB"))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, kb).otherwise(mb)

@@ -103,3 +103,14 @@ def test_files_paste_and_stream(spark, tmp_path):
         analyze_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     got = {r["verdict"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/out").groupBy("verdict").count().collect()}
     assert got == {"CRITICO": 1, "ALTO": 1, "BAJO": 3}
+
+
+def test_sql_functions(spark):
+    from siftmail.functions.sql import register
+
+    register(spark)
+    r = spark.sql("SELECT rfc2047('=?utf-8?Q?=C3=A9?=') a, defang('http://x.y') b, is_ip('1.2.3.4') c, is_private_ip('fe80::1') d, address_list('N <a@b.c>')[0].domain e").first()
+    assert tuple(r) == ("é", "hxxp://x[.]y", True, True, "b.c")
+    spark.createDataFrame(list(MESSAGES.items()), "id string, raw binary").createOrReplaceTempView("messages")
+    got = spark.sql("SELECT id, mime FROM messages, LATERAL mime_parts(raw) WHERE id = 'PHISHING'").collect()
+    assert [g["mime"] for g in got] == ["multipart/mixed", "text/html", "application/vnd.ms-word.document.macroenabled.12"]
