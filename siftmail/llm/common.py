@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -53,6 +54,21 @@ def release(tables: list[tuple[SparkSession, str]]) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Characters of text that are taken apart together; longer texts go in segments.
+SEGMENT = 1_000_000
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def segments(text: str, size: int = 0) -> Iterator[str]:
+    """A text in runs of about ``size`` characters, cut before single spaces, where words and pre-tokens end anyway."""
+    size = size or SEGMENT
+    at = 0
+    while len(text) - at > size and (cut := _CUT.search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """Scratch tables written inside are deleted at the end; write results out before."""

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, segments
 
 HASHED = 4096
 
@@ -80,6 +80,10 @@ def curve_keys(ids: list[np.ndarray], proj: np.ndarray, bits: int) -> np.ndarray
     return hilbert(cells, bits)
 
 
+def _ids(e: tiktoken.Encoding, text: str, end_id: int, kind: str) -> np.ndarray:
+    return np.concatenate([*(np.array(e.encode_ordinary(s), kind) for s in segments(text)), np.array([end_id], kind)])
+
+
 def tokenised(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, end_id: int, dims: int, bits: int, text_col: str, id_col: str) -> DataFrame:
     """doc_id, key, n, ids (little-endian, 16 bits each if the vocabulary allows, else 32)."""
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -91,7 +95,7 @@ def tokenised(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, end_id:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [np.array([*e.encode_ordinary(t.as_py() or ""), end_id], kind) for t in part.column(1)]
+                ids = [_ids(e, t.as_py() or "", end_id, kind) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(curve_keys(ids, proj, bits)), pa.array([len(x) for x in ids], pa.int64()), pa.array((x.tobytes() for x in ids), pa.binary())],
                     ["doc_id", "key", "n", "ids"],

@@ -77,6 +77,9 @@ def _coded_number(n: int) -> bytes:
     return bytes([(~(2 * room + 1) & 0xFF) | n, *reversed(tail)])
 
 
+#: Blocks that are encoded, and bytes of frames that are decoded, side by side.
+ROWS, TOGETHER = 512, 2_000_000
+
 # ---------------------------------------------------------------- encoding
 
 
@@ -191,15 +194,16 @@ def encode(payloads: list[bytes], block: int = 4096, rate: int = 8000) -> list[b
     blocks: list[tuple[int, int, np.ndarray]] = []
     signed = []
     for d, p in enumerate(payloads):
-        x = np.frombuffer(p, np.uint8).astype(np.int64) - 128
+        x = (np.frombuffer(p, np.uint8) ^ np.uint8(128)).view(np.int8)
         signed.append(x)
         blocks += [(d, i, x[a : a + block]) for i, a in enumerate(range(0, len(x), block))]
     by_length: dict[int, list[int]] = {}
     for j, (_, _, x) in enumerate(blocks):
         by_length.setdefault(len(x), []).append(j)
     frames: list = [b""] * len(blocks)
-    for n, own in by_length.items():
-        for j, sub in zip(own, _encode_rows(np.stack([blocks[j][2] for j in own]), 8), strict=True):
+    for own in (own[a : a + ROWS] for own in by_length.values() for a in range(0, len(own), ROWS)):
+        n = len(blocks[own[0]][2])
+        for j, sub in zip(own, _encode_rows(np.stack([blocks[j][2] for j in own]).astype(np.int64), 8), strict=True):
             # sync, fixed block size; 16-bit block size follows, rate as in the stream info; mono, 8 bits
             head = b"\xff\xf8\x70\x02" + _coded_number(blocks[j][1]) + (n - 1).to_bytes(2, "big")
             frames[j] = head + bytes([crc8(head)]) + np.packbits(sub).tobytes()
@@ -216,7 +220,7 @@ def encode(payloads: list[bytes], block: int = 4096, rate: int = 8000) -> list[b
             at += len(f)
             j += 1
         small = [len(f) for f in own]
-        info = block.to_bytes(2, "big") * 2 + min(small).to_bytes(3, "big") + max(small).to_bytes(3, "big") + ((rate << 44) | (7 << 36) | len(x)).to_bytes(8, "big") + hashlib.md5(x.astype(np.int8).tobytes()).digest()
+        info = block.to_bytes(2, "big") * 2 + min(small).to_bytes(3, "big") + max(small).to_bytes(3, "big") + ((rate << 44) | (7 << 36) | len(x)).to_bytes(8, "big") + hashlib.md5(x.tobytes()).digest()
         seek = b"".join(points)
         out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + b"".join(own))
     return out
@@ -505,37 +509,50 @@ def _check_frames(buf: np.ndarray, found: list[Stream]) -> None:
         raise Broken("wrong frame checksum")
 
 
+def _samples(buf: np.ndarray, frames: list[Frame]) -> list[np.ndarray]:
+    """Samples (channels x n) of consecutive frames, decoded side by side."""
+    base = frames[0].start
+    bits = _Bits(buf[base : frames[-1].end])
+    n, mode, depth = (np.array([getattr(f, c) for f in frames]) for c in ("n", "mode", "bits"))
+    pos = np.array([8 * (f.body - base) for f in frames])
+    channels = np.where(mode < 8, mode + 1, 2)
+    got: list[list[np.ndarray]] = [[] for _ in frames]
+    for c in range(int(channels.max())):
+        on = np.flatnonzero(channels > c)
+        side = ((mode[on] == 8) & (c == 1)) | ((mode[on] == 9) & (c == 0)) | ((mode[on] == 10) & (c == 1))
+        x, p = _subframes(bits, pos[on], n[on], depth[on] + side)
+        pos[on] = p
+        for j, i in enumerate(on):
+            got[i].append(x[j, : n[i]])
+    out = []
+    for i, f in enumerate(frames):
+        if (pos[i] + 7) // 8 != f.end - 2 - base:
+            raise Broken("frame of another length than its residuals")
+        ch = got[i]
+        if f.mode == 8:
+            ch = [ch[0], ch[0] - ch[1]]
+        elif f.mode == 9:
+            ch = [ch[0] + ch[1], ch[1]]
+        elif f.mode == 10:
+            mid = (ch[0] << 1) | (ch[1] & 1)
+            ch = [(mid + ch[1]) >> 1, (mid - ch[1]) >> 1]
+        out.append(np.stack(ch).astype(np.int32))
+    return out
+
+
 def decode(streams: list[bytes]) -> list[tuple[Stream, list[np.ndarray]]]:
     """For each stream its info and the samples (channels x n) of each frame; raises ``Broken`` on any fault."""
     buf, found = _frames_of(streams)
     _check_frames(buf, found)
     frames = [f for s in found for f in s.frames]
-    samples: list = [None] * len(frames)
-    if frames:
-        bits = _Bits(buf)
-        n, mode, depth = (np.array([getattr(f, c) for f in frames]) for c in ("n", "mode", "bits"))
-        pos = np.array([8 * f.body for f in frames])
-        channels = np.where(mode < 8, mode + 1, 2)
-        got: list[list[np.ndarray]] = [[] for _ in frames]
-        for c in range(int(channels.max())):
-            on = np.flatnonzero(channels > c)
-            side = ((mode[on] == 8) & (c == 1)) | ((mode[on] == 9) & (c == 0)) | ((mode[on] == 10) & (c == 1))
-            x, p = _subframes(bits, pos[on], n[on], depth[on] + side)
-            pos[on] = p
-            for j, i in enumerate(on):
-                got[i].append(x[j, : n[i]])
-        for i, f in enumerate(frames):
-            if (pos[i] + 7) // 8 != f.end - 2:
-                raise Broken("frame of another length than its residuals")
-            ch = got[i]
-            if f.mode == 8:
-                ch = [ch[0], ch[0] - ch[1]]
-            elif f.mode == 9:
-                ch = [ch[0] + ch[1], ch[1]]
-            elif f.mode == 10:
-                mid = (ch[0] << 1) | (ch[1] & 1)
-                ch = [(mid + ch[1]) >> 1, (mid - ch[1]) >> 1]
-            samples[i] = np.stack(ch)
+    samples: list[np.ndarray] = []
+    first = 0
+    while first < len(frames):
+        last = first + 1
+        while last < len(frames) and frames[last].end - frames[first].start <= TOGETHER:
+            last += 1
+        samples += _samples(buf, frames[first:last])
+        first = last
     out, j = [], 0
     for s in found:
         own = samples[j : j + len(s.frames)]

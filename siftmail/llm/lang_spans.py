@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import segments
+
 BUCKETS = 1 << 16
 UND = "und"
 
@@ -194,13 +196,17 @@ def _viterbi(score: np.ndarray, text: np.ndarray, n_texts: int, switch: float) -
     return label
 
 
-def label_words(texts: list[str], model: Model, switch: float) -> tuple[Words, np.ndarray]:
-    """The words of the texts and, for each, the number of its language."""
-    w = Words(texts)
+class Labelled:
+    """The words of some texts: text, start and length in it, letters, and the number of the language."""
+
+    def __init__(self, text: np.ndarray, start: np.ndarray, length: np.ndarray, n_letters: np.ndarray, label: np.ndarray):
+        self.text, self.start, self.length, self.n_letters, self.label = text, start, length, n_letters, label
+
+
+def _scores(w: Words, model: Model) -> np.ndarray:
+    """Words x languages: what each language makes of each word."""
     k = len(model.langs)
     total = np.zeros((len(w.first), k), np.float32)
-    if not len(w.first) or not k:
-        return w, np.zeros(len(w.first), np.uint8)
     for n, (g, ok) in zip((3, 4), w.grams(), strict=False):
         # the n-grams of a word begin at the blank before it and end with the blank after it
         a, b = w.first - 1, np.maximum(w.last + 2 - n, w.first - 1)
@@ -211,14 +217,39 @@ def label_words(texts: list[str], model: Model, switch: float) -> tuple[Words, n
     can |= ~can.any(1, keepdims=True)
     total = np.where(can, total, np.float32(-1e6))
     total[w.n_letters == 0] = 0
-    return w, _viterbi(total, w.text, len(texts), switch)
+    return total
+
+
+def label_words(texts: list[str], model: Model, switch: float) -> Labelled:
+    """Words are scored segment by segment; the best path runs over the whole text."""
+    parts, owner, offset = [], [], []
+    for i, t in enumerate(texts):
+        at = 0
+        for part in segments(t):
+            parts.append(part)
+            owner.append(i)
+            offset.append(at)
+            at += len(part)
+    own, off = np.array(owner, np.int64), np.array(offset, np.int64)
+    score, text, start, length, letters = [np.zeros((0, len(model.langs)), np.float32)], *([np.zeros(0, np.int64)] for _ in range(4))
+    done = 0
+    for run in _pieces(parts):
+        w = Words(run)
+        score.append(_scores(w, model))
+        text.append(own[done + w.text])
+        start.append(w.first - (np.append(0, w.ends)[w.text] + 1) + off[done + w.text])
+        length.append(w.last - w.first)
+        letters.append(w.n_letters)
+        done += len(run)
+    all_ = np.concatenate(text)
+    label = _viterbi(np.concatenate(score), all_, len(texts), switch) if model.langs and len(all_) else np.zeros(len(all_), np.uint8)
+    return Labelled(all_, np.concatenate(start), np.concatenate(length), np.concatenate(letters), label)
 
 
 def _predict(texts: list[str | None], model: Model, switch: float) -> tuple[list[str], np.ndarray]:
-    whole = [x or "" for x in texts]
-    w, label = label_words(whole, model, switch)
+    w = label_words([x or "" for x in texts], model, switch)
     k = max(1, len(model.langs))
-    share = np.bincount(w.text * k + label, weights=w.n_letters, minlength=len(whole) * k).reshape(len(whole), k)
+    share = np.bincount(w.text * k + w.label, weights=w.n_letters, minlength=len(texts) * k).reshape(len(texts), k)
     total = share.sum(1)
     top = share.argmax(1)
     known = (total > 0) & bool(model.langs)
@@ -265,19 +296,19 @@ def spans(docs: DataFrame, model: Model, *, switch: float = 8.0, text_col: str =
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            w, lab = label_words(texts, sent.value, switch)
+            w = label_words(texts, sent.value, switch)
+            lab = w.label
             if not len(lab) or not sent.value.langs:
                 continue
             real = np.flatnonzero(w.n_letters > 0)
             cut = np.flatnonzero((np.diff(w.text[real]) != 0) | (np.diff(lab[real]) != 0)) + 1
             a, b = np.append(0, cut), np.append(cut, len(real))
-            began = np.append(0, w.ends)[w.text] + 1
             rows = [(x, y) for x, y in zip(a, b, strict=True) if y > x]
             f, z = [real[x] for x, _ in rows], [real[y - 1] for _, y in rows]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array([ids[w.text[i]] for i in f], pa.int64()),
-                "start": pa.array([int(w.first[i] - began[i]) for i in f], pa.int64()),
-                "length": pa.array([int(w.last[j] - w.first[i]) for i, j in zip(f, z, strict=True)], pa.int64()),
+                "start": pa.array(w.start[f], pa.int64()),
+                "length": pa.array(w.start[z] + w.length[z] - w.start[f], pa.int64()),
                 "lang": pa.array([sent.value.langs[lab[i]] for i in f], pa.string()),
                 "n_letters": pa.array([int(w.n_letters[real[x:y]].sum()) for x, y in rows], pa.int64()),
             })

@@ -55,11 +55,12 @@ def _unsigned(x: np.ndarray, bits: int) -> bytes:
 
 def _feature(frames: list[np.ndarray]) -> str:
     """Whole numbers of the first channel: frames, samples, lowest, highest, sum, sum of squares, changes of sign."""
-    x = np.concatenate([f[0] for f in frames]) if frames else np.zeros(0, np.int64)
+    x = np.concatenate([f[0] for f in frames]) if frames else np.zeros(0, np.int32)
     if not len(x):
         return "frames=0;samples=0"
     cross = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"frames={len(frames)};samples={len(x)};min={x.min()};max={x.max()};sum={x.sum()};energy={(x * x).sum()};crossings={cross}"
+    energy = sum(int((f[0].astype(np.int64) ** 2).sum()) for f in frames)
+    return f"frames={len(frames)};samples={len(x)};min={x.min()};max={x.max()};sum={x.sum(dtype=np.int64)};energy={energy};crossings={cross}"
 
 
 def _row(s: flac.Stream, frames: list[np.ndarray]) -> dict:

@@ -33,7 +33,7 @@ from .column_bwt import repeated_windows
 from .common import saved
 
 GRAM = 32
-_PIECE = 4_000_000  # bytes of text that are hashed together
+_PIECE = 1_000_000  # bytes of text that are hashed together
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -220,7 +220,7 @@ def repeated_runs(docs: DataFrame, *, width: int, batch: int, most: int) -> tupl
 
 
 def remove_repeats(
-    docs: DataFrame, *, width: int = 200, batch: int = 2000, most: int = 2000, text_col: str = "text", id_col: str = "doc_id",
+    docs: DataFrame, *, width: int = 200, batch: int = 2000, most: int = 20_000, text_col: str = "text", id_col: str = "doc_id",
 ) -> DataFrame:
     """One row per text that loses anything: id and x (its key: ``text_key``), n_bytes, n_removed, n_spans, spans (start,
     end), kept (the remaining bytes) and kept_text (the characters that kept all their bytes)."""
@@ -235,7 +235,7 @@ def remove_repeats(
             for text, own in zip(batch.column(2), batch.column(3), strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 a, b = np.asarray(own.values.field(0)), np.asarray(own.values.field(1))
-                edge = np.zeros(len(raw) + 1, np.int64)
+                edge = np.zeros(len(raw) + 1, np.int32)
                 np.add.at(edge, a, 1)
                 np.add.at(edge, b, -1)
                 gone = np.cumsum(edge[:-1]) > 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import segments
+
 #: A-Z to a-z, nothing else.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -21,8 +23,11 @@ class WordHashes(dict):
 
 def word_hashes(text: str | None, cache: WordHashes) -> np.ndarray:
     """Hashes of the words of a text in order: A-Z lowered, words between the blanks 0x20 and 0x09-0x0D."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    out = []
+    for part in segments(text or ""):
+        words = part.encode("utf-8", "surrogatepass").translate(LOWER).split()
+        out.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+    return np.concatenate(out)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

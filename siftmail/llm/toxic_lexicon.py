@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import segments
+
 WINDOW = 5
 WORD = re.compile(r"\w+(?:[@$!]+\w+)*")
 
@@ -136,8 +138,15 @@ class Matcher(dict):
 
 
 def hits(text: str, matcher: Matcher) -> list[dict]:
-    """Each hit in the text with its place, term, errors and context."""
-    low = text.lower()
+    """Each hit in the text with its place, term, errors and context. Context ends with a segment (a million characters)."""
+    out, at = [], 0
+    for part in segments(text.lower()):
+        out += [h | {"start": h["start"] + at} for h in _hits(part, matcher)]
+        at += len(part)
+    return out
+
+
+def _hits(low: str, matcher: Matcher) -> list[dict]:
     words = WORD.findall(low)
     at = [i for i, w in enumerate(words) if matcher[w] is not None]
     if not at:

@@ -82,8 +82,8 @@ class Counter(dict):
         if not text:
             return 0, 0.0
         pieces, total = 0, 0.0
-        for unit in self.unit.findall(SPACE + text.replace(" ", SPACE)):
-            n, score = self[unit]
+        for unit in self.unit.finditer(SPACE + text.replace(" ", SPACE)):
+            n, score = self[unit[0]]
             pieces += n
             total += score
         return pieces, total
