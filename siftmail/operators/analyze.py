@@ -211,9 +211,11 @@ def rule_ids(df: DataFrame) -> Column:
     delays = F.filter("hops", lambda h: h["delay_seconds"] > 3600)
     first_ts = F.try_element_at(F.filter("hops", lambda h: h["ts"].isNotNull()), F.lit(1))["ts"]
     skew = F.abs(F.unix_timestamp(first_ts) - F.unix_timestamp(timestamp_of(F.trim(header("date")))))
-    words, subject = F.concat_ws(" ", "visible", "subject"), F.col("subject")
-    payment = words.rlike(f"(?iu)(?:{R.PAYMENT})")
-    count = lambda pattern: F.regexp_count(html, F.lit(pattern))
+    visible, subject = F.lower("visible"), F.lower("subject")
+    words = F.concat_ws(" ", visible, subject)
+    payment = words.rlike(R.PAYMENT)
+    low = F.lower("html")
+    count = lambda pattern: F.regexp_count(low, F.lit(pattern))
     has_html = html != ""
     stripped = F.length(squeezed(strip_tags(html)))
     misaligned, dkim_off = ~F.col("alignment.spf") & ~F.coalesce("alignment.dkim", F.lit(False)), ~F.col("alignment.dkim")
@@ -234,15 +236,15 @@ def rule_ids(df: DataFrame) -> Column:
         ("from-freemail-cargo", freemail & name.rlike(f"(?iu){B}(?:{'|'.join(R.JOB_TITLES)}){E}")), ("from-multi", F.size(addresses("from")) > 1), ("from-missing", ~has_from),
         ("mid-missing", (message_id == "") & seen_transport), ("mid-mismatch", (mid_domain != "") & (org != "") & (org_domain(mid_domain) != org)),
         ("xmailer", mailer.rlike(f"(?i){R.BULK_MAILERS}")), ("x-orig-ip", header("x-originating-ip").isNotNull()), ("rcv-none", (F.size("hops") == 0) & seen_transport),
-        ("rcv-one", F.size("hops") == 1), ("rcv-delay", F.size(delays) > 0), ("date-skew", skew > 48 * 3600), ("subj-urgency", subject.rlike(f"(?iu)(?:{R.URGENCY})")),
-        ("subj-nothread", subject.rlike(r"(?i)^\s*re\s*:") & header("in-reply-to").isNull() & header("references").isNull()),
-        ("body-form", html.rlike(f"(?i)<form{E}")), ("body-password", html.rlike("(?i)type\\s*=\\s*[\"']?password")), ("body-script", html.rlike(f"(?i)<script{E}")),
-        ("body-iframe", html.rlike(f"(?i)<iframe{E}")), ("body-refresh", html.rlike("(?i)http-equiv\\s*=\\s*[\"']?refresh")),
-        ("body-hidden", (count(f"(?i)(?:{R.HIDDEN_STYLE}{E})") >= 2) & ~F.coalesce(is_("dmarc", "pass"), F.lit(False))),
-        ("body-image", has_html & (count(f"(?i)<img{E}") > 0) & (stripped < 120)), ("body-entities", count("(?i)&#x?[0-9a-f]{2,};") > 40),
-        ("body-empty", ~has_html & (F.col("plain") == "") & (F.size("attachments") > 0)), ("body-crypto", words.rlike(f"(?iu)(?:{R.CRYPTO})")),
+        ("rcv-one", F.size("hops") == 1), ("rcv-delay", F.size(delays) > 0), ("date-skew", skew > 48 * 3600), ("subj-urgency", subject.rlike(R.URGENCY)),
+        ("subj-nothread", subject.rlike(r"^\s*re\s*:") & header("in-reply-to").isNull() & header("references").isNull()),
+        ("body-form", low.rlike(f"<form{E}")), ("body-password", low.rlike("type\\s*=\\s*[\"']?password")), ("body-script", low.rlike(f"<script{E}")),
+        ("body-iframe", low.rlike(f"<iframe{E}")), ("body-refresh", low.rlike("http-equiv\\s*=\\s*[\"']?refresh")),
+        ("body-hidden", (count(f"(?:{R.HIDDEN_STYLE}{E})") >= 2) & ~F.coalesce(is_("dmarc", "pass"), F.lit(False))),
+        ("body-image", has_html & (count(f"<img{E}") > 0) & (stripped < 120)), ("body-entities", count("&#x?[0-9a-f]{2,};") > 40),
+        ("body-empty", ~has_html & (F.col("plain") == "") & (F.size("attachments") > 0)), ("body-crypto", words.rlike(R.CRYPTO)),
         ("body-bec", payment & ((F.size(addresses("reply-to")) > 0) | F.coalesce(dkim_off, F.lit(False)) | freemail)),
-        ("body-iban", F.col("visible").rlike(f"{B}{R.IBAN}{E}") & payment), ("body-nocontacto", F.col("visible").rlike(f"(?iu)(?:{R.NO_CONTACT})")),
+        ("body-iban", F.col("visible").rlike(f"{B}{R.IBAN}{E}") & payment), ("body-nocontacto", visible.rlike(R.NO_CONTACT)),
     ]
     plain = F.filter(F.array(*(F.when(c, F.lit(i)) for i, c in rules)), lambda x: x.isNotNull())
     pairs = F.flatten(F.transform("links", lambda u: F.transform(u["flags"], lambda f: F.struct(f.alias("id"), u["host"].alias("host")))))
