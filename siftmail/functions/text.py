@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -16,6 +16,11 @@ IPV6 = rf"(?:{HEX}:){{3,7}}{HEX}|(?:{HEX}:){{1,6}}:{HEX}"
 URL = rf"(?i){B}(?:https?|ftp|file)://[^\s<>\"'`)\]}}]+|(?i){B}www\.[a-z0-9-]+(?:\.[a-z0-9-]+)+[^\s<>\"'`)\]}}]*"
 
 
+_TAIL = r"[)>\]}.,;:'\"]+$"
+_WHOLE = r"(?is)^([a-z][a-z0-9+.-]*)://([^/?#]*)(.*)$"
+_PAIR = r"^(\[[^\]]+\]|[^:]+)(?::([0-9]+))?$"
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also where lambdas use it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -30,15 +35,20 @@ def is_private_ip(ip: Column) -> Column:
     return F.coalesce(F.when(ip.rlike(f"^{IPV4}$"), ip.rlike(v4)).otherwise(F.lower(ip).rlike("^(?:::1$|fe80:|fc|fd)")), F.lit(False))
 
 
-def org_domain(host: Column) -> Column:
-    """Registrable domain: last two labels, three under a two-level suffix; addresses and short hosts stay."""
-    h = F.regexp_replace(F.lower(F.coalesce(host, F.lit(""))), r"^\[|[\].]+$", "")
+def _clean_host(host: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(host, F.lit(""))), r"^\[|[\].]+$", "")
 
-    def cut(p: Column) -> Column:
-        last = lambda n: F.array_join(F.slice(p, -n, n), ".")
-        return F.when(F.size(p) <= 2, F.array_join(p, ".")).when(last(2).isin(R.SUFFIXES), last(3)).otherwise(last(2))
 
-    return let(h, lambda x: F.when(is_ip(x), x).otherwise(let(F.split(x, r"\."), cut)))
+def _registrable(h: Column) -> Column:
+    """Last two labels of a clean host, three under a two-level suffix; addresses and short hosts stay."""
+    labels = F.size(F.split(h, r"\."))
+    two, three = F.substring_index(h, ".", -2), F.substring_index(h, ".", -3)
+    return F.when(is_ip(h) | (labels <= 2), h).when(two.isin(R.SUFFIXES), three).otherwise(two)
+
+
+def org_domain(host: Column) -> Column:
+    """Registrable domain of a host; '' for none."""
+    return let(_clean_host(host), _registrable)
 
 
 def defang(s: Column) -> Column:
@@ -49,15 +59,14 @@ def defang(s: Column) -> Column:
 
 def url_parts(url: Column) -> Column:
     """struct(url, scheme, host, port, userinfo, path); scheme '' if there is no '://'."""
-    s = F.regexp_replace(F.trim(url), r"[)>\]}.,;:'\"]+$", "")
+    s = F.regexp_replace(F.trim(url), _TAIL, "")
     s = F.when(s.rlike(r"(?i)^www\."), F.concat(F.lit("http://"), s)).otherwise(s)
-    whole = r"(?is)^([a-z][a-z0-9+.-]*)://([^/?#]*)(.*)$"
+    whole, pair = _WHOLE, _PAIR
 
     def build(x: Column) -> Column:
         full = x.rlike(whole)
         authority = F.regexp_extract(x, whole, 2)
         place = F.regexp_replace(authority, r"^.*@", "")
-        pair = r"^(\[[^\]]+\]|[^:]+)(?::([0-9]+))?$"
         host = F.when(place.rlike(pair), F.regexp_extract(place, pair, 1)).otherwise(place)
         return F.struct(
             x.alias("url"), F.lower(F.regexp_extract(x, whole, 1)).alias("scheme"), F.when(full, F.lower(host)).otherwise("").alias("host"),
@@ -68,29 +77,45 @@ def url_parts(url: Column) -> Column:
     return let(s, build)
 
 
-def url_flag_ids(p: Column) -> Column:
-    """Rule ids of one parsed URL (struct of ``url_parts``), in catalogue order; what needs anchor texts is apart."""
-    host, path = p["host"], p["path"]
+def url_rules(url: Column, scheme: Column, host: Column, port: Column, userinfo: Column, path: Column, org: Column) -> list[tuple[str, Column]]:
+    """Rule ids of a parsed URL with their conditions, in catalogue order; what needs anchor texts is apart. No condition
+    uses a lambda, so a projection of them is generated code."""
     creds = F.lower(path).rlike("|".join(R.CREDENTIAL_WORDS))
+    # a brand is a token of the host, and the registrable domain does not begin with it
+    imitates = F.concat(host, F.lit("/"), org).rlike(rf"^(?:[^/]*[.\-_])?({'|'.join(R.BRANDS)})(?:[.\-_][^/]*)?/(?!\1)")
+    return [
+        ("url-ip", is_ip(host)), ("url-punycode", host.rlike(r"(?i)(^|\.)xn--")), ("url-userinfo", userinfo != ""), ("url-shortener", org.isin(R.SHORTENERS)),
+        ("url-redirector", host.rlike(R.REDIRECTORS)), ("url-port", ~port.isin("", "80", "443")), ("url-tld", F.substring_index(host, ".", -1).isin(R.RISKY_TLDS)),
+        ("url-creds", creds), ("url-http", (scheme == "http") & creds), ("url-subdomains", F.size(F.split(host, r"\.")) >= 5), ("url-brand", imitates),
+        ("url-data", F.lower(url).startswith("data:")), ("url-filehost", host.isin(R.FILE_HOSTS) | org.isin(R.FILE_HOSTS)),
+    ]
+
+
+def url_flag_ids(p: Column) -> Column:
+    """Rule ids of one parsed URL (struct of ``url_parts``)."""
 
     def flags(org: Column) -> Column:
-        rules = [
-            ("url-ip", is_ip(host)), ("url-punycode", host.rlike(r"(?i)(^|\.)xn--")), ("url-userinfo", p["userinfo"] != ""), ("url-shortener", org.isin(R.SHORTENERS)),
-            ("url-redirector", host.rlike(R.REDIRECTORS)), ("url-port", ~p["port"].isin("", "80", "443")), ("url-tld", F.substring_index(host, ".", -1).isin(R.RISKY_TLDS)),
-            ("url-creds", creds), ("url-http", (p["scheme"] == "http") & creds), ("url-subdomains", F.size(F.split(host, r"\.")) >= 5),
-            ("url-brand", brand_in_host(host, org).isNotNull()), ("url-data", F.lower(p["url"]).startswith("data:")),
-            ("url-filehost", host.isin(R.FILE_HOSTS) | org.isin(R.FILE_HOSTS)),
-        ]
+        rules = url_rules(*(p[c] for c in ("url", "scheme", "host", "port", "userinfo", "path")), org)
         return F.filter(F.array(*(F.when(c, F.lit(i)) for i, c in rules)), lambda x: x.isNotNull())
 
-    return let(org_domain(host), flags)
+    return let(org_domain(p["host"]), flags)
+
+
+def with_url_columns(df: DataFrame, url: str = "url") -> DataFrame:
+    """``df`` with ``url`` trimmed and scheme, host, port, userinfo, path and org beside it; flat projections only."""
+    s = F.regexp_replace(F.trim(F.col(url)), _TAIL, "")
+    df = df.withColumn(url, F.when(s.rlike(r"(?i)^www\."), F.concat(F.lit("http://"), s)).otherwise(s))
+    full = F.col(url).rlike(_WHOLE)
+    df = df.withColumns({"scheme": F.lower(F.regexp_extract(url, _WHOLE, 1)), "_authority": F.regexp_extract(url, _WHOLE, 2), "path": F.when(full, F.regexp_extract(url, _WHOLE, 3)).otherwise(F.col(url))})
+    df = df.withColumns({"userinfo": F.regexp_extract("_authority", r"^(.*)@", 1), "_place": F.regexp_replace("_authority", r"^.*@", "")})
+    host = F.when(F.col("_place").rlike(_PAIR), F.regexp_extract("_place", _PAIR, 1)).otherwise(F.col("_place"))
+    df = df.withColumns({"host": F.lower(host), "port": F.regexp_extract("_place", _PAIR, 2)})
+    return df.withColumn("_host", _clean_host(F.col("host"))).withColumn("org", _registrable(F.col("_host"))).drop("_authority", "_place", "_host")
 
 
-def brand_in_host(host: Column, org: Column) -> Column:
-    """First brand that is a token of the host while the registrable domain does not begin with it."""
-    first = F.substring_index(org, ".", 1)
-    brands = F.array(*(F.lit(b) for b in R.BRANDS))
-    return F.try_element_at(F.filter(brands, lambda b: F.array_contains(F.split(host, r"[.\-_]"), b) & ~first.startswith(b)), F.lit(1))
+def url_rules_of_columns() -> list[tuple[str, Column]]:
+    """``url_rules`` over the columns of ``with_url_columns``."""
+    return url_rules(*(F.col(c) for c in ("url", "scheme", "host", "port", "userinfo", "path", "org")))
 
 
 def first_brand(name: Column) -> Column:

@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.text import HEX, OCTET, B, E, defang, org_domain, squeezed, strip_tags, url_flag_ids, url_parts
+from ..functions.text import HEX, OCTET, B, E, defang, org_domain, squeezed, strip_tags, url_parts, url_rules_of_columns, with_url_columns
 from ..operators.analyze import ANCHOR
-from ..operators.scoring import breakdown, findings, total
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,11 +86,12 @@ flags AS (""" + " UNION ALL ".join(f"SELECT page_id, host, org, own_org, '{i}' A
 
 
 def parsed(spark, sf_dir):
-    return hostile(spark, sf_dir).select("page_id", "original", url_parts(F.col("url")).alias("p"))
+    """page_id, original, url and its parts."""
+    return with_url_columns(hostile(spark, sf_dir))
 
 
 def url_parse(spark, sf_dir):
-    return parsed(spark, sf_dir).select("page_id", "p.*")
+    return parsed(spark, sf_dir).select("page_id", "url", "scheme", "host", "port", "userinfo", "path")
 
 
 def url_defang(spark, sf_dir):
@@ -99,15 +99,17 @@ def url_defang(spark, sf_dir):
 
 
 def url_org_domain(spark, sf_dir):
-    return parsed(spark, sf_dir).select("page_id", F.col("p.host").alias("host"), org_domain(F.col("p.host")).alias("org"))
+    return parsed(spark, sf_dir).select("page_id", "host", "org")
 
 
-def flagged(spark, sf_dir):
-    return parsed(spark, sf_dir).select("page_id", "original", F.col("p.host").alias("host"), org_domain(F.col("p.host")).alias("org"), url_flag_ids(F.col("p")).alias("ids"))
+def url_flags(spark, sf_dir):
+    """One row per flag of a page's URL."""
+    ids = F.array(*(F.when(c, F.lit(i)) for i, c in url_rules_of_columns()))
+    return parsed(spark, sf_dir).select("page_id", "original", "org", F.explode(ids).alias("id")).where("id IS NOT NULL").select("page_id", "id", "original", "org")
 
 
-def url_flags(spark, sf_dir):
-    return flagged(spark, sf_dir).select("page_id", F.explode("ids").alias("id"))
+def flags_of_pages(spark, sf_dir):
+    return url_flags(spark, sf_dir).select("page_id", "id")
 
 
 def flag_histogram(spark, sf_dir):
@@ -117,15 +119,16 @@ def flag_histogram(spark, sf_dir):
 def own_domain_suppression(spark, sf_dir):
     """Weak flags don't count on the sender's own domain, here the original URL's."""
     own = org_domain(F.regexp_extract("original", "^https?://([^/]+)", 1)) == F.col("org")
-    rows = flagged(spark, sf_dir).select("page_id", own.alias("own"), F.explode("ids").alias("id"))
-    return rows.where(~(F.col("own") & F.col("id").isin(R.WEAK_ON_OWN_DOMAIN))).select("page_id", "id")
+    return url_flags(spark, sf_dir).where(~(F.col("id").isin(R.WEAK_ON_OWN_DOMAIN) & own)).select("page_id", "id")
 
 
 def url_score(spark, sf_dir):
-    """Every page's URL flags, weighed and capped, with the verdict."""
-    rows = flagged(spark, sf_dir).withColumn("b", breakdown(findings(F.col("ids"))))
-    out = rows.select("page_id", "host", F.size("ids").cast("long").alias("n_flags"), F.filter("b", lambda x: x["cat"] != "combinacion").alias("b")).withColumn("score", total(F.col("b")))
-    return out.select("page_id", "host", "n_flags", "score", R.verdict(F.col("score")).alias("verdict"))
+    """Every page's URL flags, weighed and capped, with the verdict: one projection over the scan."""
+    rules, points = url_rules_of_columns(), {r: p for r, _, p, _ in R.RULES}
+    n = sum((c.cast("long") for _, c in rules), F.lit(0).cast("long"))
+    score = F.least(F.lit(R.CAPS["enlaces"]), sum((F.when(c, points[i]).otherwise(0) for i, c in rules), F.lit(0)))
+    out = parsed(spark, sf_dir).select("page_id", "host", n.alias("n_flags"), score.cast("int").alias("score"))
+    return out.withColumn("verdict", R.verdict(F.col("score")))
 
 
 def group_destinations(spark, sf_dir):
@@ -137,13 +140,13 @@ def group_destinations(spark, sf_dir):
 
 def url_top_hosts(spark, sf_dir):
     """The ten most frequent hosts (a top-k report)."""
-    hosts = parsed(spark, sf_dir).groupBy(F.col("p.host").alias("host")).agg(F.count(F.lit(1)).alias("n"))
+    hosts = parsed(spark, sf_dir).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     return hosts.orderBy(F.col("n").desc(), "host").limit(10)
 
 
 def external_domains(spark, sf_dir):
     """Each original host's distinct foreign registrable domains."""
-    rows = flagged(spark, sf_dir).select(org_domain(F.regexp_extract("original", "^https?://([^/]+)", 1)).alias("own_org"), "org")
+    rows = parsed(spark, sf_dir).select(org_domain(F.regexp_extract("original", "^https?://([^/]+)", 1)).alias("own_org"), "org")
     return rows.where("org <> own_org").distinct()
 
 
@@ -185,7 +188,7 @@ def _re2(pattern: str) -> str:
 
 _SQUEEZED = r"trim(regexp_replace({}, '[ \t\n\r\f\v\x{{A0}}\x{{FEFF}}]+', ' ', 'g'))"
 
-QUERIES = {f.__name__: f for f in (url_score, url_parse, url_defang, url_org_domain, url_flags, flag_histogram, own_domain_suppression, group_destinations, url_top_hosts, external_domains, html_anchors, html_signals, visible_text)}
+QUERIES = {"url_flags": flags_of_pages} | {f.__name__: f for f in (url_score, url_parse, url_defang, url_org_domain, flag_histogram, own_domain_suppression, group_destinations, url_top_hosts, external_domains, html_anchors, html_signals, visible_text)}
 
 SQL = {
     "url_parse": f"WITH {HOSTILE}, {PARSED} SELECT page_id, url, scheme, host, port, userinfo, path FROM parsed",
