@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Where scratch tables go if the session names no shared folder, as in tests on one machine.
 LOCAL_SCRATCH = "/tmp/siftmail-checkpoints"
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/siftmail-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,16 +40,16 @@ def written() -> int:
     return len(_written)
 
 
-def taken(since: int) -> list[tuple[SparkSession, str]]:
+def taken(since: int) -> list[str]:
     """The scratch tables written after the mark; they are the caller's to release."""
     own = _written[since:]
     del _written[since:]
     return own
 
 
-def release(tables: list[tuple[SparkSession, str]]) -> None:
+def release(spark: SparkSession, tables: list[str]) -> None:
     """Delete scratch tables. Call it only when no frame still reads one of them."""
-    for spark, path in tables:
+    for path in tables:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -70,13 +70,13 @@ def segments(text: str, size: int = 0) -> Iterator[str]:
 
 
 @contextmanager
-def scratch() -> Iterator[None]:
+def scratch(spark: SparkSession) -> Iterator[None]:
     """Scratch tables written inside are deleted at the end; write results out before."""
     mark = written()
     try:
         yield
     finally:
-        release(taken(mark))
+        release(spark, taken(mark))
 
 
 def fold(doc_id: Column, n: int) -> Column:

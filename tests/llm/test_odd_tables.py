@@ -64,3 +64,14 @@ def test_copies(spark, copies, name):
         assert got[got.doc_id % 3 == 0].component_id.eq(0).all() and got[got.doc_id % 3 == 2].kept.all()
     if name.startswith("op7_"):
         assert (got[got.doc_id % 3 == 0].n_removed == got[got.doc_id % 3 == 0].n_bytes).all() and (got[got.doc_id % 3 == 2].n_removed == 0).all()
+
+
+def test_scratch_tables_go(spark, copies):
+    from siftmail.llm import common
+
+    with common.scratch(spark):
+        registry.queries()["op2_host_rules"](spark, copies).count()
+        own = common._written[-1]
+        assert spark.read.parquet(own).count() == 300
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(own)
