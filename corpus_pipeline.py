@@ -28,14 +28,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_LANGUAGE_SHARE = 0.3
 MAX_TOXICITY = 0.3
 
-_before: list = []
+_before: list[str] = []
 
 
 def _stage(f):
     """The stage ``f``, whose scratch tables live until the next stage is called."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(_before)
+        release(spark, _before)
         _before.clear()
         mark = written()
         out = f(spark, docs, sf_dir)
@@ -97,11 +97,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    at: list[tuple[SparkSession, str]] = []
+    at: list[str] = []
     for name, stage in STAGES[:-1]:
         path = f"{scratch_dir(spark)}/siftmail-pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        release(at)  # the stage before is read no more
-        at = [(spark, path)]
+        release(spark, at)  # the stage before is read no more
+        at = [path]
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
