@@ -93,7 +93,7 @@ def _bits_of(values: np.ndarray, width: int) -> np.ndarray:
 def _linear(x: np.ndarray, order: int, precision: int) -> tuple[np.ndarray, np.ndarray]:
     """Quantised predictor of each row: coefficients (rows x order) and shifts. Sums are integers, so exact."""
     n = x.shape[1]
-    r = np.stack([(x[:, : n - k].astype(np.int64) * x[:, k:]).sum(1) for k in range(order + 1)], 1).astype(np.float64)
+    r = np.stack([(x[:, : n - k] * x[:, k:]).sum(1, dtype=np.int64) for k in range(order + 1)], 1).astype(np.float64)
     a = np.zeros((len(x), order))
     err = np.maximum(r[:, 0] * (1 + 1e-9), 1e-9)
     for i in range(order):
@@ -115,10 +115,10 @@ def _linear(x: np.ndarray, order: int, precision: int) -> tuple[np.ndarray, np.n
 def _residual(x: np.ndarray, coef: np.ndarray, shift: np.ndarray) -> np.ndarray:
     """Residuals of each row behind its warm-up samples."""
     order, n = coef.shape[1], x.shape[1]
-    p = np.zeros((len(x), n - order), np.int64)
+    p = np.zeros((len(x), n - order), x.dtype)
     for j in range(order):
-        p += coef[:, j : j + 1] * x[:, order - 1 - j : n - 1 - j]
-    return x[:, order:] - (p >> shift[:, None])
+        p += coef[:, j : j + 1].astype(x.dtype) * x[:, order - 1 - j : n - 1 - j]
+    return x[:, order:] - (p >> shift[:, None].astype(x.dtype))
 
 
 def _best_rice(u: np.ndarray, order: int, parts: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +128,7 @@ def _best_rice(u: np.ndarray, order: int, parts: int, most: int) -> tuple[np.nda
     edges = [0, *(width * i - order for i in range(1, parts)), n - order]
     counts = np.diff(edges)
     costs = np.stack([np.add.reduceat(u >> k, edges[:-1], axis=1) + (k + 1) * counts for k in range(min(15, most + 1))], 2)
-    return costs.argmin(2), costs.min(2).sum(1) + 4 * parts
+    return costs.argmin(2).astype(np.int32), costs.min(2).sum(1) + 4 * parts
 
 
 def _encode_rows(x: np.ndarray, bits: int) -> tuple[list[bytes], list[np.ndarray]]:
@@ -203,7 +203,7 @@ def encode(payloads: list[bytes], block: int = 4096, rate: int = 8000) -> list[b
     frames: list = [b""] * len(blocks)
     for own in (own[a : a + ROWS] for own in by_length.values() for a in range(0, len(own), ROWS)):
         n = len(blocks[own[0]][2])
-        for j, sub in zip(own, _encode_rows(np.stack([blocks[j][2] for j in own]).astype(np.int64), 8), strict=True):
+        for j, sub in zip(own, _encode_rows(np.stack([blocks[j][2] for j in own]).astype(np.int32), 8), strict=True):
             # sync, fixed block size; 16-bit block size follows, rate as in the stream info; mono, 8 bits
             head = b"\xff\xf8\x70\x02" + _coded_number(blocks[j][1]) + (n - 1).to_bytes(2, "big")
             frames[j] = head + bytes([crc8(head)]) + np.packbits(sub).tobytes()
