@@ -120,11 +120,14 @@ def url_rules_of_columns() -> list[tuple[str, Column]]:
 
 def first_brand(name: Column) -> Column:
     """First brand, in the catalogue's order, within a name of letters and digits."""
-    plain = F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
-    out = F.lit(None).cast("string")
-    for b in reversed(R.BRANDS):
-        out = F.when(plain.contains(b), F.lit(b)).otherwise(out)
-    return out
+
+    def first(plain: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for b in reversed(R.BRANDS):
+            out = F.when(plain.contains(b), F.lit(b)).otherwise(out)
+        return out
+
+    return let(F.regexp_replace(F.lower(name), "[^a-z0-9]", ""), first)
 
 
 def strip_tags(html: Column) -> Column:

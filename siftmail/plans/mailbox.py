@@ -10,7 +10,11 @@ from ..operators.analyze import analyze
 from ..operators.parse import address_list, b64, decode_bytes, mime_parts, params_of, quoted, rfc2047
 from ..sources.messages import synthesized
 from .fixtures import EXPECTED, MESSAGES
-from .urls import table
+from .urls import spread, table
+
+
+def _mailbox(spark, sf_dir):
+    return synthesized(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def fixture_reports(spark, sf_dir):
@@ -93,7 +97,7 @@ def auth_goldens(spark, sf_dir):
 
 def mailbox_reports(spark, sf_dir):
     """The whole analysis over a mailbox made of every document."""
-    return report.summary(analyze(synthesized(table(spark, sf_dir, "documents"))))
+    return report.summary(analyze(_mailbox(spark, sf_dir)))
 
 
 def mailbox_verdicts(spark, sf_dir):
@@ -101,15 +105,15 @@ def mailbox_verdicts(spark, sf_dir):
 
 
 def mailbox_iocs(spark, sf_dir):
-    return report.ioc_rows(analyze(synthesized(table(spark, sf_dir, "documents")))).select("kind", "value", "defanged").distinct()
+    return report.ioc_rows(analyze(_mailbox(spark, sf_dir))).select("kind", "value", "defanged").distinct()
 
 
 def mailbox_json(spark, sf_dir):
-    return report.report_json(analyze(synthesized(table(spark, sf_dir, "documents"))))
+    return report.report_json(analyze(_mailbox(spark, sf_dir)))
 
 
 def mailbox_reasons(spark, sf_dir):
-    return report.reasons(analyze(synthesized(table(spark, sf_dir, "documents"))))
+    return report.reasons(analyze(_mailbox(spark, sf_dir)))
 
 
 def _values(rows) -> str:

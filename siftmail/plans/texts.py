@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.text import B, E, IPV4, first_brand, html_escape, human_size, is_private_ip, lookup_url, magic_of, short_address
-from .urls import _re2, table
+from .urls import _re2, spread, table
 
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.[A-Za-z]{2,}"
 DOTTED = rf"(?<![A-Za-z0-9_]){IPV4}(?![A-Za-z0-9_])"
@@ -37,7 +37,7 @@ def doc_hashes(spark, sf_dir):
 
 
 def first_brand_in_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", first_brand(F.col("text")).alias("brand"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", first_brand(F.col("text")).alias("brand"))
 
 
 #: doc_id modulo -> appended phrase
@@ -53,8 +53,10 @@ RULES = {
 def content_rules(spark, sf_dir):
     """Which content rules each text fires, phrases appended by id so that each fires somewhere."""
     text = F.concat("text", *(F.when(F.col("doc_id") % k == 0, F.lit(p)).otherwise("") for k, p in PHRASES.items()))
-    hit = F.filter(F.array(*(F.when(text.rlike(p), F.lit(i)) for i, p in RULES.items())), lambda x: x.isNotNull())
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(hit).alias("id"))
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.alias("whole")).withColumn("low", F.lower("whole"))
+    # rules that fold case are matched against the lower-cased text
+    hit = (F.when(F.col("low").rlike(p[p.index(")") + 1 :]) if p.startswith("(?i") else F.col("whole").rlike(p), F.lit(i)) for i, p in RULES.items())
+    return texts.select("doc_id", F.explode(F.array(*hit)).alias("id")).where("id IS NOT NULL")
 
 
 def human_sizes(spark, sf_dir):

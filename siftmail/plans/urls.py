@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files have fewer splits than there are cores; a larger input stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: page_id modulo 13 -> pattern and replacement (0: none)
 CHANGES = {
     1: ("^(https?://)[^/]+", "$1185.199.110.153"), 2: ("^(https?://[^/]+)", "$1:8080"), 3: ("^(https?://)", "$1user@"), 4: (r"^(https?://[^/]+)\.[a-z]+(/|$)", "$1.xyz$2"),
