@@ -8,7 +8,8 @@ Model, all learned from labelled rows:
 It is fitted on at most about ``max_docs`` labelled documents drawn by a hash of the text (the documented bound);
 copies and most near copies in the sample count once (documents with the same four smallest word hashes), so that a
 text repeated a thousand times does not make its words terms. Word counts are a Spark aggregation; to the driver
-come the terms, at most ``max_terms``, and six numbers for each sampled document.
+come the terms, at most ``max_terms``, all exceptions (words of the sample, so bounded by it) and six numbers for each
+sampled document.
 
 Matching. The trie of the lexicon and the automata of one error (two from 8 letters on) are walked together: a
 state is the set of (trie node, errors) reachable, made on demand, kept, and followed letter by letter; most words
@@ -231,7 +232,7 @@ def fit(labelled: DataFrame, *, max_docs: int = 20_000, max_terms: int = 300, mi
                 keep = [w for w in batch.column(0).to_pylist() if (f := m[w]) and f[0]]
                 yield pa.RecordBatch.from_pydict({"w": pa.array(keep, pa.string())})
 
-        spelled = df.where("n - pos > 0 AND 2 * (n - pos) >= pos").select("w").mapInArrow(clean_words, "w string").limit(10 * max_terms + 1000).collect() if terms else []
+        spelled = df.where("n - pos > 0 AND 2 * (n - pos) >= pos").select("w").mapInArrow(clean_words, "w string").collect() if terms else []
         lexicon = Lexicon(terms, frozenset(r["w"] for r in spelled))
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

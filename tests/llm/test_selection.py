@@ -131,6 +131,15 @@ def test_toxicity_without_labels_and_of_odd_texts(spark, docs_of):
     assert {round(r["s"], 6) for r in got.collect()} == {0.05}
 
 
+def test_every_exception_is_kept(spark):
+    spelled = ["".join(w) for w in itertools.islice(((*"bl", a, *"ckhe", b, "d") for a in "abcdefghijklmnopqrstuvwxyzäöüéèàçñßøåæœабвгдежзиклмнпрстуфхцчшэюя" for b in "bcdefghijklmnopqrstuvwxyzäöüéèàçñßøåæœабвгдежзиклмнпрстуфхцчшэюя"), 4400)]
+    bad = [(f"blockhead alone in number{i} text{i}", 1) for i in range(60)]
+    fine = [(" ".join(spelled[i::80]), 0) for i in range(80)]
+    model = toxic_lexicon.fit(spark.createDataFrame(bad + fine, "text string, toxic int"))
+    assert "blockhead" in model.lexicon.terms and set(spelled) - {"blockhead"} <= model.lexicon.exceptions
+    assert len(model.lexicon.exceptions) > 4000 and all(model.lexicon.match(w) is None for w in spelled)
+
+
 def viterbi_brute(score, switch):
     n, k = score.shape
     return max(sum(score[i, p[i]] for i in range(n)) - switch * sum(p[i] != p[i - 1] for i in range(1, n)) for p in itertools.product(range(k), repeat=n))
