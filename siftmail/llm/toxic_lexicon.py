@@ -8,8 +8,7 @@ Model, all learned from labelled rows:
 It is fitted on at most about ``max_docs`` labelled documents drawn by a hash of the text (the documented bound);
 copies and most near copies in the sample count once (documents with the same four smallest word hashes), so that a
 text repeated a thousand times does not make its words terms. Word counts are a Spark aggregation; to the driver
-come the terms, at most ``max_terms``, all exceptions (words of the sample, so bounded by it) and six numbers for each
-sampled document.
+come all terms and exceptions (words of the sample, so bounded by it) and six numbers for each sampled document.
 
 Matching. The trie of the lexicon and the automata of one error (two from 8 letters on) are walked together: a
 state is the set of (trie node, errors) reachable, made on demand, kept, and followed letter by letter; most words
@@ -202,7 +201,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     return float(w[0]), w[1:]
 
 
-def fit(labelled: DataFrame, *, max_docs: int = 20_000, max_terms: int = 300, min_docs: int = 5, text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(labelled: DataFrame, *, max_docs: int = 20_000, min_docs: int = 5, text_col: str = "text", label_col: str = "toxic") -> Model:
     """``labelled``: texts with 0/1 labels; rows without either are left out."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("text IS NOT NULL AND y IS NOT NULL")
     n = rows.count()
@@ -222,7 +221,7 @@ def fit(labelled: DataFrame, *, max_docs: int = 20_000, max_terms: int = 300, mi
         # lower end of the 99.9 % Wilson interval of the word's share of toxic documents
         z, p = 3.1, F.col("pos") / F.col("n")
         low = (p + z * z / (2 * F.col("n")) - z * F.sqrt(p * (1 - p) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
-        strong = df.where((F.col("pos") >= min_docs) & (p >= 0.6) & (low > base + 0.25 * (1 - base))).orderBy(low.desc(), "w").limit(max_terms).collect()
+        strong = df.where((F.col("pos") >= min_docs) & (p >= 0.6) & (low > base + 0.25 * (1 - base))).select("w").collect()
         terms = sorted(r["w"] for r in strong)
         reach = Lexicon(terms)
 
@@ -249,7 +248,7 @@ def fit(labelled: DataFrame, *, max_docs: int = 20_000, max_terms: int = 300, mi
 
 
 def toxicity(text: Column, model: Model) -> Column:
-    """Score between 0 and 1 for a text column. The model holds at most ``max_terms`` terms."""
+    """Score between 0 and 1 for a text column. The model is broadcast."""
     sent = SparkSession.active().sparkContext.broadcast((model.lexicon.terms, model.lexicon.exceptions, model.bias, model.weights))
 
     @F.pandas_udf("double")

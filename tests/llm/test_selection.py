@@ -140,6 +140,15 @@ def test_every_exception_is_kept(spark):
     assert len(model.lexicon.exceptions) > 4000 and all(model.lexicon.match(w) is None for w in spelled)
 
 
+def test_every_term_that_passes_is_kept(spark):
+    rng = random.Random(5)
+    terms = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(700)})
+    bad = [(" ".join(w for w in terms if rng.random() < 0.3), 1) for _ in range(150)]
+    fine = [(f"plain{i} words{i} here{i} 123", 0) for i in range(300)]
+    model = toxic_lexicon.fit(spark.createDataFrame(bad + fine, "text string, toxic int"))
+    assert model.lexicon.terms == terms
+
+
 def viterbi_brute(score, switch):
     n, k = score.shape
     return max(sum(score[i, p[i]] for i in range(n)) - switch * sum(p[i] != p[i - 1] for i in range(1, n)) for p in itertools.product(range(k), repeat=n))
