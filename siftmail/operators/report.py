@@ -20,6 +20,14 @@ REASONS = {
     "body-form": "it holds a form", "body-password": "it asks for a password", "url-ip": "a link goes to a bare address", "url-mismatch": "a link shows one site and goes to another",
     "url-punycode": "a link imitates letters", "url-brand": "a link imitates a brand", "att-exec": "an attachment can run", "att-macro": "an attachment holds macros",
     "att-double": "an attachment hides its type", "att-html": "an attachment is a web page", "subj-urgency": "it presses for haste",
+    "rp-mismatch": "bounces go to another domain than the sender's", "from-punycode": "the sender's domain imitates letters", "from-tld": "the sender's domain is of a kind that fraud favours",
+    "subj-nothread": "it poses as an answer to a conversation that is not there", "body-script": "it holds program code", "body-refresh": "it sends you to another page by itself",
+    "body-hidden": "it holds text that cannot be seen", "body-image": "it is nearly all image, which filters cannot read", "body-crypto": "it speaks of cryptocurrency",
+    "xmailer": "it was sent by a bulk mailing tool", "url-creds": "a link goes to a page for signing in or verifying an account", "url-filehost": "a link goes to a file sharing service",
+    "url-http": "a link to a page that asks for data is not encrypted", "url-shortener": "a shortened link hides where it goes", "url-tld": "a link goes to a domain of a kind that fraud favours",
+    "url-userinfo": "a link is made to seem to go elsewhere", "att-mismatch": "an attachment is not of the type it claims", "att-rtlo": "an attachment's name is written backwards in part",
+    "combo-bec": "it fits fraud by someone posing as a superior or supplier", "combo-credenciales": "it fits the theft of passwords by a false page",
+    "combo-malware": "it fits the sending of malware in an attachment", "combo-extorsion": "it fits extortion for cryptocurrency",
 }
 
 # Relay services by registrable domain, and public search pages.

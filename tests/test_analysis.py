@@ -91,6 +91,17 @@ def test_views(spark):
     reports.unpersist()
 
 
+def test_every_plain_reason_is_told(spark):
+    survey_u5 = """att-double att-exec att-html att-macro att-mismatch att-rtlo align-none body-bec body-crypto body-form body-hidden body-iban body-image
+    body-nocontacto body-password body-refresh body-script combo-bec combo-credenciales combo-extorsion combo-malware dkim-fail dmarc-fail dn-brand dn-email
+    from-freemail-cargo from-punycode from-tld replyto-freemail replyto-mismatch rp-mismatch spf-fail subj-nothread subj-urgency url-brand url-creds
+    url-filehost url-http url-ip url-mismatch url-punycode url-shortener url-tld url-userinfo xmailer""".split()
+    assert len(survey_u5) == 45 and set(report.REASONS) == set(survey_u5) <= {r[0] for r in R.RULES} and len(set(report.REASONS.values())) == 45
+    ids = [["xmailer", "url-http", "spf-none", "url-http", "combo-malware"], ["rp-mismatch"]]
+    got = report.reasons(with_score(spark.createDataFrame([(f"m{i}", x) for i, x in enumerate(ids)], "message_id string, rule_ids array<string>"))).orderBy("message_id").collect()
+    assert [r["reasons"] for r in got] == [[report.REASONS[i] for i in ("xmailer", "url-http", "combo-malware")], [report.REASONS["rp-mismatch"]]]
+
+
 def test_files_paste_and_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, raw in MESSAGES.items():
