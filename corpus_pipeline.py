@@ -5,7 +5,8 @@ Each stage takes (spark, docs, sf_dir), where docs is what its predecessor kept,
 tables of a stage are deleted when the next one is called.
 
 Nulls: a null text has no language and goes at the first stage. A null id is kept by every later stage, never merged
-with another. Repeated rows (one id, one text) leave the near-duplicate stage as one. Extra columns are dropped by
+with another. Repeated rows (one id, one text) leave the near-duplicate stage as one; rows of one id and several texts
+are documents of their own, compared text by text. Extra columns are dropped by
 the first stage; an empty table passes through as one.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from siftmail.llm import curve_packing, lang_spans, minmax_dedup, repeat_dedup, toxic_lexicon
 from siftmail.llm.chunked_bpe import ranks_from_json
-from siftmail.llm.common import fold, release, scratch_dir, table, taken, written
+from siftmail.llm.common import fold, release, saved, scratch_dir, table, taken, written
 from siftmail.llm.queries_toxic_lexicon import labelled
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -65,11 +66,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id."""
-    kept = minmax_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
-    left = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(left.where("doc_id IS NULL"))
+    """One document of each group of near duplicates: that of the smallest id and, within an id, of the smallest text.
+    Rows that share an id but not the text are documents of their own; those that are linked with nothing all stay."""
+    docs = docs.select(*COLUMNS)
+    named, unnamed = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    digest = F.struct(F.xxhash64("text"), F.xxhash64("text", F.lit(1)))
+    several = named.groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b")
+    if several.isEmpty():
+        kept = minmax_dedup.near_duplicates(named).where("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
+        left = named.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    else:  # numbered in the order of (id, text), so that each text is compared as itself
+        rows = named.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r")).select("doc_id", "text", "r.*")
+        rows = saved(rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+        kept = minmax_dedup.near_duplicates(rows, id_col="row").where("kept").select(F.col("doc_id").alias("kept_row"))
+        left = rows.join(kept, F.col("row") == F.col("kept_row"), "left_semi").select(*COLUMNS)
+    return left.unionByName(unnamed)
 
 
 @_stage

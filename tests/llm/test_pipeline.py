@@ -129,3 +129,17 @@ def test_empty_table_and_nulls(spark, tmp_path):
     rows = [(None, "words of a text without an id", None, None, None, "x"), (1, None, None, None, None, "x"), (2, "some other words here", "en", None, None, "x"), (2, "some other words here", "en", None, None, "x")]
     spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert sorted({r["doc_id"] for r in cp.run(spark, str(tmp_path)).collect()}, key=str) == [2, None]
+
+
+def test_near_duplicates_of_one_id_with_several_texts(spark, tmp_path):
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"{k}{rng.randrange(10_000)}" for _ in range(100)) for k in "abc")
+    near = a + " end"
+    rows = [(1, c), (5, a), (5, b), (5, near), (5, b), (7, near), (9, b), (None, a), (None, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for some in (docs, docs.repartition(5, "text"), docs.orderBy("text", ascending=False)):
+        got = cp.near_duplicates(spark, some, str(tmp_path)).collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, c), (5, a), (5, b), (0, a), (0, b)])
+    # what is linked with a smaller id goes, the other text of the same id stays
+    got = cp.near_duplicates(spark, docs.unionByName(docs.where("doc_id = 1").selectExpr("9L AS doc_id", "text", "lang", "source", "n_chars")).where("doc_id IN (1, 9)"), str(tmp_path)).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == {(1, c), (9, b)}
