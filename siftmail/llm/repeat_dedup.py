@@ -11,8 +11,11 @@ meets all its equals. (A text's fragments are some 24 bytes of numbers for 85 by
    and common prefixes (``column_bwt``): a round for each column, a symbol for each content; a window is repeated if
    its suffix shares ``width`` bytes with a neighbour. This is the named method restricted to where it decides and to
    suffixes of equal columns; over whole texts it would need a pass over all text for each byte of the longest one.
-4. Anchors with more than ``most`` contents (a passage amid as many different surroundings) aren't gathered in one
-   task: each window's 64-bit hash beside the anchor's is counted instead, by an aggregation, to the same end.
+4. Anchors with more than ``most`` contents (a passage amid as many different surroundings) are split by content first,
+   and steps 2 to 4 repeat on the parts. A part has the windows that begin in one band of columns, and the bytes that
+   all windows of the band have in common name its group, so equal windows still meet. Bands grow narrower (SPANS) until
+   one is a single window, whose group has one content. So no task gathers more than ``most`` contents of a group, at
+   any size, and every group goes the same way.
 Texts are then joined with their repeated runs by key and cut.
 
 Null text counts as empty. Texts under ``width`` bytes lose nothing. Repeated rows and equal texts are all removed
@@ -21,6 +24,7 @@ from, as the rule says, each giving the same result. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +37,8 @@ from .column_bwt import repeated_windows
 from .common import saved
 
 GRAM = 32
+#: Columns of the bands by which large groups are split, one after the other.
+SPANS = (43, 11, 3, 1)
 _PIECE = 1_000_000  # bytes of text that are hashed together
 
 
@@ -152,49 +158,68 @@ def _runs(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
 
 
 def _by_construction(contents: DataFrame, width: int, batch: int) -> DataFrame:
-    """m, k, runs (a, b) of repeated bytes of contents (m, k, place, bytes) dealt and sorted by m."""
+    """g, h, runs (a, b) of repeated bytes of contents (g, h, place, bytes) dealt and sorted by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
 
         def solved():
-            out: dict[str, list] = {"m": [], "k": [], "a": [], "b": []}
-            m = np.array([x[0] for x in held], np.int64)
-            groups = np.cumsum(np.append(0, m[1:] != m[:-1]))
+            out: dict[str, list] = {"g": [], "h": [], "a": [], "b": []}
+            g = np.array([x[0] for x in held], np.int64)
+            groups = np.cumsum(np.append(0, g[1:] != g[:-1]))
             found = repeated_windows([x[3] for x in held], -np.array([x[2] for x in held], np.int64), groups, width)
-            for (m, k, _, _), starts in zip(held, found, strict=True):
+            for (g, h, _, _), starts in zip(held, found, strict=True):
                 for a, b in _runs(starts, width):
-                    for c, v in zip(out, (m, k, a, b), strict=True):
+                    for c, v in zip(out, (g, h, a, b), strict=True):
                         out[c].append(v)
             return pa.RecordBatch.from_pydict(out, pa.schema([(c, pa.int64()) for c in out]))
 
         for got in batches:
-            for m, k, place, raw in zip(*(got.column(i).to_pylist() for i in range(3)), got.column(3), strict=True):
-                if len(held) >= batch and held[-1][0] != m:  # an anchor's contents stay together
+            for g, h, place, raw in zip(*(got.column(i).to_pylist() for i in range(3)), got.column(3), strict=True):
+                if len(held) >= batch and held[-1][0] != g:  # a group's contents stay together
                     yield solved()
                     held = []
-                held.append((m, k, place, raw.as_py()))
+                held.append((g, h, place, raw.as_py()))
         if held:
             yield solved()
 
-    dealt = contents.select("m", "k", "place", "bytes").repartition("m").sortWithinPartitions("m", "k")
-    return dealt.mapInArrow(run, "m long, k long, a long, b long")
+    dealt = contents.select("g", "h", "place", "bytes").repartition("g").sortWithinPartitions("g", "h")
+    return dealt.mapInArrow(run, "g long, h long, a long, b long")
 
 
-def _by_counting(contents: DataFrame, width: int) -> DataFrame:
-    """The same for anchors of very many contents: windows counted by hash."""
+def _parts(rows: DataFrame, width: int, span: int) -> DataFrame:
+    """Rows (m, k, at, g, place, bytes) cut by bands of ``span`` columns: one part for each band that has a window."""
+    low, high = -F.col("place"), F.octet_length("bytes") - width - F.col("place")  # columns of the first and last window
+    begin = F.col("band") * span
+    cut = rows.withColumn("band", F.explode(F.sequence(F.floor(low / span).cast("int"), F.floor(high / span).cast("int"))))
+    cut = cut.withColumns({"a": F.greatest(low, begin), "b": F.least(high, begin + span - 1), "core": F.expr(f"substring(bytes, band * {span} + {span} + place, {width - span + 1})")})
+    part = F.expr(f"substring(bytes, a + place + 1, b - a + {width})")
+    return cut.select(
+        "m", "k", (F.col("at") + F.col("a") + F.col("place")).alias("at"), F.xxhash64("g", "band", "core").alias("g"), F.xxhash64(part).alias("h"), (-F.col("a")).alias("place"), part.alias("bytes")
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in batches:
-            for m, k, raw in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2), strict=True):
-                x = raw.as_py()
-                w = np.fromiter((xxhash.xxh3_64_intdigest(x[a : a + width]) for a in range(len(x) - width + 1)), np.uint64).view(np.int64)
-                n = len(w)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, m)), pa.array(np.full(n, k)), pa.array(np.arange(n)), pa.array(w)], ["m", "k", "a", "w"])
 
-    windows = saved(contents.select("m", "k", "bytes").mapInArrow(_joined(run), "m long, k long, a long, w long"), "windows")
-    again = saved(windows.groupBy("m", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m", "w"), "windows-again")
-    return windows.join(again, ["m", "w"]).select("m", "k", "a", (F.col("a") + width).alias("b"))
+def _repeats_of(contents: DataFrame, *, width: int, batch: int, most: int) -> DataFrame:
+    """Repeated runs (m, k, a, b) of distinct contents (m, k, n, place, bytes), n the times a content occurs. Those of
+    n > 1 are repeated as a whole, which is not told again."""
+    rows = contents.select("m", "k", F.lit(0).alias("at"), F.col("m").alias("g"), F.col("k").alias("h"), F.col("place").cast("int").alias("place"), "bytes", "n")
+    closed, whole = [], []
+    for span in (*SPANS, None):
+        groups = saved(rows.groupBy("g").agg(F.count(F.lit(1)).alias("contents"), F.min("n").alias("least")).where("least = 1 AND contents > 1"), "groups")
+        closed.append(rows.join(groups.where(F.col("contents") <= most), "g").select("m", "k", "at", "g", "h", "place", "bytes", "n"))
+        large = groups.where(F.col("contents") > most)
+        if span is None or large.isEmpty():
+            break
+        parts = saved(_parts(rows.join(large, "g", "left_semi"), width, span), "parts")
+        seen = saved(parts.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("m", "k", "at")).alias("one")), "parts-seen")
+        again = parts.join(seen.where("n > 1").select("g", "h"), ["g", "h"])
+        whole.append(again.select("m", "k", F.col("at").cast("long").alias("a"), (F.col("at") + F.octet_length("bytes")).cast("long").alias("b")))
+        first = seen.select("g", "h", "n", F.col("one.m").alias("m"), F.col("one.k").alias("k"), F.col("one.at").alias("at"))
+        rows = saved(parts.join(first, ["g", "h", "m", "k", "at"]), "parts")
+    ready = functools.reduce(DataFrame.unionByName, closed)
+    found = _by_construction(ready, width, batch).join(ready.where("n = 1").select("g", "h", "m", "k", "at"), ["g", "h"])
+    told = found.select("m", "k", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
+    return functools.reduce(DataFrame.unionByName, whole, told)
 
 
 def repeated_runs(docs: DataFrame, *, width: int, batch: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -205,22 +230,20 @@ def repeated_runs(docs: DataFrame, *, width: int, batch: int, most: int) -> tupl
     contents = saved(
         maybe.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n"), F.first("several").alias("several"), F.min(F.struct("id", "x", "start")).alias("at"), F.min("length").alias("length"), F.min("place").alias("place")), "contents"
     )
-    groups = saved(contents.where("several").groupBy("m").agg(F.count(F.lit(1)).alias("contents"), F.min("n").alias("least")).where("least = 1").select("m", "contents"), "groups")
+    groups = saved(contents.where("several").groupBy("m").agg(F.min("n").alias("least")).where("least = 1").select("m"), "groups")
     texts = saved(docs.join(maybe.select("id", "x").distinct(), ["id", "x"], "left_semi").dropDuplicates(["id", "x"]), "texts")
 
-    open_ = contents.join(groups, "m").select("m", "k", "contents", F.col("at.id").alias("id"), F.col("at.x").alias("x"), F.col("at.start").alias("start"), "length", "place")
+    open_ = contents.join(groups, "m").select("m", "k", "n", F.col("at.id").alias("id"), F.col("at.x").alias("x"), F.col("at.start").alias("start"), "length", "place")
     raw = F.expr("substring(cast(text AS binary), int(start + 1), length)")
-    fetched = saved(open_.join(texts, ["id", "x"]).select("m", "k", "contents", "place", raw.alias("bytes")), "contents-bytes")
-    found = _by_construction(fetched.where(F.col("contents") <= most), width, batch).unionByName(_by_counting(fetched.where(F.col("contents") > most), width))
+    fetched = saved(open_.join(texts, ["id", "x"]).select("m", "k", "n", "place", raw.alias("bytes")), "contents-bytes")
     whole = contents.where("n > 1").select("m", "k", F.lit(0).cast("long").alias("a"), F.col("length").cast("long").alias("b"))
-    single = contents.where("n = 1").select("m", "k")
-    marks = saved(whole.unionByName(found.join(single, ["m", "k"], "left_semi")), "marks")
+    marks = saved(whole.unionByName(_repeats_of(fetched, width=width, batch=batch, most=most)), "marks")
     runs = maybe.join(marks, ["m", "k"]).select("id", "x", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     return runs, texts
 
 
 def remove_repeats(
-    docs: DataFrame, *, width: int = 200, batch: int = 2000, most: int = 20_000, text_col: str = "text", id_col: str = "doc_id",
+    docs: DataFrame, *, width: int = 200, batch: int = 2000, most: int = 256, text_col: str = "text", id_col: str = "doc_id",
 ) -> DataFrame:
     """One row per text that loses anything: id and x (its key: ``text_key``), n_bytes, n_removed, n_spans, spans (start,
     end), kept (the remaining bytes) and kept_text (the characters that kept all their bytes)."""
@@ -261,5 +284,3 @@ def remove_repeats(
 def text_key(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> list[Column]:
     """Columns id and x that name a row's text in ``remove_repeats``."""
     return _key(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-
-

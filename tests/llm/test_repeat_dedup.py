@@ -50,7 +50,7 @@ def corpus(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize("most", [2000, 3])
+@pytest.mark.parametrize("most", [2000, 3, 1])
 def test_against_brute_force(spark, docs_of, tmp_path, monkeypatch, most):
     import siftmail.llm.queries_repeat_dedup as q
 
