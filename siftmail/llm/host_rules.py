@@ -5,8 +5,10 @@ that the text repeats; over ``max_symbol_pct`` symbols for 100 words; over ``max
 to an earlier one. The first two reject the document itself. A host's rate is the share of its documents that
 break any rule. Rates of small hosts say little, so each is shrunk towards the rate of all documents: the prior
 Beta(a, b) has the mean of all documents, and a + b comes from the spread of host rates by moments (the
-document-weighted variance between hosts less what binomial noise explains). A host whose posterior mean
-exceeds ``max_host_rate`` loses all its documents.
+document-weighted variance between hosts less what binomial noise explains). A host loses all its documents if it is
+surely worse than the corpus: if the low end of its rate (posterior mean less ``sureness`` posterior deviations; 1.645
+leaves 5 %) has odds over ``odds_factor`` times those of all documents. The bar follows the corpus: hosts that are all
+alike, good or bad, are judged alike by the document rules only.
 
 Null text counts as empty (no words: rejected). Null hosts form one host. Repeated rows count each. An empty
 table gives an empty result. Other columns of the input are ignored.
@@ -103,10 +105,10 @@ def beta_prior(failed: int, docs: int, hosts: int, weighted_squares: float) -> t
 
 def judge(
     docs: DataFrame, *, min_words: int = 50, max_repeat_pct: int = 50, max_symbol_pct: int = 20, max_dup_line_pct: int = 30,
-    max_host_rate: float = 0.6, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source",
+    odds_factor: float = 3.0, sureness: float = 1.645, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source",
 ) -> DataFrame:
     """One row per row of ``docs``: the counts, base_failed, rule_failed, the host's documents, failures and
-    shrunk rate, and ``kept``."""
+    shrunk rate, the low end of it, host_failing (whether the host is rejected), and ``kept``."""
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     rules = base | (100 * F.col("n_symbols") > max_symbol_pct * F.col("n_words")) | (100 * F.col("n_dup_lines") > max_dup_line_pct * F.col("n_lines"))
     rows = saved(features(docs, text_col, id_col, host_col).withColumns({"base_failed": base, "rule_failed": rules}), "host-features")
@@ -116,8 +118,12 @@ def judge(
     t = hosts.agg(F.sum("host_failed").alias("f"), F.sum(n).alias("n"), F.count(F.lit(1)).alias("k"), F.sum(n * share * share).alias("npp")).first()  # one row
     mean, strength = beta_prior(t["f"] or 0, t["n"] or 0, t["k"], t["npp"] or 0.0)
     rate = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
-    verdicts = hosts.select("host", "host_docs", "host_failed", rate.alias("host_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    deviation = F.sqrt(rate * (1 - rate) / (F.col("host_docs") + F.lit(strength) + 1))
+    low = F.greatest(F.lit(0.0), rate - F.lit(sureness) * deviation)
+    # odds(low) > odds_factor * odds(mean), without a division that a rate of 1 would break
+    failing = low * F.lit(1 - mean) > F.lit(odds_factor * mean) * (1 - low)
+    verdicts = hosts.select("host", "host_docs", "host_failed", rate.alias("host_rate"), low.alias("host_low"), failing.alias("host_failing"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
-    v = verdicts.select(F.col("host").alias("v_host"), F.col("salt").alias("v_salt"), "host_docs", "host_failed", "host_rate")
+    v = verdicts.select(F.col("host").alias("v_host"), F.col("salt").alias("v_salt"), "host_docs", "host_failed", "host_rate", "host_low", "host_failing")
     both = dealt.join(v, F.col("host").eqNullSafe(F.col("v_host")) & (F.col("salt") == F.col("v_salt")))
-    return both.select(*rows.columns, "host_docs", "host_failed", "host_rate", (~F.col("base_failed") & (F.col("host_rate") <= max_host_rate)).alias("kept"))
+    return both.select(*rows.columns, "host_docs", "host_failed", "host_rate", "host_low", "host_failing", (~F.col("base_failed") & ~F.col("host_failing")).alias("kept"))

@@ -6,7 +6,7 @@ from .host_rules import judge
 
 def op2_host_rules(spark, sf_dir):
     out = judge(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_failed")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_failed", "host_failing")
 
 
 QUERIES = {"op2_host_rules": op2_host_rules}
@@ -33,9 +33,11 @@ g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 h AS (SELECT host, count(*) AS host_docs, count(*) FILTER (rule_failed) AS host_failed FROM g GROUP BY host),
 t AS (SELECT sum(host_failed)::DOUBLE / sum(host_docs) AS m, count(*) AS k, sum(host_docs)::DOUBLE AS n,
              sum(host_failed::DOUBLE * host_failed / host_docs) / sum(host_docs) AS q FROM h),
-p AS (SELECT m, greatest(1.0, least(1e6, m * (1 - m) / greatest(q - m * m - m * (1 - m) * k / n, 1e-9) - 1)) AS s FROM t)
+p AS (SELECT m, greatest(1.0, least(1e6, m * (1 - m) / greatest(q - m * m - m * (1 - m) * k / n, 1e-9) - 1)) AS s FROM t),
+r AS (SELECT host, host_docs, host_failed, m, (host_failed + m * s) / (host_docs + s) AS rate, s FROM h, p),
+v AS (SELECT host, host_docs, host_failed, low * (1 - m) > 3 * m * (1 - low) AS host_failing
+      FROM (SELECT *, greatest(0.0, rate - 1.645 * sqrt(rate * (1 - rate) / (host_docs + s + 1))) AS low FROM r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (host_failed + m * s) / (host_docs + s) <= 0.6 AS kept,
-       host_docs::BIGINT AS host_docs, host_failed::BIGINT AS host_failed
-FROM g JOIN h ON g.host IS NOT DISTINCT FROM h.host, p"""
+       NOT base_failed AND NOT host_failing AS kept, host_docs::BIGINT AS host_docs, host_failed::BIGINT AS host_failed, host_failing
+FROM g JOIN v ON g.host IS NOT DISTINCT FROM v.host"""
 }

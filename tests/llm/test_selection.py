@@ -49,6 +49,23 @@ def test_bad_hosts_lose_good_documents(spark):
     assert 0.4 < got["small", 901]["host_rate"] < 1  # shrunk away from 1
 
 
+def test_a_bad_host_decides_in_the_query(spark, tmp_path):
+    """Ordinary hosts fail some documents and stay; one that fails most goes, good documents included; one with too
+    few documents to be sure stays. The same in SQL."""
+    rng = random.Random(8)
+    good = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randrange(10_000)) for _ in range(80))
+    rows = [(i, "short" if rng.random() < 0.12 else good(), None, f"h{i % 12}", None) for i in range(600)]
+    rows += [(600 + i, "short" if i % 4 else good(), None, "bad", None) for i in range(60)] + [(700, "short", None, "tiny", None), (701, good(), None, "tiny", None)]
+    table_of(spark, rows, tmp_path)
+    got = queries_host_rules.op2_host_rules(spark, str(tmp_path)).toPandas()
+    assert as_rows(got) == as_rows(duck(queries_host_rules.SQL["op2_host_rules"], rows))
+    by = got.set_index("doc_id")
+    hosts = {i: h for i, _, _, h, _ in rows}
+    for i, r in by.iterrows():
+        assert r.kept == (not r.base_failed and hosts[i] != "bad") and r.host_failing == (hosts[i] == "bad")
+    assert (~by.base_failed & ~by.kept).sum() == 15
+
+
 def near_rows(seed=3):
     rng = random.Random(seed)
     word = lambda: rng.choice("the of and to in that it was".split()) if rng.random() < 0.3 else f"w{rng.randrange(3000)}"
