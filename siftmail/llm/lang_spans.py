@@ -168,12 +168,13 @@ def _viterbi(score: np.ndarray, text: np.ndarray, n_texts: int, switch: float) -
     length = np.append(start[1:], n) - start
     order = np.argsort(-length, kind="stable")
     start, length = start[order], length[order]
-    came = np.zeros((n, k), np.uint8)
+    kind = np.uint8 if k <= 256 else np.uint16 if k <= 65536 else np.int64  # of a label's number
+    came = np.zeros((n, k), kind)
     best = np.zeros((n_texts, k), np.float32)
     alive = int(np.count_nonzero(length > 0))
     best[:alive] = score[start[:alive]]
     final = np.zeros(n_texts, np.int64)
-    states = np.arange(k, dtype=np.uint8)
+    states = np.arange(k, dtype=kind)
     steps = int(length[0]) if len(length) else 0
     left = np.searchsorted(-length, -np.arange(1, steps + 2), side="right")  # texts with at least so many words
     for t in range(1, steps):
@@ -183,10 +184,10 @@ def _viterbi(score: np.ndarray, text: np.ndarray, n_texts: int, switch: float) -
         jump = b[np.arange(m), top] - switch
         stay = b >= jump[:, None]
         at = start[:m] + t
-        came[at] = np.where(stay, states, top[:, None].astype(np.uint8))
+        came[at] = np.where(stay, states, top[:, None].astype(kind))
         best[:m] = np.where(stay, b, jump[:, None]) + score[at]
     final[:] = best.argmax(1)
-    label = np.zeros(n, np.uint8)
+    label = np.zeros(n, kind)
     now = final.copy()
     for t in range(steps - 1, -1, -1):
         m = left[t]

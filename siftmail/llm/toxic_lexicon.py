@@ -15,7 +15,7 @@ state is the set of (trie node, errors) reachable, made on demand, kept, and fol
 leave the trie after two or three letters. A word is looked up once a batch.
 
 Context. A hit counts as quoted if a quotation mark or a word of reporting stands within ``WINDOW`` words, as
-addressed if a word of address does.
+addressed if a word of address does; long texts are judged as whole as short ones.
 
 Null and empty texts have no evidence and get the score of a document without hits. Without labelled rows the lexicon
 is empty and every score 0.05. Repeated rows are scored each; other columns of the input are ignored.
@@ -138,28 +138,42 @@ class Matcher(dict):
 
 
 def hits(text: str, matcher: Matcher) -> list[dict]:
-    """Each hit in the text with its place, term, errors and context. Context ends with a segment (a million characters)."""
-    out, at = [], 0
-    for part in segments(text.lower()):
-        out += [h | {"start": h["start"] + at} for h in _hits(part, matcher)]
+    """Each hit in the lower-cased text with its place, term, errors and context. A long text is taken apart in segments;
+    ``WINDOW`` words of the neighbours stand on both sides of each, so a hit's context does not depend on the cuts."""
+    low = text.lower()
+    out: list[dict] = []
+    before: list[tuple[int, int]] = []  # the last words of the segments before
+    held: tuple[list, list, list] | None = None  # words before a segment, its own, and where its hits are
+    at = 0
+    for part in segments(low):
+        words = WORD.findall(part)
+        found = [i for i, w in enumerate(words) if matcher[w] is not None]
+        # places of the words only where a hit is near, or at the ends
+        need = bool(found) or held is not None or len(low) > len(part)
+        own = [(m.start() + at, m.end() + at) for m in WORD.finditer(part)] if need else []
         at += len(part)
-    return out
+        if held is not None:
+            if len(own) < WINDOW and at < len(low):  # too few words to see the context: one longer segment
+                held = (held[0], held[1] + own, held[2] + [i + len(held[1]) for i in found])
+                continue
+            out += _contexts(low, *held, own[:WINDOW], matcher)
+            before = (held[0] + held[1])[-WINDOW:]
+        held = (before, own, found)
+    return out + (_contexts(low, *held, [], matcher) if held and held[2] else [])
 
 
-def _hits(low: str, matcher: Matcher) -> list[dict]:
-    words = WORD.findall(low)
-    at = [i for i, w in enumerate(words) if matcher[w] is not None]
-    if not at:
-        return []
-    found = list(WORD.finditer(low))
+def _contexts(low: str, before: list, own: list, found: list, after: list, matcher: Matcher) -> list[dict]:
+    """The hits ``found`` among the words ``own`` (start, end), seen amid the words before and after."""
+    spans = before + own + after
     out = []
-    for i in at:
-        a, b = max(0, i - WINDOW), min(len(found), i + WINDOW + 1)
-        near = set(words[a:b])
-        around = low[found[a].start() : found[b - 1].end() + 1]
-        marked = any(c in MARKS and (k == 0 or not around[k - 1].isalnum() or k + 1 == len(around) or not around[k + 1].isalnum()) for k, c in enumerate(around))
-        e, term = matcher[words[i]]
-        out.append({"start": found[i].start(), "word": words[i], "term": matcher.lexicon.terms[term], "errors": e, "quoted": marked or bool(near & REPORTING), "addressed": bool(near & ADDRESS)})
+    for i in (f + len(before) for f in found):
+        around = spans[max(0, i - WINDOW) : i + WINDOW + 1]
+        near = {low[a:b] for a, b in around}
+        seen = low[around[0][0] : around[-1][1] + 1]
+        marked = any(c in MARKS and (k == 0 or not seen[k - 1].isalnum() or k + 1 == len(seen) or not seen[k + 1].isalnum()) for k, c in enumerate(seen))
+        word = low[spans[i][0] : spans[i][1]]
+        e, term = matcher[word]
+        out.append({"start": spans[i][0], "word": word, "term": matcher.lexicon.terms[term], "errors": e, "quoted": marked or bool(near & REPORTING), "addressed": bool(near & ADDRESS)})
     return out
 
 

@@ -38,16 +38,26 @@ def test_results_do_not_depend_on_segments(tiny):
     def all_():
         w = lang_spans.label_words([TEXT, "", TEXT[:50]], model, 3.0)
         return (
-            shingle_set(TEXT, WordHashes(), 5).tolist(), list(words_of(TEXT)), curve_packing._ids(e, TEXT, 0, "<u2").tolist(), [(h["start"], h["word"], h["errors"]) for h in toxic_lexicon.hits(TEXT, m)],
+            shingle_set(TEXT, WordHashes(), 5).tolist(), list(words_of(TEXT)), curve_packing._ids(e, TEXT, 0, "<u2").tolist(), toxic_lexicon.hits(TEXT, m),
             [x.tolist() for x in (w.text, w.start, w.length, w.n_letters, w.label)],
         )
 
     whole = all_()
-    for size in (20, 333):
+    for size in (1, 7, 20, 333):
         tiny(size)
         assert all_() == whole
 
 
+def test_context_crosses_segments(tiny):
+    m = toxic_lexicon.Matcher(toxic_lexicon.Lexicon(["idiot"]))
+    texts = ["he said idiot", "idiot he said so", "idiot a b c d e said", "you   are not the very idiot", "a b c d e f g idiot x x x x x ", "idiot", ""]
+    whole = [toxic_lexicon.hits(t, m) for t in texts]
+    assert [bool(h and h[0]["quoted"]) for h in whole] == [True, True, False, False, False, False, False]
+    for size in (1, 3, 6, 12):
+        tiny(size)
+        assert [toxic_lexicon.hits(t, m) for t in texts] == whole
+
+
 def test_flac_in_slices(monkeypatch):
     rng = np.random.default_rng(1)
     data = [rng.integers(60, 90, n, np.uint8).tobytes() for n in (70_000, 64, 9000)]

@@ -183,6 +183,73 @@ def test_viterbi_is_the_best_path():
         assert abs(own - viterbi_brute(s, 2.0)) < 1e-3
 
 
+def test_more_languages_than_a_byte_has():
+    rng = np.random.default_rng(1)
+    score = rng.normal(0, 1, (40, 300)).astype(np.float32)
+    want = np.repeat([299, 7, 256, 280], 10)
+    score[np.arange(40), want] += 50
+    assert lang_spans._viterbi(score, np.repeat([0, 1], 20), 2, 3.0).tolist() == want.tolist()
+    model = lang_spans.Model([f"l{i:03}" for i in range(300)], np.full((lang_spans.BUCKETS, 300), -9, np.float32), np.ones((lang_spans.OTHER + 2, 300), bool))
+    model.logp[:, 270] = -1
+    assert lang_spans._predict(["some words of this text"], model, 8.0)[0] == ["l270"]
+
+
+def gram_buckets(word):
+    """Buckets of the 3- and 4-grams of a word with its ends, by the words of the model."""
+    w, mask = f" {word} ", (1 << 64) - 1
+    for n in (3, 4):
+        for i in range(len(w) - n + 1):
+            h = [ord(c) * 0x9E3779B97F4A7C15 & mask for c in w[i : i + n]]
+            x = h[0]
+            for y in h[1:]:
+                x = ((x ^ x >> 29) * 0xBF58476D1CE4E5B9 + y) & mask
+            yield ((x ^ x >> 32) * 0x94D049BB133111EB & mask) >> 48
+
+
+def test_language_query_against_brute_force(spark, tmp_path):
+    """The whole query on a small table: counts, scripts, candidates, best path by trying all, shares of letters."""
+    import zlib
+
+    words = {"en": "the that from this", "fr": "les cette très beaux", "ru": "слова этого из"}
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(words[lang].split()) for _ in range(rng.randrange(1, 7))) for lang in (list(words) * 12)]
+    texts += ["the that cette très beaux", "слова the этого", "42 !", "", None, "the 7 les"]
+    rows = [(i, t, [*words][i % 3] if i < 36 else None, None, None) for i, t in enumerate(texts)]
+    table_of(spark, rows, tmp_path)
+    from siftmail.llm.queries_lang_spans import op9_language_id
+
+    got = {r["doc_id"]: r for r in op9_language_id(spark, str(tmp_path)).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in got}
+    langs = sorted({lang for i, _, lang, _, _ in rows if lang and not held[i]})
+    cyrillic = lambda w: sum("а" <= c <= "я" for c in w) > sum(c.isalpha() for c in w) / 2
+    grams, letters = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    for i, t, lang, _, _ in rows:
+        if lang and not held[i]:
+            for w in t.split():
+                grams[lang].update(gram_buckets(w))
+                letters[lang][cyrillic(w)] += sum(map(str.isalpha, w))
+    total = {x: sum(grams[x].values()) + 0.5 * lang_spans.BUCKETS for x in langs}
+    for i, t in enumerate(texts):
+        spoken = [w for w in (t or "").split() if any(map(str.isalpha, w))]
+        if not spoken:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        best = None
+        every = (t or "").split()
+        for path in itertools.product(langs, repeat=len(every)):
+            s = -8.0 * sum(a != b for a, b in zip(path, path[1:]))
+            for w, x in zip(every, path):
+                if any(map(str.isalpha, w)):
+                    s += sum(np.log((grams[x][g] + 0.5) / total[x]) for g in gram_buckets(w)) if letters[x][cyrillic(w)] else -1e6
+            if best is None or s > best[0] + 1e-6:
+                best = (s, path)
+        share = Counter()
+        for w, x in zip(every, best[1]):
+            share[x] += sum(map(str.isalpha, w))
+        top = max(sorted(langs), key=lambda x: share[x])
+        assert got[i]["lang_pred"] == top and abs(got[i]["score"] - share[top] / sum(share.values())) < 1e-9, t
+
+
 def test_languages_and_spans(spark):
     words = {"en": "the quick words of this text are from that house", "fr": "les mots rapides de cette maison sont très beaux", "ru": "быстрые слова этого текста из дома", "de": "die schnellen wörter aus diesem haus"}
     rng = random.Random(1)
