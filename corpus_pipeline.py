@@ -1,8 +1,10 @@
 """The corpus pipeline: language ID, toxicity, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir), where docs is what its predecessor kept, and returns the columns of
-``documents`` (the last: pieces of packed sequences). Stages are written as Parquet between each other; the scratch
-tables of a stage are deleted when the next one is called.
+``documents`` (the last: pieces of packed sequences). Stages are written as Parquet between each other. The scratch
+tables of a stage stay as long as the next stages' input reads them: a stage called on a written table deletes those of
+the stages before it in the same thread, one called on a frame that still reads them keeps them. ``run`` leaves only
+what its result reads; ``with siftmail.llm.common.scratch(spark):`` around it deletes that, too.
 
 Nulls: a null text has no language and goes at the first stage. A null id is kept by every later stage, never merged
 with another. Repeated rows (one id, one text) leave the near-duplicate stage as one; rows of one id and several texts
@@ -12,6 +14,7 @@ the first stage; an empty table passes through as one.
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 import public_tokenizers
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from siftmail.llm import curve_packing, lang_spans, minmax_dedup, repeat_dedup, toxic_lexicon
 from siftmail.llm.chunked_bpe import ranks_from_json
-from siftmail.llm.common import fold, release, saved, scratch_dir, table, taken, written
+from siftmail.llm.common import fold, own, read_by, release, saved, scratch_dir, table, taken, written
 from siftmail.llm.queries_toxic_lexicon import labelled
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,18 +32,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_LANGUAGE_SHARE = 0.3
 MAX_TOXICITY = 0.3
 
-_before: list[str] = []
+
+
+class _Before(threading.local):
+    """Scratch tables of the stages that this thread has called."""
+
+    def __init__(self):
+        self.tables: list[str] = []
+
+
+_before = _Before()
 
 
 def _stage(f):
-    """The stage ``f``, whose scratch tables live until the next stage is called."""
+    """The stage ``f``, whose scratch tables live until a later stage is called that doesn't read them."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _before)
-        _before.clear()
+        still = read_by(docs, _before.tables)
+        release(spark, [t for t in _before.tables if t not in still])
         mark = written()
         out = f(spark, docs, sf_dir)
-        _before.extend(taken(mark))
+        _before.tables = sorted(still) + taken(mark)
         return out
 
     run.__name__, run.__doc__ = f.__name__, f.__doc__
@@ -107,6 +119,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written before the next."""
     docs = table(spark, sf_dir, "documents")
     at: list[str] = []
     for name, stage in STAGES[:-1]:
@@ -115,4 +128,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         release(spark, at)  # the stage before is read no more
         at = [path]
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    own(at + _before.tables)  # what the result reads is the caller's
+    _before.tables = []
+    return out

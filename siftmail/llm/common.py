@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,10 +11,18 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where scratch tables go if the session names no shared folder, as in tests on one machine.
+#: Where scratch tables go if the session names no shared folder and all of Spark is on one machine, as in tests.
 LOCAL_SCRATCH = "/tmp/siftmail-checkpoints"
 
-_written: list[str] = []
+
+class _Own(threading.local):
+    """The scratch tables of one thread's work, so that runs side by side don't release each other's."""
+
+    def __init__(self):
+        self.written: list[str] = []
+
+
+_own = _Own()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``), or a folder of our own where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """The cluster's shared folder (``spark.checkpoint.dir``). Only a local session may do without."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared or LOCAL_SCRATCH
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -31,22 +43,33 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/siftmail-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _own.written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def written() -> int:
     """How many scratch tables there are so far: a mark for ``release``."""
-    return len(_written)
+    return len(_own.written)
 
 
 def taken(since: int) -> list[str]:
     """The scratch tables written after the mark; they are the caller's to release."""
-    own = _written[since:]
-    del _written[since:]
+    own = _own.written[since:]
+    del _own.written[since:]
     return own
 
 
+def own(tables: list[str]) -> None:
+    """The tables are this thread's to release again."""
+    _own.written.extend(tables)
+
+
+def read_by(df: DataFrame, tables: list[str]) -> set[str]:
+    """Those of the scratch tables that ``df`` reads."""
+    names = {t.rsplit("/", 1)[-1]: t for t in tables}
+    return {names[part] for f in df.inputFiles() for part in f.split("/") if part in names} if tables else set()
+
+
 def release(spark: SparkSession, tables: list[str]) -> None:
     """Delete scratch tables. Call it only when no frame still reads one of them."""
     for path in tables:

@@ -1,4 +1,4 @@
-"""op6: every document stored as FLAC, read back and described."""
+"""op6: every document stored as FLAC, read back and described; a stream that could not be read says why in ``error``."""
 
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ def op6_flac_media(spark, sf_dir):
     return out.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.sha2("media", 256).alias("media_sha256"), "feature", "error",
     )
 
 

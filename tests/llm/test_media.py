@@ -27,7 +27,10 @@ def test_query(spark, docs_of, tmp_path):
         media = flac.encode([p])[0]
         assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len((t or "").encode()), len(p), len(media))
         assert r["payload_sha256"] == hashlib.sha256(p).hexdigest() and r["media_sha256"] == hashlib.sha256(media).hexdigest()
-        assert r["tail_crc32"] == zlib.crc32(p[-64:])
+        assert r["tail_crc32"] == zlib.crc32(p[-64:]) and r["error"] is None
+        x = [b - 128 for b in p]  # 8-bit samples around zero, in frames of 4096
+        want = {"frames": -(-len(x) // 4096), "samples": len(x), "min": min(x), "max": max(x), "sum": sum(x), "energy": sum(v * v for v in x), "crossings": sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))}
+        assert r["feature"] == ";".join(f"{k}={v}" for k, v in want.items())
     assert rows[3][1:] == rows[8][1:]
 
 

@@ -71,7 +71,18 @@ def test_scratch_tables_go(spark, copies):
 
     with common.scratch(spark):
         registry.queries()["op2_host_rules"](spark, copies).count()
-        own = common._written[-1]
+        own = common._own.written[-1]
         assert spark.read.parquet(own).count() == 300
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(own)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from siftmail.llm import common
+
+    conf = lambda **kw: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: kw.get(k.rsplit(".", 1)[-1], d)))
+    assert common.scratch_dir(conf(master="local[4]")) == common.LOCAL_SCRATCH and common.scratch_dir(conf(master="yarn", dir="hdfs:///x")) == "hdfs:///x"
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        common.scratch_dir(conf(master="spark://host:7077"))

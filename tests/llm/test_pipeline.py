@@ -143,3 +143,27 @@ def test_near_duplicates_of_one_id_with_several_texts(spark, tmp_path):
     # what is linked with a smaller id goes, the other text of the same id stays
     got = cp.near_duplicates(spark, docs.unionByName(docs.where("doc_id = 1").selectExpr("9L AS doc_id", "text", "lang", "source", "n_chars")).where("doc_id IN (1, 9)"), str(tmp_path)).collect()
     assert {(r["doc_id"], r["text"]) for r in got} == {(1, c), (9, b)}
+
+
+def test_stages_chain_without_a_write_between(spark, tmp_path):
+    """Each stage called on the frame of the one before, all evaluated at the end; and ``run`` leaves nothing behind."""
+    rows, labels = corpus()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    lazy = cp.repeated_passages(spark, cp.near_duplicates(spark, docs, str(tmp_path)), str(tmp_path))
+    got = sorted((r["doc_id"], r["text"] or "") for r in lazy.collect())
+    cp.near_duplicates(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/near")
+    again = cp.repeated_passages(spark, spark.read.parquet(f"{tmp_path}/near"), str(tmp_path))
+    assert got == sorted((r["doc_id"], r["text"] or "") for r in again.collect())
+
+    from siftmail.llm import common
+
+    mark = common.written()
+    with common.scratch(spark):
+        assert cp.run(spark, str(tmp_path)).count() > 0
+        left = common._own.written[mark:]
+    assert left
+    for path in left:
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            spark.read.parquet(path)

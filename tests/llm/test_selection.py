@@ -141,6 +141,76 @@ def test_quotation_and_address():
     assert a > b
 
 
+def test_toxicity_query_against_brute_force(spark, tmp_path):
+    """Terms by the Wilson bound, exceptions by edit distance, contexts word by word, the weights by plain gradient
+    steps; scores of all documents, labelled or not."""
+    import zlib
+
+    rng = random.Random(12)
+    clean = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(4, 9))) for _ in range(300)]
+    texts, label = [], {}
+    for i in range(160):
+        w = rng.sample(clean, 25)
+        bad = i % 4 == 0
+        for term in ("blockhead", "moron") if bad else ():
+            if rng.random() < 0.8:
+                w[rng.randrange(len(w))] = term if rng.random() < 0.8 else term[:-1] + "x"
+        if rng.random() < 0.2:
+            w[rng.randrange(len(w))] = "said"
+        if rng.random() < 0.1:
+            w[rng.randrange(len(w))] = "morons"
+        if rng.random() < 0.3:
+            w[rng.randrange(len(w))] = "you"
+        texts.append(" ".join(w))
+        if i < 140:
+            label[i] = int(bad)
+    texts += [None, "", 'the "moron" was quoted', "blokhead you"]
+    table_of(spark, [(i, t, None, None, None) for i, t in enumerate(texts)], tmp_path)
+    spark.createDataFrame([(i, 1, y) for i, y in label.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    from siftmail.llm.queries_toxic_lexicon import op4_toxicity
+
+    got = {r["doc_id"]: r for r in op4_toxicity(spark, str(tmp_path)).collect()}
+    learn = [i for i in label if zlib.crc32(str(i).encode()) % 4 != 2]
+    n, pos = Counter(), Counter()
+    for i in learn:
+        for w in set(texts[i].split()):
+            n[w] += 1
+            pos[w] += label[i]
+    base = (sum(label[i] for i in learn) + 0.5) / (len(learn) + 1)
+
+    def low(w, z=3.1):
+        p = pos[w] / n[w]
+        return (p + z * z / (2 * n[w]) - z * np.sqrt(p * (1 - p) / n[w] + z * z / (4 * n[w] ** 2))) / (1 + z * z / n[w])
+
+    terms = sorted(w for w in n if len(w) >= 4 and pos[w] >= 5 and pos[w] >= 0.6 * n[w] and low(w) > base + 0.25 * (1 - base))
+    assert {"blockhead", "moron"} <= set(terms)
+    reach = lambda w: min(((edit_distance(w, t), t) for t in terms if edit_distance(w, t) <= (2 if len(t) >= 8 else 1)), default=None) if len(w) >= 3 else None
+    fine = {w for w in n if len(w) >= 4 and n[w] > pos[w] and 2 * (n[w] - pos[w]) >= pos[w] and (f := reach(w)) and f[0]}
+    assert "morons" in fine
+
+    def evidence(t):
+        w = re.findall(r"\w+", (t or "").lower())
+        marked = {k for k in range(len(w)) if t and '"' in t}  # the one quotation here is within the window
+        counts = np.zeros(4)
+        for k, x in enumerate(w):
+            f = reach(x)
+            if f and not (f[0] and x in fine):
+                near = set(w[max(0, k - 5) : k + 6])
+                counts += 1, f[0] > 0, bool(near & toxic_lexicon.REPORTING) or k in marked, bool(near & toxic_lexicon.ADDRESS)
+        return np.log1p(counts)
+
+    x = np.array([np.append(1, evidence(texts[i])) for i in learn])
+    y = np.array([label[i] for i in learn])
+    mean, precision = np.array([-3.0, 2.0, -0.5, -1.0, 0.5]), np.array([1e-3, 1, 1, 1, 1])
+    w = mean.copy()
+    for _ in range(60_000):
+        w += 0.02 * (x.T @ (y - 1 / (1 + np.exp(-x @ w))) - precision * (w - mean))
+    for i, t in enumerate(texts):
+        want = 1 / (1 + np.exp(-np.append(1, evidence(t)) @ w))
+        assert abs(got[i]["score"] - want) < 1e-4 and got[i]["predicted"] == (got[i]["score"] >= 0.3), (i, t)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_toxicity_without_labels_and_of_odd_texts(spark, docs_of):
     model = toxic_lexicon.fit(spark.createDataFrame([], "text string, toxic int"))
     df = docs_of(ODD)
