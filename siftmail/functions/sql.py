@@ -25,7 +25,7 @@ class _MimeParts:
 
 
 def register(spark: SparkSession) -> None:
-    """rfc2047(s), address_list(s), mime_parts(raw), defang(s), is_ip(s), is_private_ip(s)."""
+    """rfc2047(s), decode_text(body, encoding, charset), header_params(s), address_list(s), mime_parts(raw), defang(s), is_ip(s), is_private_ip(s)."""
     from ..operators import parse
 
     @F.pandas_udf("string")
@@ -37,7 +37,17 @@ def register(spark: SparkSession) -> None:
         for s in batches:
             yield s.map(parse.address_list)
 
+    @F.pandas_udf("string")
+    def decode_text(body: pd.Series, encoding: pd.Series, charset: pd.Series) -> pd.Series:
+        return pd.Series([parse.decode_bytes(parse.transfer_decoded(b, e), c) for b, e, c in zip(body, encoding, charset, strict=True)])
+
+    @F.pandas_udf("struct<value:string,params:map<string,string>>")
+    def header_params(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(list(map(parse.params_of, s)), columns=["value", "params"])
+
     spark.udf.register("rfc2047", rfc2047)
+    spark.udf.register("decode_text", decode_text)
+    spark.udf.register("header_params", header_params)
     spark.udf.register("address_list", address_list)
     spark.udtf.register("mime_parts", F.udtf(_MimeParts, returnType=PARTS))
     functions = {

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +17,8 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 HEX = r"[0-9A-Fa-f]{1,4}"
 IPV4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
 IPV6 = rf"(?:{HEX}:){{3,7}}{HEX}|(?:{HEX}:){{1,6}}:{HEX}"
-URL = rf"(?i){B}(?:https?|ftp|file)://[^\s<>\"'`)\]}}]+|(?i){B}www\.[a-z0-9-]+(?:\.[a-z0-9-]+)+[^\s<>\"'`)\]}}]*"
+# most characters fail the first test, which is the cheapest
+URL = rf"(?i)(?=[fhw]){B}(?:(?:https?|ftp|file)://[^\s<>\"'`)\]}}]+|www\.[a-z0-9-]+(?:\.[a-z0-9-]+)+[^\s<>\"'`)\]}}]*)"
 
 
 _TAIL = r"[)>\]}.,;:'\"]+$"
@@ -21,6 +26,33 @@ _WHOLE = r"(?is)^([a-z][a-z0-9+.-]*)://([^/?#]*)(.*)$"
 _PAIR = r"^(\[[^\]]+\]|[^:]+)(?::([0-9]+))?$"
 
 
+def built_once(f):
+    """``f()`` (columns over fixed names) once for each JVM: building large expressions takes longer than a small run."""
+    made: dict[int, object] = {}
+
+    @functools.wraps(f)
+    def get():
+        key = id(SparkContext._jvm)
+        if key not in made:
+            made.clear()
+            made[key] = f()
+        return made[key]
+
+    return get
+
+
+def among(x: Column, values: list[str]) -> Column:
+    """Whether the one-line text is one of the values: one search in one literal."""
+    return F.lit("\n" + "\n".join(values) + "\n").contains(F.concat(F.lit("\n"), x, F.lit("\n")))
+
+
+def exploded(df: DataFrame, values: Column | str, name: str, *keep: str) -> DataFrame:
+    """``keep``, position and ``name``: a row for each value of an array. By way of the outer form, as the plain one puts a
+    filter under itself, which then repeats the whole computation of the array."""
+    values = F.col(values) if isinstance(values, str) else values
+    return df.select(*keep, F.posexplode_outer(values).alias("position", name)).where("position IS NOT NULL")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also where lambdas use it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -43,7 +75,7 @@ def _registrable(h: Column) -> Column:
     """Last two labels of a clean host, three under a two-level suffix; addresses and short hosts stay."""
     labels = F.size(F.split(h, r"\."))
     two, three = F.substring_index(h, ".", -2), F.substring_index(h, ".", -3)
-    return F.when(is_ip(h) | (labels <= 2), h).when(two.isin(R.SUFFIXES), three).otherwise(two)
+    return F.when(is_ip(h) | (labels <= 2), h).when(among(two, R.SUFFIXES), three).otherwise(two)
 
 
 def org_domain(host: Column) -> Column:
@@ -84,19 +116,39 @@ def url_rules(url: Column, scheme: Column, host: Column, port: Column, userinfo:
     # a brand is a token of the host, and the registrable domain does not begin with it
     imitates = F.concat(host, F.lit("/"), org).rlike(rf"^(?:[^/]*[.\-_])?({'|'.join(R.BRANDS)})(?:[.\-_][^/]*)?/(?!\1)")
     return [
-        ("url-ip", is_ip(host)), ("url-punycode", host.rlike(r"(?i)(^|\.)xn--")), ("url-userinfo", userinfo != ""), ("url-shortener", org.isin(R.SHORTENERS)),
-        ("url-redirector", host.rlike(R.REDIRECTORS)), ("url-port", ~port.isin("", "80", "443")), ("url-tld", F.substring_index(host, ".", -1).isin(R.RISKY_TLDS)),
+        ("url-ip", is_ip(host)), ("url-punycode", host.rlike(r"(?i)(^|\.)xn--")), ("url-userinfo", userinfo != ""), ("url-shortener", among(org, R.SHORTENERS)),
+        ("url-redirector", host.rlike(R.REDIRECTORS)), ("url-port", ~port.isin("", "80", "443")), ("url-tld", among(F.substring_index(host, ".", -1), R.RISKY_TLDS)),
         ("url-creds", creds), ("url-http", (scheme == "http") & creds), ("url-subdomains", F.size(F.split(host, r"\.")) >= 5), ("url-brand", imitates),
-        ("url-data", F.lower(url).startswith("data:")), ("url-filehost", host.isin(R.FILE_HOSTS) | org.isin(R.FILE_HOSTS)),
+        ("url-data", F.lower(url).startswith("data:")), ("url-filehost", among(host, R.FILE_HOSTS) | among(org, R.FILE_HOSTS)),
     ]
 
 
-def url_flag_ids(p: Column) -> Column:
-    """Rule ids of one parsed URL (struct of ``url_parts``)."""
+#: What each flag of a link tells; braces take a part of the link.
+URL_TEXTS = {
+    "url-ip": "goes to a bare address without a name", "url-punycode": "the domain is written in punycode and may imitate another", "url-userinfo": "a name before @ hides the host: {userinfo}",
+    "url-shortener": "a shortener hides the destination", "url-redirector": "the host redirects or tracks", "url-port": "unusual port {port}", "url-tld": "top-level domain of much abuse",
+    "url-creds": "the path has words of credential theft", "url-http": "a sensitive page without encryption", "url-subdomains": "very many subdomains in {host}",
+    "url-brand": "a brand stands in the name of a foreign domain: {host}", "url-data": "the page itself is in the address", "url-filehost": "a file service, check that you expected it: {host}",
+}
+_SEVERITY = {rule: severity for rule, _, _, severity in R.RULES}
+
+
+def _filled(text: str, p: Column) -> Column:
+    """The text with parts of a parsed URL in its braces."""
+    return F.concat(*(p[piece[1:-1]] if piece.startswith("{") else F.lit(piece) for piece in re.split(r"(\{[a-z]+\})", text) if piece))
+
+
+def flag(rule: str, msg: Column) -> Column:
+    """struct(id, sev, msg) of a rule of links or attachments."""
+    return F.struct(F.lit(rule).alias("id"), F.lit(_SEVERITY[rule]).alias("sev"), msg.alias("msg"))
+
+
+def url_flags(p: Column) -> Column:
+    """array<struct(id, sev, msg)> of one parsed URL (struct of ``url_parts``)."""
 
     def flags(org: Column) -> Column:
         rules = url_rules(*(p[c] for c in ("url", "scheme", "host", "port", "userinfo", "path")), org)
-        return F.filter(F.array(*(F.when(c, F.lit(i)) for i, c in rules)), lambda x: x.isNotNull())
+        return F.filter(F.array(*(F.when(c, flag(i, _filled(URL_TEXTS[i], p))) for i, c in rules)), lambda x: x.isNotNull())
 
     return let(org_domain(p["host"]), flags)
 
@@ -134,8 +186,20 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, r"<[^>]+>", " ")
 
 
+_NARROW = r"\t-\r\x{A0}"
+_WIDE = _NARROW + r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
 def squeezed(s: Column) -> Column:
-    return F.trim(F.regexp_replace(s, r"[\s ﻿]+", " "))
+    """Runs of blanks as one space, none at the ends. Single spaces, which are most, are no match; blanks beyond Latin-1
+    are looked for only in texts with such characters."""
+    runs = lambda x: F.regexp_replace(s, f"[{x}][ {x}]*| [ {x}]+", " ")
+    return F.trim(F.when(s.rlike(r"[\x{1680}-\x{FEFF}]"), runs(_WIDE)).otherwise(runs(_NARROW)))
+
+
+def has_any(s: Column, alternatives: str) -> Column:
+    """Whether one of the literal alternatives (a|b|c) is in the text: plain search, many times as fast as a pattern."""
+    return functools.reduce(lambda a, b: a | b, (s.contains(x) for x in alternatives.split("|")))
 
 
 def _code_point(n: Column) -> Column:
@@ -156,11 +220,12 @@ def entities(s: Column) -> Column:
         joined = F.zip_with(parts, F.concat(F.transform(codes, one), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
         return F.when(F.size(codes) == 0, text).otherwise(F.array_join(joined, ""))
 
+    whole = s
     s = numeric(s, r"(?i:&#x[0-9a-f]{1,8};)", lambda c: F.conv(F.regexp_extract(c, r"(?i)x([0-9a-f]+)", 1), 16, 10).cast("long"))
     s = numeric(s, r"&#[0-9]{1,9};", lambda c: F.regexp_extract(c, r"([0-9]+)", 1).try_cast("long"))
     for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&(?:#39|apos);", "'"), ("&nbsp;", " ")):
         s = F.regexp_replace(s, f"(?i){a}", b)
-    return s
+    return F.when(whole.contains("&"), s).otherwise(whole)
 
 
 def ext_of(name: Column) -> Column:
@@ -184,9 +249,10 @@ def human_size(n: Column) -> Column:
 
 
 def short_address(address: Column) -> Column:
-    """Local parts of over 22 characters cut to 20 and an ellipsis."""
-    local, rest = F.substring_index(address, "@", 1), F.regexp_extract(address, "(@.*)$", 1)
-    return F.when((F.length(local) > 22) & address.contains("@"), F.concat(F.substring(local, 1, 20), F.lit("…"), rest)).otherwise(address)
+    """Local parts of over 22 characters cut to 20 and an ellipsis; the domain is what follows the last @."""
+    domain = F.substring_index(address, "@", -1)
+    local = F.substring(address, F.lit(1), F.length(address) - F.length(domain) - 1)
+    return F.when(address.contains("@") & (F.length(local) > 22), F.concat(F.substring(local, 1, 20), F.lit("…@"), domain)).otherwise(address)
 
 
 def lookup_url(base: str, value: Column) -> Column:

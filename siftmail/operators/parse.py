@@ -13,10 +13,9 @@ import re
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .. import rules as R
 
@@ -24,19 +23,25 @@ MAX_DEPTH = 12
 HEADER = "struct<ord:int,name:string,value:string,decoded:string>"
 PART = (
     "struct<part_id:string,parent_id:string,ord:int,depth:int,mime:string,charset:string,disposition:string,encoding:string,filename:string,"
-    "params:map<string,string>,disp_params:map<string,string>,text:string,content:binary>"
+    "disp_filename:string,params:map<string,string>,disp_params:map<string,string>,size:bigint,attached:boolean,text:string,content:binary>"
 )
 ADDRESS = "struct<role:string,ord:int,raw:string,name:string,address:string,domain:string>"
-PARSED = f"headers array<{HEADER}>, parts array<{PART}>, addresses array<{ADDRESS}>, parse_error string"
+PARSED = f"struct<headers:array<{HEADER}>,parts:array<{PART}>,addresses:array<{ADDRESS}>,parse_error:string>"
 ROLES = ("from", "reply-to", "return-path", "sender", "to", "cc")
 
 # the five bytes that windows-1252 leaves open are control characters
 codecs.register_error("c1", lambda e: ("".join(chr(b) for b in e.object[e.start : e.end]), e.end) if isinstance(e, UnicodeDecodeError) else ("?", e.end))
 
 
+#: What counts as a blank at the ends of a line.
+BLANKS = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def decode_bytes(data: bytes, charset: str | None) -> str:
-    name = R.CHARSETS.get((charset or "utf-8").strip().strip('"').lower(), "utf-8-sig")
-    return data.decode(name, "c1" if name == "cp1252" else "replace")
+    """Text of bytes, never failing; a byte order mark of the charset goes."""
+    name = R.CHARSETS.get((charset or "utf-8").strip(BLANKS).lower(), "utf-8-sig")
+    text = data.decode(name, "c1" if name == "cp1252" else "replace")
+    return text.removeprefix("\ufeff") if name == "utf-16-le" else text
 
 
 def b64(text: str) -> bytes:
@@ -52,6 +57,12 @@ def quoted(text: str, header: bool) -> bytes:
     return re.sub(rb"=([0-9A-Fa-f]{2})", lambda m: binascii.unhexlify(m[1]), raw)
 
 
+_BETWEEN = re.compile(r"(=\?[^?]+\?[BbQq]\?[^?]*\?=)\s+(?==\?)")
+def transfer_decoded(body: str, encoding: str) -> bytes:
+    """Bytes of a body; any encoding but the two that change it is taken as it stands."""
+    return b64(body) if encoding == "base64" else quoted(body, False) if encoding == "quoted-printable" else body.encode("latin-1", "replace")
+
+
 ENCODED = re.compile(r"=\?([^?]+)\?([BbQq])\?([^?]*)\?=")
 
 
@@ -59,7 +70,7 @@ def rfc2047(text: str | None) -> str:
     """Encoded words, each decoded alone; blanks between two of them go."""
     if not text:
         return ""
-    text = re.sub(r"(\?=)\s+(=\?)", r"\1\2", text)
+    text = _BETWEEN.sub(r"\1", text)
     return ENCODED.sub(lambda m: decode_bytes(b64(m[3]) if m[2] in "Bb" else quoted(m[3], True), m[1]), text)
 
 
@@ -73,11 +84,11 @@ def header_block(block: str) -> list[list[str]]:
     out: list[list[str]] = []
     for line in re.split(r"\r?\n", block):
         if line[:1] in (" ", "\t") and out:
-            out[-1][1] += " " + line.strip(" \t")
-        elif found := re.match(r"([!-9;-~]+):[ \t]*(.*)$", line, re.S):
+            out[-1][1] += " " + line.lstrip(" \t")
+        elif found := re.match(r"([!-9;-~]+)[ \t]*:[ \t]*(.*)", line, re.S):
             out.append([found[1], found[2]])
-        elif out and line.strip():
-            out[-1][1] += " " + line.strip()
+        elif out and line.strip(BLANKS):
+            out[-1][1] += " " + line.strip(BLANKS)
     return out
 
 
@@ -138,8 +149,17 @@ def chunks_of(body: str, boundary: str) -> list[str]:
     return [c for c in out if c.strip()]
 
 
+def is_attached(mime: str, disposition: str, named: str | None, children: bool) -> bool:
+    if children and mime.startswith("multipart/"):
+        return False
+    text = mime.startswith("text/")
+    other = not text and not mime.startswith("multipart/") and mime != "message/rfc822"
+    return disposition == "attachment" or bool(named) or (disposition == "inline" and not text) or other
+
+
 def mime_parts(raw: str) -> list[dict]:
-    """All parts, depth first; a part's id is its path (1, 1.1, 1.2.1)."""
+    """All parts, depth first; a part's id is its path (1, 1.1, 1.2.1). Texts of bodies and contents of attachments are
+    decoded; other parts have neither."""
     out: list[dict] = []
     todo: list[tuple[str, str, str | None, int]] = [(raw, "1", None, 0)]
     while todo:
@@ -153,13 +173,15 @@ def mime_parts(raw: str) -> list[dict]:
         children: list[str] = []
         if depth <= MAX_DEPTH:
             children = chunks_of(body, params["boundary"]) if mime.startswith("multipart/") and params.get("boundary") else [body] if mime == "message/rfc822" else []
-        data = b64(body) if encoding == "base64" else quoted(body, False) if encoding == "quoted-printable" else body.encode("latin-1", "replace")
+        data = transfer_decoded(body, encoding)
         is_text = mime in ("text/plain", "text/html") and disposition != "attachment"
         filename = disp_params.get("filename") or params.get("name")
+        attached = is_attached(mime, disposition, filename, bool(children))
         out.append({
             "part_id": path, "parent_id": parent, "ord": len(out), "depth": depth, "mime": mime, "charset": params.get("charset"), "disposition": disposition, "encoding": encoding,
-            "filename": rfc2047(filename) if filename else None, "params": params, "disp_params": disp_params,
-            "text": decode_bytes(data, params.get("charset")) if is_text else None, "content": None if mime.startswith("multipart/") else data,
+            "filename": rfc2047(filename) if filename else None, "disp_filename": rfc2047(disp_params["filename"]) if disp_params.get("filename") else None,
+            "params": params, "disp_params": disp_params, "size": len(data), "attached": attached,
+            "text": decode_bytes(data, params.get("charset")) if is_text else None, "content": data if attached else None,
         })
         todo += [(c, f"{path}.{i}", path, depth + 1) for i, c in reversed([*enumerate(children, 1)])]
     return out
@@ -191,18 +213,23 @@ def parse_message(raw: bytes | None) -> dict:
         return {"headers": [], "parts": [], "addresses": [], "parse_error": f"{type(e).__name__}: {e}"}
 
 
-def _schema() -> StructType:
+def _arrow_type(name: str) -> pa.DataType:
     from pyspark.sql import SparkSession
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    return SparkSession.active().createDataFrame([], PARSED).schema
+    return to_arrow_type(SparkSession.active().createDataFrame([], f"x {name}").schema["x"].dataType)
 
 
 def with_parsed(messages: DataFrame, raw: str = "raw") -> DataFrame:
     """``messages`` with headers, parts, addresses and parse_error of the binary column ``raw``."""
-
-    @F.pandas_udf(_schema())
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([parse_message(x) for x in s], columns=["headers", "parts", "addresses", "parse_error"])
+    kind = _arrow_type(PARSED)
+
+    @F.arrow_udf(PARSED)
+    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [parse_message(x.as_py()) for x in batch]
+            for part in (p for r in rows for p in r["parts"]):
+                part["params"], part["disp_params"] = list(part["params"].items()), list(part["disp_params"].items())
+            yield pa.array(rows, kind)
 
     return messages.withColumn("_parsed", parse(F.col(raw))).select(*messages.columns, "_parsed.*")

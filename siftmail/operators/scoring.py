@@ -16,9 +16,23 @@ def combinations(ids: Column) -> Column:
     return F.filter(F.array(*(F.when(some(a) & some(b), F.lit(c)) for c, (a, b) in R.COMBO_OF.items())), lambda x: x.isNotNull())
 
 
-def findings(ids: Column) -> Column:
-    """Findings of the fired ids in order, then of their combinations."""
-    return let(ids, lambda x: F.transform(F.concat(x, combinations(x)), lambda i: R.finding(i)))
+#: What a completed combination means.
+COMBINED = {
+    "combo-bec": "fits fraud by someone who poses as a superior or supplier and asks for a payment", "combo-credenciales": "fits the theft of passwords by a false page",
+    "combo-malware": "fits the sending of malware: a dangerous attachment and a pretext to open it", "combo-extorsion": "fits extortion: a threat and a wallet to pay to",
+}
+
+
+def findings(fired: Column) -> Column:
+    """Findings of the fired rules (id, msg) in order, then of the combinations they complete."""
+    told = F.create_map(*(F.lit(x) for pair in COMBINED.items() for x in pair))
+    combined = lambda x: F.transform(combinations(F.transform(x, lambda f: f["id"])), lambda i: F.struct(i.alias("id"), F.element_at(told, i).alias("msg")))
+    return let(fired, lambda x: F.transform(F.concat(x, combined(x)), lambda f: R.finding(f)))
+
+
+def without_texts(ids: Column) -> Column:
+    """Rule ids as fired rules with nothing to tell."""
+    return F.transform(ids, lambda i: F.struct(i.alias("id"), F.lit(None).cast("string").alias("msg")))
 
 
 def breakdown(found: Column) -> Column:
@@ -39,10 +53,19 @@ def total(rows: Column) -> Column:
 
 def with_score(df: DataFrame, ids: str = "rule_ids") -> DataFrame:
     """``df`` with findings, score_breakdown, score and verdict of its array of rule ids."""
-    return (
-        df.withColumn("findings", findings(F.col(ids))).withColumn("score_breakdown", breakdown(F.col("findings")))
-        .withColumn("score", total(F.col("score_breakdown"))).withColumn("verdict", R.verdict(F.col("score")))
-    )
+    return with_weights(df.withColumn("findings", findings(without_texts(F.col(ids)))))
+
+
+def weights() -> list[dict[str, Column]]:
+    """score_breakdown, score and verdict of findings; where these are null, null."""
+    there = F.col("findings").isNotNull()
+    return [{"score_breakdown": F.when(there, breakdown(F.col("findings")))}, {"score": F.when(there, total(F.col("score_breakdown")))}, {"verdict": R.verdict(F.col("score"))}]
+
+
+def with_weights(df: DataFrame) -> DataFrame:
+    for step in weights():
+        df = df.withColumns(step)
+    return df
 
 
 def add_combinations(fired: DataFrame, entity: str = "entity") -> DataFrame:

@@ -1,79 +1,53 @@
-"""Golden queries over the fixed messages, and the whole analysis over a mailbox made of ``documents``."""
+"""The whole analysis over a mailbox made of ``documents`` and ``envelopes``, with SQL that states the results anew."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import defang, entities, is_ip, is_private_ip, org_domain, url_parts
+from ..functions.text import defang, entities, exploded, is_ip, is_private_ip, org_domain, url_parts
 from ..operators import report
 from ..operators.analyze import analyze
-from ..operators.parse import address_list, b64, decode_bytes, mime_parts, params_of, quoted, rfc2047
-from ..sources.messages import synthesized
-from .fixtures import EXPECTED, MESSAGES
+from .envelopes import ENVELOPES, sha256
 from .urls import spread, table
 
 
-def _mailbox(spark, sf_dir):
-    return synthesized(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+def mailbox(texts: DataFrame) -> DataFrame:
+    """message_id, filename, size_bytes, raw: the text of each row (doc_id, text) in the envelope that its id picks. The
+    envelopes are a table of fixed size."""
+    rows = [(i, e.head + e.before, e.enc, e.after) for i, e in enumerate(ENVELOPES)]
+    envelopes = F.broadcast(texts.sparkSession.createDataFrame(rows, "k long, before string, enc string, after string"))
+    text = F.coalesce("text", F.lit(""))
+    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    coded = (
+        F.when(F.col("enc") == "none", "").when(F.col("enc") == "plain", text).when(F.col("enc") == "u16", F.base64(F.encode(text, "UTF-16LE")))
+        .when(F.col("enc") == "html", F.base64(F.encode(F.concat(F.lit("<html><body><p>"), safe, F.lit("</p></body></html>")), "UTF-8"))).otherwise(F.base64(F.encode(text, "UTF-8")))
+    )
+    raw = F.encode(F.concat("before", coded, "after"), "UTF-8")
+    both = texts.select("doc_id", "text", F.pmod("doc_id", F.lit(len(ENVELOPES))).cast("long").alias("k")).join(envelopes, "k")
+    return both.select(F.col("doc_id").cast("string").alias("message_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".eml")).alias("filename"), F.octet_length(raw).cast("long").alias("size_bytes"), raw.alias("raw"))
 
 
-def fixture_reports(spark, sf_dir):
-    reports = analyze(spark.createDataFrame(list(MESSAGES.items()), "message_id string, raw binary"))
-    kind = lambda k: F.size(F.filter("links", lambda u: u["kind"] == k)).alias(k)
-    return reports.select(
-        "message_id", "score", "verdict", "origin_ip", F.size("hops").alias("hops"), kind("enlace"), kind("recurso"), F.size("attachments").alias("attachments"),
-        F.array_join(F.transform("findings", lambda f: f["id"]), " ").alias("rules"),
-    )
-
-
-def _golden(spark, rows):
-    return spark.createDataFrame([(n, str(got)) for n, got, _ in rows], "name string, value string")
-
-
-def decoding() -> list[tuple[str, object, str]]:
-    """name, our value, expected value"""
-    return [
-        ("b64 plain", b64("aG9sYQ=="), "b'hola'"), ("b64 dirty", b64("aG9s\r\nYQ"), "b'hola'"), ("b64 bad", b64("aG9sY"), "b''"), ("qp soft", quoted("a=\r\nb=3D", False), "b'ab='"),
-        ("qp header", quoted("a_b=C3=B3", True), r"b'a b\xc3\xb3'"), ("qp bad", quoted("a=ZZ", False), "b'a=ZZ'"), ("cp1252", decode_bytes(b"\x80\x81", "latin1"), "€\x81"),
-        ("utf8 bad", decode_bytes(b"a\xff", "utf-8"), "a�"), ("bom", decode_bytes(b"\xef\xbb\xbfx", None), "x"),
-        ("rfc2047", rfc2047("=?utf-8?Q?ACCI=C3=93N_X?= =?utf-8?B?w6k=?= y"), "ACCIÓN Xé y"), ("rfc2047 plain", rfc2047("a =?bad b"), "a =?bad b"),
-        ("params", sorted(params_of('Attachment; filename="a;b.txt"; n*0*=utf-8\'\'%C3%A9; n*1=x')[1].items()), "[('filename', 'a;b.txt'), ('n', 'éx')]"),
-    ]
+def _reports(spark, sf_dir) -> DataFrame:
+    return analyze(mailbox(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
-def decode_goldens(spark, sf_dir):
-    return _golden(spark, decoding())
+def _fixed(spark) -> DataFrame:
+    """Reports of all envelopes around an empty text."""
+    return analyze(spark.createDataFrame([(e.name, e.raw("body")) for e in ENVELOPES], "message_id string, raw binary"))
 
 
-def addressing() -> list[tuple[str, object, str]]:
-    short = lambda v: [(a["name"], a["address"], a["domain"]) for a in address_list(v)]
-    return [
-        ("two", short('"Doe, J" <j@x.com>, k@y.org'), "[('Doe, J', 'j@x.com', 'x.com'), ('', 'k@y.org', 'y.org')]"), ("mailto", short("<mailto:A@B.Com>"), "[('', 'A@B.Com', 'b.com')]"),
-        ("comment", short("u@x.com (N, M)"), "[('', 'u@x.com (N, M)', 'x.com (n, m)')]"), ("none", short(None), "[]"), ("no domain", short("root"), "[('', 'root', '')]"),
-    ]
+def _ids(findings: str = "findings") -> Column:
+    return F.array_join(F.transform(findings, lambda f: f["id"]), " ")
 
 
-def address_goldens(spark, sf_dir):
-    return _golden(spark, addressing())
-
-
-_NESTED = (
-    "Content-Type: multipart/mixed; boundary=o\r\n\r\npre\r\n--o\r\nContent-Type: multipart/alternative; boundary=i\r\n\r\n--i\r\nContent-Type: text/plain\r\n\r\nplain\r\n--i\r\nContent-Type: text/html\r\n\r\n<b>x</b>\r\n--i--\r\n"
-    "--o\r\nContent-Type: message/rfc822\r\n\r\nSubject: in\r\n\r\ninner\r\n--o--\r\nafter"
-)
-
-
-def nesting() -> list[tuple[str, object, str]]:
-    parts = mime_parts(_NESTED)
-    return [
-        ("paths", [p["part_id"] for p in parts], "['1', '1.1', '1.1.1', '1.1.2', '1.2', '1.2.1']"),
-        ("types", [p["mime"] for p in parts], "['multipart/mixed', 'multipart/alternative', 'text/plain', 'text/html', 'message/rfc822', 'text/plain']"),
-        ("texts", [p["text"] for p in parts if p["text"]], "['plain', '<b>x</b>', 'inner']"), ("empty", [p["mime"] for p in mime_parts("")], "['text/plain']"),
-    ]
+def fixture_reports(spark, sf_dir):
+    """Envelopes around an empty text."""
+    return _fixed(spark).select("message_id", "score", "verdict", "origin_ip", F.size("hops").alias("hops"), F.size("links").alias("links"), F.size("attachments").alias("attachments"), _ids().alias("rules"))
 
 
-def mime_goldens(spark, sf_dir):
-    return _golden(spark, nesting())
+def auth_goldens(spark, sf_dir):
+    return report.auth_chips(_fixed(spark))
 
 
 SCALARS = (
@@ -90,14 +64,15 @@ def scalar_goldens(spark, sf_dir):
     )
 
 
-def auth_goldens(spark, sf_dir):
-    reports = analyze(spark.createDataFrame(list(MESSAGES.items()), "message_id string, raw binary"))
-    return report.auth_chips(reports)
-
-
 def mailbox_reports(spark, sf_dir):
     """The whole analysis over a mailbox made of every document."""
-    return report.summary(analyze(_mailbox(spark, sf_dir)))
+    return report.summary(_reports(spark, sf_dir)).drop("parse_error")
+
+
+def mailbox_findings(spark, sf_dir):
+    """All findings in order of emission, with the texts that stand for them left out."""
+    rows = exploded(_reports(spark, sf_dir), "findings", "f", "message_id")
+    return rows.select("message_id", "position", "f.id", "f.cat", "f.points", "f.sev")
 
 
 def mailbox_verdicts(spark, sf_dir):
@@ -105,27 +80,136 @@ def mailbox_verdicts(spark, sf_dir):
 
 
 def mailbox_iocs(spark, sf_dir):
-    return report.ioc_rows(analyze(_mailbox(spark, sf_dir))).select("kind", "value", "defanged").distinct()
+    return report.ioc_rows(_reports(spark, sf_dir)).select("kind", "value", "defanged").distinct()
 
 
-def mailbox_json(spark, sf_dir):
-    return report.report_json(analyze(_mailbox(spark, sf_dir)))
+def mailbox_links(spark, sf_dir):
+    rows = exploded(_reports(spark, sf_dir), "links", "u", "message_id")
+    return rows.select("message_id", "u.ord", "u.url", "u.host", "u.kind", F.array_join(F.transform("u.flags", lambda f: f["id"]), " ").alias("flags"))
 
 
-def mailbox_reasons(spark, sf_dir):
-    return report.reasons(analyze(_mailbox(spark, sf_dir)))
+def mailbox_attachments(spark, sf_dir):
+    rows = exploded(_reports(spark, sf_dir), "attachments", "a", "message_id")
+    return rows.select("message_id", "a.filename", "a.size", "a.size_human", "a.sha256", "a.ext", "a.magic", F.array_join(F.transform("a.flags", lambda f: f["id"]), " ").alias("flags"))
 
 
-def _values(rows) -> str:
-    q = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows)
+def mailbox_hops(spark, sf_dir):
+    rows = exploded(_reports(spark, sf_dir), "hops", "h", "message_id")
+    return rows.select("message_id", "h.hop", "h.from_host", "h.by_host", "h.with_proto", "h.delay_seconds")
+
+
+def mailbox_auth(spark, sf_dir):
+    return report.auth_chips(_reports(spark, sf_dir))
+
+
+def mailbox_bodies(spark, sf_dir):
+    """What is visible of each message, as a digest."""
+    return _reports(spark, sf_dir).select("message_id", F.length("visible").alias("n_chars"), F.md5(F.col("visible").cast("binary")).alias("visible_md5"))
+
+
+def mailbox_shares(spark, sf_dir):
+    return report.cap_shares(_reports(spark, sf_dir)).drop("name")
+
+
+def mailbox_gravest(spark, sf_dir):
+    """The gravest findings of each message (a top-k report), and all of them by severity."""
+    reports = _reports(spark, sf_dir)
+    ranked = report.findings_by_severity(reports).select("message_id", _ids().alias("by_severity"))
+    return report.gravest(reports).select("message_id", _ids().alias("gravest")).join(ranked, "message_id")
+
+
+def mailbox_destinations(spark, sf_dir):
+    return report.destinations(_reports(spark, sf_dir))
+
+
+def mailbox_domains(spark, sf_dir):
+    return report.external_domains(_reports(spark, sf_dir)).select("message_id", F.array_join("domains", " ").alias("domains"))
+
+
+def mailbox_json(spark, sf_dir):
+    return report.report_json(_reports(spark, sf_dir))
+
+
+def mailbox_reasons(spark, sf_dir):
+    return report.reasons(_reports(spark, sf_dir)).select("message_id", "verdict", F.array_join("reasons", "; ").alias("reasons"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (fixture_reports, decode_goldens, address_goldens, mime_goldens, scalar_goldens, auth_goldens, mailbox_reports, mailbox_verdicts, mailbox_iocs, mailbox_json, mailbox_reasons)
-}
+    for f in (fixture_reports, auth_goldens, scalar_goldens, mailbox_reports, mailbox_findings, mailbox_verdicts, mailbox_iocs, mailbox_links, mailbox_attachments, mailbox_hops, mailbox_auth, mailbox_bodies,
+              mailbox_shares, mailbox_gravest, mailbox_destinations, mailbox_domains, mailbox_json, mailbox_reasons)
+}
+
+# The SQL. What follows is stated once more by hand, apart from ``rules``: weights, caps, combinations and word lists.
+WEIGHTS = """auth 30: spf-fail 25 high, spf-softfail 12 medium, spf-none 8 medium, spf-neutral 8 medium, dkim-fail 20 high, dkim-none 8 medium, dkim-absent 8 medium, dmarc-fail 30 high,
+dmarc-none 10 medium, dmarc-absent 10 medium, compauth 10 medium, align-none 20 high, align-dkim 10 medium, no-transport 0 info
+identidad 20: rp-mismatch 15 high, replyto-mismatch 18 high, replyto-freemail 15 high, from-freemail-cargo 15 high, dn-email 22 high, dn-brand 18 high, dn-homoglyph 12 medium, from-punycode 20 high,
+from-tld 10 medium, from-multi 10 medium, from-missing 10 medium, mid-missing 10 medium, mid-mismatch 6 low
+enlaces 20: url-mismatch 20 high, url-ip 20 high, url-punycode 20 high, url-userinfo 20 high, url-data 25 high, url-brand 18 high, url-shortener 10 medium, url-creds 10 medium, url-tld 8 medium,
+url-port 8 medium, url-http 6 medium, url-subdomains 4 low, url-filehost 4 low, url-redirector 0 info
+adjuntos 15: att-exec 25 high, att-double 22 high, att-rtlo 22 high, att-macro 20 high, att-html 20 high, att-mismatch 20 high, att-ole 10 medium, att-container 8 medium, att-empty 0 info
+contenido 10: body-password 25 high, body-form 20 high, body-script 18 high, body-refresh 18 high, body-bec 15 high, body-iban 12 high, body-nocontacto 10 medium, body-iframe 12 medium,
+body-image 12 medium, body-hidden 10 medium, body-crypto 10 medium, body-empty 8 medium, body-entities 6 low, subj-urgency 8 medium, subj-nothread 8 medium
+transporte 5: xmailer 10 medium, rcv-none 10 medium, rcv-one 3 low, rcv-delay 4 low, date-skew 5 low, x-orig-ip 0 info
+combinacion 20: combo-bec 20 high, combo-credenciales 15 high, combo-malware 15 high, combo-extorsion 15 high"""
+
+
+def _weights() -> list[tuple[str, str, int, int, str]]:
+    """id, category, cap, points, severity"""
+    out = []
+    for block in WEIGHTS.replace(",\n", ", ").split("\n"):
+        head, _, rules = block.partition(": ")
+        for rule in rules.split(", "):
+            out.append((rule.split()[0], head.split()[0], int(head.split()[1]), int(rule.split()[1]), rule.split()[2]))
+    return out
+
+
+def _q(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, (list, tuple)):
+        return "[" + ", ".join(map(_q, v)) + "]::VARCHAR[]"
+    return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
 
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(map(_q, r)) + ")" for r in rows)
+
+
+_SQUEEZE = r"trim(regexp_replace({}, '[ \t\n\r\f\v\x{{A0}}\x{{FEFF}}]+', ' ', 'g'))"
+_E = _values([(i, e.name, e.enc, e.ids, e.tail, e.seen, e.risky, e.subject, e.sender, (e.ips or (None,))[0], len(e.delays), len(e.links), sum(x[2] == "enlace" for x in e.links), len(e.files), *e.chips) for i, e in enumerate(ENVELOPES)])
+_MAIL = rf"""e(k, name, enc, ids, tail, seen, risky, subject, sender, origin_ip, n_hops, n_urls, n_enlace, n_attachments, spf, dkim, dmarc, spf_alignment, dkim_alignment) AS (VALUES {_E}),
+weights(id, cat, cap, points, sev) AS (VALUES {_values(_weights())}),
+d AS (@texts@),
+v AS (SELECT d.message_id, e.*, {_SQUEEZE.format("CASE enc WHEN 'none' THEN '' ELSE coalesce(text, '') || ' ' END || seen")} AS visible FROM d JOIN e USING (k)),
+w AS (SELECT *, lower(visible || ' ' || subject) AS words FROM v),
+c AS (SELECT *, regexp_matches(words, 'bitcoin|btc|usdt|ethereum|monero|wallet|seed phrase|frase semilla|criptomoneda') AS crypto,
+  regexp_matches(words, 'transferencia|wire transfer|iban|swift|cambio de cuenta|bank details|datos bancarios|nomina|payroll|pago urgente|urgent payment') AS payment,
+  regexp_matches(visible, '\b[A-Z]{{2}}[0-9]{{2}}[ ]?(?:[A-Za-z0-9]{{4}}[ ]?){{3,7}}[A-Za-z0-9]{{1,4}}\b') AS account,
+  regexp_matches(lower(visible), 'no me llames|no llames|no puedo hablar|estoy en una reunion|estoy en una reunión|no digas nada|es confidencial') AS silence FROM w),
+f AS (SELECT *, ids || CASE WHEN crypto THEN ['body-crypto'] ELSE [] END || CASE WHEN payment AND risky THEN ['body-bec'] ELSE [] END || CASE WHEN payment AND account THEN ['body-iban'] ELSE [] END
+  || CASE WHEN silence THEN ['body-nocontacto'] ELSE [] END || tail AS fired FROM c),
+g AS (SELECT *, fired
+  || CASE WHEN list_has_any(fired, ['from-freemail-cargo', 'replyto-freemail', 'dn-brand', 'dn-email']) AND list_has_any(fired, ['body-bec', 'body-iban']) THEN ['combo-bec'] ELSE [] END
+  || CASE WHEN list_has_any(fired, ['body-password', 'body-form', 'url-creds']) AND list_has_any(fired, ['url-mismatch', 'url-brand', 'url-punycode', 'url-ip']) THEN ['combo-credenciales'] ELSE [] END
+  || CASE WHEN list_has_any(fired, ['att-exec', 'att-macro', 'att-html']) AND list_has_any(fired, ['body-empty', 'subj-urgency', 'subj-nothread', 'dmarc-fail']) THEN ['combo-malware'] ELSE [] END
+  || CASE WHEN list_contains(fired, 'body-crypto') AND list_has_any(fired, ['from-tld', 'spf-none', 'spf-neutral', 'dmarc-absent', 'dmarc-none']) THEN ['combo-extorsion'] ELSE [] END AS rules FROM f),
+findings AS (SELECT message_id, position, u.id, cat, cap, points, sev FROM (SELECT message_id, unnest(rules) AS id, generate_subscripts(rules, 1) - 1 AS position FROM g) u JOIN weights USING (id)),
+shares AS (SELECT message_id, cat, least(sum(points), any_value(cap)) AS points, any_value(cap) AS cap FROM findings GROUP BY message_id, cat),
+scores AS (SELECT message_id, least(100, sum(points))::INTEGER AS score FROM shares GROUP BY message_id),
+r AS (SELECT g.*, coalesce(score, 0)::INTEGER AS score, CASE WHEN score >= 80 THEN 'CRITICO' WHEN score >= 50 THEN 'ALTO' WHEN score >= 20 THEN 'MEDIO' ELSE 'BAJO' END AS verdict FROM g LEFT JOIN scores USING (message_id))"""
+_DOCS = _MAIL.replace("@texts@", f"SELECT doc_id::VARCHAR AS message_id, doc_id % {len(ENVELOPES)} AS k, text FROM documents")
+_FIXED = _MAIL.replace("@texts@", "SELECT name AS message_id, k, 'body' AS text FROM e")
+_LINKS = "links(k, ord, url, host, kind, flags) AS (VALUES " + _values([(i, n, u, h, kind, " ".join(flags)) for i, e in enumerate(ENVELOPES) for n, (u, h, kind, flags) in enumerate(e.links)]) + ")"
+_FILES = "files(k, filename, size, sha256, ext, magic, flags) AS (VALUES " + _values([(i, n, len(c), sha256(c), ext, magic, " ".join(flags)) for i, e in enumerate(ENVELOPES) for n, c, ext, magic, flags in e.files]) + ")"
+_MAILS = "mails(k, email) AS (VALUES " + _values([(i, m) for i, e in enumerate(ENVELOPES) for m in e.emails]) + ")"
+_IPS = "ips(k, ip) AS (VALUES " + _values([(i, m) for i, e in enumerate(ENVELOPES) for m in e.ips]) + ")"
+_HOPS = "hops(k, hop, delay_seconds, n) AS (VALUES " + _values([(i, n, x, len(e.delays)) for i, e in enumerate(ENVELOPES) for n, x in enumerate(e.delays, 1)]) + ")"
+_IS_IP = r"regexp_matches(host, '^[0-9.]+$')"
+_ORG = "CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN host ELSE array_to_string(string_split(host, '.')[-2:], '.') END"
+_ORG_OF = "CASE WHEN sender IS NULL THEN '' ELSE array_to_string(string_split(split_part(sender, '@', 2), '.')[-2:], '.') END"
 _SCALARS = [
     ("10.20.0.5", True, True, "10.20.0.5", "10[.]20[.]0[.]5", "10.20.0.5", "", "", ""), ("45.155.205.233", True, False, "45.155.205.233", "45[.]155[.]205[.]233", "45.155.205.233", "", "", ""),
     ("mail.foo.co.uk", False, False, "foo.co.uk", "mail[.]foo[.]co[.]uk", "mail.foo.co.uk", "", "", ""), ("http://evil.com/a", False, False, "http://evil.com/a", "hxxp://evil[.]com/a", "http://evil.com/a", "evil.com", "", ""),
@@ -134,15 +218,39 @@ _SCALARS = [
     ("x &amp;lt; &#65;&#x42; &nbsp;|", False, False, "x &amp;lt; &#65;&#x42; &nbsp;|", "x &amp;lt; &#65;&#x42; &nbsp;|", "x < AB  |", "", "", ""),
     ("::1", False, True, "::1", "::1", "::1", "", "", ""), ("", False, False, "", "", "", "", "", ""),
 ]
-_CHIPS = [
-    ("PHISHING", "fail", "warn", "fail", "not aligned", "unknown"), ("BOLETIN", "pass", "pass", "pass", "aligned", "aligned"), ("BEC", "pass", "pass", "pass", "aligned", "aligned"),
-    ("BANCO", "pass", "pass", "pass", "aligned", "aligned"), ("TIENDA", "pass", "pass", "pass", "aligned", "aligned"),
-]
+_DEFANG = "replace(replace(regexp_replace(regexp_replace(value, '(?i)https://', 'hxxps://', 'g'), '(?i)http://', 'hxxp://', 'g'), '.', '[.]'), '@', '[@]')"
+_RANK = "CASE sev WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END"
 
 SQL = {
-    "fixture_reports": "SELECT message_id, score::INTEGER AS score, verdict, origin_ip, hops::INTEGER AS hops, enlace::INTEGER AS enlace, recurso::INTEGER AS recurso, attachments::INTEGER AS attachments, rules FROM (VALUES "
-    + _values([(k, *v) for k, v in EXPECTED.items()]) + ") v(message_id, score, verdict, origin_ip, hops, enlace, recurso, attachments, rules)",
-    **{n: "SELECT name, value FROM (VALUES " + _values([(a, c) for a, _, c in f()]) + ") v(name, value)" for n, f in (("decode_goldens", decoding), ("address_goldens", addressing), ("mime_goldens", nesting))},
+    "fixture_reports": f"WITH {_FIXED} SELECT message_id, score, verdict, origin_ip, n_hops::INTEGER AS hops, n_urls::INTEGER AS links, n_attachments::INTEGER AS attachments, array_to_string(rules, ' ') AS rules FROM r",
+    "auth_goldens": f"WITH {_FIXED} SELECT message_id, spf, dkim, dmarc, spf_alignment, dkim_alignment FROM r",
     "scalar_goldens": "SELECT * FROM (VALUES " + _values(_SCALARS) + ") v(s, ip, private, org, defanged, decoded, host, port, userinfo)",
-    "auth_goldens": "SELECT * FROM (VALUES " + _values(_CHIPS) + ") v(message_id, spf, dkim, dmarc, spf_alignment, dkim_alignment)",
+    "mailbox_reports": f"""WITH {_DOCS} SELECT message_id, message_id || '.eml' AS filename, verdict, score, sender AS "from", subject, origin_ip, n_hops::INTEGER AS n_hops, n_urls::INTEGER AS n_urls, n_enlace::INTEGER AS n_enlace,
+(n_urls - n_enlace)::INTEGER AS n_recurso, n_attachments::INTEGER AS n_attachments, len(rules)::INTEGER AS n_findings FROM r""",
+    "mailbox_findings": f"WITH {_DOCS} SELECT message_id, position::INTEGER AS position, id, cat, points::INTEGER AS points, sev FROM findings",
+    "mailbox_verdicts": f"WITH {_DOCS} SELECT verdict, count(*) AS n, min(score) AS lowest, max(score) AS highest FROM r GROUP BY verdict",
+    "mailbox_iocs": f"""WITH {_DOCS}, {_LINKS}, {_FILES}, {_MAILS}, {_IPS}, here AS (SELECT DISTINCT k FROM d),
+i AS (SELECT 'domain' AS kind, host AS value FROM links JOIN here USING (k) WHERE NOT {_IS_IP} UNION SELECT 'ip', host FROM links JOIN here USING (k) WHERE {_IS_IP} UNION SELECT 'ip', ip FROM ips JOIN here USING (k)
+  UNION SELECT 'url', url FROM links JOIN here USING (k) UNION SELECT 'hash', sha256 FROM files JOIN here USING (k) UNION SELECT 'email', email FROM mails JOIN here USING (k))
+SELECT kind, value, CASE kind WHEN 'hash' THEN value ELSE {_DEFANG} END AS defanged FROM i""",
+    "mailbox_links": f"WITH {_DOCS}, {_LINKS} SELECT message_id, ord::INTEGER AS ord, url, host, kind, flags FROM d JOIN links USING (k)",
+    "mailbox_attachments": f"WITH {_DOCS}, {_FILES} SELECT message_id, filename, size::BIGINT AS size, size || ' B' AS size_human, sha256, ext, magic, flags FROM d JOIN files USING (k)",
+    "mailbox_hops": f"""WITH {_DOCS}, {_HOPS} SELECT message_id, hop::INTEGER AS hop, CASE WHEN hop = n THEN 'mx.example.com' ELSE 'host.example.com' END AS from_host,
+CASE WHEN hop = n THEN 'mx.corp.example' ELSE 'mx.example.com' END AS by_host, CASE WHEN hop = n THEN 'ESMTPS' ELSE 'ESMTP' END AS with_proto, delay_seconds::BIGINT AS delay_seconds FROM d JOIN hops USING (k)""",
+    "mailbox_auth": f"WITH {_DOCS} SELECT message_id, spf, dkim, dmarc, spf_alignment, dkim_alignment FROM r",
+    "mailbox_shares": f"""WITH {_DOCS}, cats AS (SELECT DISTINCT cat, cap FROM weights)
+SELECT message_id, cat, (100 * coalesce(points, 0) // cats.cap)::INTEGER AS percent FROM (SELECT message_id, cat, cap FROM d, cats) cats LEFT JOIN shares USING (message_id, cat) WHERE cat <> 'combinacion' OR points > 0""",
+    "mailbox_gravest": f"""WITH {_DOCS}, o AS (SELECT message_id, list(id ORDER BY {_RANK}, position) AS by_severity, list(id ORDER BY position) FILTER (sev = 'high') AS high FROM findings GROUP BY message_id)
+SELECT message_id, coalesce(array_to_string(high[:6], ' '), '') AS gravest, coalesce(array_to_string(by_severity, ' '), '') AS by_severity FROM d LEFT JOIN o USING (message_id)""",
+    "mailbox_destinations": f"""WITH {_DOCS}, {_LINKS}, p AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || host || split_part(regexp_extract(url, '://[^/?#]*(.*)$', 1), '?', 1) AS destination FROM links),
+q AS (SELECT k, kind, destination, count(*) AS times, min(ord) AS ord, arg_min(url, ord) AS url, arg_min(CASE flags WHEN '' THEN 0 ELSE len(string_split(flags, ' ')) END, ord)::INTEGER AS n_flags FROM p GROUP BY k, kind, destination)
+SELECT message_id, kind, row_number() OVER (PARTITION BY message_id, kind ORDER BY n_flags DESC, ord)::INTEGER AS position, destination, times, url, n_flags FROM d JOIN q USING (k)""",
+    "mailbox_domains": f"""WITH {_DOCS}, {_LINKS}, o AS (SELECT k, ord, {_ORG} AS org FROM links WHERE kind = 'enlace'), s AS (SELECT k, {_ORG_OF} AS own FROM e),
+t AS (SELECT k, org, min(ord) AS ord FROM o JOIN s USING (k) WHERE org <> own GROUP BY k, org), l AS (SELECT k, array_to_string(list(org ORDER BY ord)[:6], ' ') AS domains FROM t GROUP BY k)
+SELECT message_id, coalesce(domains, '') AS domains FROM d LEFT JOIN l USING (k)""",
+    "mailbox_reasons": f"""WITH {_DOCS}, told(id, reason) AS (VALUES {_values(report.REASONS.items())}),
+t AS (SELECT message_id, reason, min(position) AS position FROM findings JOIN told USING (id) GROUP BY message_id, reason), l AS (SELECT message_id, array_to_string(list(reason ORDER BY position)[:5], '; ') AS reasons FROM t GROUP BY message_id)
+SELECT message_id, verdict, coalesce(reasons, '') AS reasons FROM r LEFT JOIN l USING (message_id)""",
+    "mailbox_bodies": f"""WITH {_DOCS}, s(k, shown) AS (VALUES {_values([(i, "see www.example.net/a, or ftp://example.net/b" if e.name == "link in plain text" else e.seen) for i, e in enumerate(ENVELOPES)])}),
+x AS (SELECT message_id, {_SQUEEZE.format("CASE enc WHEN 'none' THEN '' ELSE coalesce(text, '') || ' ' END || shown")} AS t FROM d JOIN e USING (k) JOIN s USING (k)) SELECT message_id, length(t)::INTEGER AS n_chars, md5(t) AS visible_md5 FROM x""",
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.text import B, E, IPV4, first_brand, html_escape, human_size, is_private_ip, lookup_url, magic_of, short_address
-from .urls import _re2, spread, table
+from ..functions.text import IPV4, ext_of, first_brand, html_escape, human_size, is_private_ip, lookup_url, magic_of, short_address
+from ..operators import analyze as A
+from .urls import spread, table
 
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.[A-Za-z]{2,}"
 DOTTED = rf"(?<![A-Za-z0-9_]){IPV4}(?![A-Za-z0-9_])"
@@ -44,18 +45,24 @@ def first_brand_in_text(spark, sf_dir):
 PHRASES = {
     2: " acción requerida en 24 horas", 3: " hagan la transferencia al IBAN ES91 2100 0418 4502 0005 1332", 5: " paid in bitcoin", 7: " no me llames, es confidencial", 11: " URGENTE último aviso",
 }
+#: The rules' words, stated once more by hand for the SQL.
 RULES = {
-    "subj-urgency": f"(?iu)(?:{R.URGENCY})", "payment": f"(?iu)(?:{R.PAYMENT})", "body-crypto": f"(?iu)(?:{R.CRYPTO})", "body-nocontacto": f"(?iu)(?:{R.NO_CONTACT})",
-    "iban": f"{B}{R.IBAN}{E}", "job-title": f"(?iu){B}(?:{'|'.join(R.JOB_TITLES)}){E}", "bulk-mailer": f"(?i)(?:{R.BULK_MAILERS})",
+    "subj-urgency": "(?i)urgente|inmediat|caduca|expira|vence|suspend|bloquea|bloqueo|último aviso|accion requerida|acción requerida|24 horas|48 horas|impag|multa|sanción|premio|herencia|urgent|immediate|expires?|action required|final notice|overdue|last warning",
+    "payment": "(?i)transferencia|wire transfer|iban|swift|cambio de cuenta|bank details|datos bancarios|nomina|payroll|pago urgente|urgent payment",
+    "body-crypto": "(?i)bitcoin|btc|usdt|ethereum|monero|wallet|seed phrase|frase semilla|criptomoneda",
+    "body-nocontacto": "(?i)no me llames|no llames|no puedo hablar|estoy en una reuni[oó]n|no digas nada|es confidencial",
+    "job-title": r"(?i)\b(?:ceo|cfo|coo|cto|director|directora|direccion|dirección|gerente|presidente|presidenta|administrador|administradora|jefe|jefa|responsable|manager|head of)\b",
+    "bulk-mailer": r"(?i)phpmailer|sendmail|python|swiftmailer|mass|bulk|axigen|smtplib|mailer\s*script",
 }
+_IBAN = r"\b[A-Z]{2}\d{2}[ ]?(?:[A-Za-z0-9]{4}[ ]?){3,7}[A-Za-z0-9]{1,4}\b"
 
 
 def content_rules(spark, sf_dir):
     """Which content rules each text fires, phrases appended by id so that each fires somewhere."""
     text = F.concat("text", *(F.when(F.col("doc_id") % k == 0, F.lit(p)).otherwise("") for k, p in PHRASES.items()))
-    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.alias("whole")).withColumn("low", F.lower("whole"))
-    # rules that fold case are matched against the lower-cased text
-    hit = (F.when(F.col("low").rlike(p[p.index(")") + 1 :]) if p.startswith("(?i") else F.col("whole").rlike(p), F.lit(i)) for i, p in RULES.items())
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.alias("whole"))
+    rules = A.content_rules(F.col("whole"), F.col("whole")) | {"job-title": A.job_title(F.col("whole")), "bulk-mailer": A.bulk_mailer(F.col("whole"))}
+    hit = (F.when(c, F.lit(i)) for i, c in rules.items())
     return texts.select("doc_id", F.explode(F.array(*hit)).alias("id")).where("id IS NOT NULL")
 
 
@@ -76,8 +83,9 @@ def file_extensions(spark, sf_dir):
     """Attachment rules by extension, for names made of ids."""
     exts = [*R.EXEC_EXT, *R.MACRO_EXT, *R.CONTAINER_EXT, *R.HTML_EXT, "pdf", "txt", "docx"]
     ext = F.element_at(F.array(*(F.lit(x) for x in exts)), (F.col("doc_id") % len(exts) + 1).cast("int"))
-    rule = F.when(F.col("ext").isin(R.EXEC_EXT), "att-exec").when(F.col("ext").isin(R.MACRO_EXT), "att-macro").when(F.col("ext").isin(R.CONTAINER_EXT), "att-container").when(F.col("ext").isin(R.HTML_EXT), "att-html")
-    return table(spark, sf_dir, "documents").select("doc_id", ext.alias("ext")).select("doc_id", "ext", rule.alias("rule"))
+    rules = A.attachment_rules(F.col("name"), F.col("ext"), F.lit(None).cast("string"), F.lit(1))
+    names = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Name."), F.upper(ext)).alias("name"))
+    return names.withColumn("ext", ext_of(F.col("name"))).select("doc_id", "ext", F.coalesce(*(F.when(c, F.lit(i)) for i, c in rules)).alias("rule"))
 
 
 def escaped_turns(spark, sf_dir):
@@ -122,7 +130,8 @@ UNION SELECT 'email', email FROM emails UNION SELECT 'ip', ip FROM ips WHERE NOT
     "doc_hashes": "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents",
     "first_brand_in_text": f"SELECT doc_id, {_BRAND} AS brand FROM (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS plain FROM documents)",
     "content_rules": f"WITH t AS (SELECT doc_id, {_TEXT} AS text FROM documents) "
-    + " UNION ALL ".join(f"SELECT doc_id, '{i}' AS id FROM t WHERE regexp_matches(text, '{_re2(p).replace('(?iu)', '(?i)')}')" for i, p in RULES.items()),
+    + " UNION ALL ".join(f"SELECT doc_id, '{i}' AS id FROM t WHERE regexp_matches(text, '{p}')" for i, p in RULES.items())
+    + f" UNION ALL SELECT doc_id, 'body-iban' FROM t WHERE regexp_matches(text, '{_IBAN}') AND regexp_matches(text, '{RULES['payment']}')",
     "human_sizes": f"""SELECT doc_id, {_N} AS n_bytes, CASE WHEN {_N} < 1024 THEN {_N}::VARCHAR || ' B'
 WHEN {_N} < 1048576 THEN ((20 * {_N} + 1024) // 2048 // 10)::VARCHAR || '.' || ((20 * {_N} + 1024) // 2048 % 10)::VARCHAR || ' KB'
 ELSE ((200 * {_N} + 1048576) // 2097152 // 100)::VARCHAR || '.' || lpad(((200 * {_N} + 1048576) // 2097152 % 100)::VARCHAR, 2, '0') || ' MB' END AS size FROM documents""",

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.text import HEX, OCTET, B, E, defang, org_domain, squeezed, strip_tags, url_parts, url_rules_of_columns, with_url_columns
+from ..functions.text import HEX, OCTET, B, E, defang, org_domain, squeezed, url_parts, url_rules_of_columns, with_url_columns
+from ..operators import analyze as A
 from ..operators.analyze import ANCHOR
 
 
@@ -170,10 +171,8 @@ SIGNALS = {
 
 def html_signals(spark, sf_dir):
     html = F.concat("html", *(F.when(F.col("page_id") % k == 0, F.lit(x)).otherwise("") for k, x in EXTRA.items()))
-    return table(spark, sf_dir, "pages").select(
-        "page_id", *(html.rlike(p).alias(n) for n, p in SIGNALS.items()), F.regexp_count(html, F.lit(f"(?i){R.HIDDEN_STYLE}")).cast("long").alias("n_hidden"),
-        F.regexp_count(html, F.lit("(?i)&#x?[0-9a-f]{2,};")).cast("long").alias("n_entities"),
-    )
+    counts = A.html_counts(html)
+    return table(spark, sf_dir, "pages").select("page_id", *((c.cast("long") if n.startswith("n_") else c).alias(n) for n, c in counts.items()))
 
 
 EXTRA = {
@@ -184,12 +183,12 @@ _HTML = "html || " + " || ".join(f"CASE WHEN page_id % {k} = 0 THEN '{x}' ELSE '
 
 
 def visible_text(spark, sf_dir):
-    text = squeezed(strip_tags(F.col("html")))
+    text = A.visible_text(F.lit(""), F.concat("html", F.lit("<p>&amp;lt;&#233;&#xe9;&quot;&nbsp;</p>")))
     return table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5"))
 
 
 def _re2(pattern: str) -> str:
-    return pattern.replace(E, r"\b").replace(B, r"\b").replace("'", "''")
+    return pattern.replace(E, r"\b").replace(B, r"\b").replace("(?![a-z0-9_])", r"\b").replace("'", "''")
 
 
 _SQUEEZED = r"trim(regexp_replace({}, '[ \t\n\r\f\v\x{{A0}}\x{{FEFF}}]+', ' ', 'g'))"
@@ -214,6 +213,6 @@ SELECT destination, count(*) AS times, arg_min(url, page_id) AS first_url FROM k
 r AS (SELECT page_id, unnest(range(1, len(h) + 1)) AS ord, h, t FROM a)
 SELECT page_id, ord, h[ord] AS href, {_SQUEEZED.format("regexp_replace(t[ord], '<[^>]+>', '', 'g')")} AS anchor_text FROM r""",
     "html_signals": f"WITH p AS (SELECT page_id, {_HTML} AS html FROM pages) SELECT page_id, " + ", ".join(f"regexp_matches(html, '{_re2(p)}') AS {n}" for n, p in SIGNALS.items())
-    + f", len(regexp_extract_all(html, '(?i){_re2(R.HIDDEN_STYLE)}'))::BIGINT AS n_hidden, len(regexp_extract_all(html, '(?i)&#x?[0-9a-f]{{2,}};'))::BIGINT AS n_entities FROM p",
-    "visible_text": f"WITH v AS (SELECT page_id, {_SQUEEZED.format(chr(34) + 'stripped' + chr(34))} AS t FROM (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS stripped FROM pages)) SELECT page_id, length(t)::BIGINT AS n_chars, md5(t) AS text_md5 FROM v",
+    + f", len(regexp_extract_all(html, '(?i){_re2(R.HIDDEN_STYLE)}'))::BIGINT AS n_hidden, len(regexp_extract_all(html, '(?i)&#x?[0-9a-f]{{2,}};'))::BIGINT AS n_entities, len(regexp_extract_all(html, '(?i)<img\\b'))::BIGINT AS n_images FROM p",
+    "visible_text": f"WITH v AS (SELECT page_id, {_SQUEEZED.format(chr(34) + 'stripped' + chr(34))} AS t FROM (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') || ' <éé\" ' AS stripped FROM pages)) SELECT page_id, length(t)::BIGINT AS n_chars, md5(t) AS text_md5 FROM v",
 }

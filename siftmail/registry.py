@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("urls", "events", "texts", "mailbox")
+MODULES: tuple[str, ...] = ("urls", "events", "texts", "decoders", "mailbox")
 
 
 def _merged(name: str) -> dict:

@@ -31,25 +31,3 @@ def pasted(texts: DataFrame, column: str = "text") -> DataFrame:
     raw = F.encode(t, "UTF-8")
     rows = texts.where((F.length(t) >= 40) & t.rlike(r"(?m)^[\w-]+\s*:"))
     return rows.select(F.sha2(raw, 256).alias("message_id"), F.lit("pasted.eml").alias("filename"), F.octet_length(raw).cast("long").alias("size_bytes"), raw.alias("raw"))
-
-
-def synthesized(texts: DataFrame) -> DataFrame:
-    """A mailbox made of ``documents``: every text in an envelope picked by its id; bodies alternate between base64 HTML
-    and 8-bit plain text."""
-    k = F.col("doc_id")
-    pick = lambda *v: F.element_at(F.array(*(F.lit(x) for x in v)), (F.pmod(k, F.lit(len(v))) + 1).cast("int"))
-    sender = pick('"PayPal" <service@paypa1.xyz>', "Ana <ana@example.com>", '"Luis (CEO)" <luis.ceo@gmail.com>', "shop@shop.example.org", '"Soporte" <help@xn--bnk-0na.com>')
-    reply = pick("", "", "Reply-To: other@mail.example.net\r\n")
-    auth = pick("spf=fail smtp.mailfrom=bulk.example.net; dkim=none; dmarc=fail", "spf=pass smtp.mailfrom=example.com; dkim=pass header.d=example.com; dmarc=pass", "spf=softfail; dmarc=none")
-    link = F.concat(pick("http://185.199.110.153:8080/login", "https://example.com/a", "https://bit.ly/x", "https://docs.google.com/f"), F.lit("?d="), k.cast("string"))
-    html = F.concat(F.lit("<html><body><p>"), F.coalesce("text", F.lit("")), F.lit('</p><a href="'), link, F.lit('">https://example.com/</a></body></html>'))
-    hop = F.concat(F.lit("Received: from a.example.net (a.example.net [203.0.113."), F.pmod(k, F.lit(250)).cast("string"), F.lit("]) by mx.example.com; Mon, 10 Aug 2026 09:00:00 +0200\r\n"))
-    head = F.concat(
-        hop, F.lit("Authentication-Results: mx.example.com; "), auth, F.lit("\r\nFrom: "), sender, F.lit("\r\n"), reply,
-        F.lit("To: box@example.com\r\nSubject: "), pick("hello", "urgente: factura", "Re: your account", "news"), F.lit("\r\nMessage-ID: <"), k.cast("string"),
-        F.lit("@example.com>\r\nDate: Mon, 10 Aug 2026 09:00:00 +0200\r\n"),
-    )
-    as_html = F.concat(F.lit('Content-Type: text/html; charset="utf-8"\r\nContent-Transfer-Encoding: base64\r\n\r\n'), F.base64(F.encode(html, "UTF-8")))
-    as_text = F.concat(F.lit('Content-Type: text/plain; charset="utf-8"\r\n\r\n'), F.coalesce("text", F.lit("")), F.lit("\r\n"), link)
-    raw = F.encode(F.concat(head, F.when(k % 2 == 0, as_html).otherwise(as_text)), "UTF-8")
-    return texts.select(k.cast("string").alias("message_id"), F.concat(k.cast("string"), F.lit(".eml")).alias("filename"), F.octet_length(raw).cast("long").alias("size_bytes"), raw.alias("raw"))
