@@ -191,6 +191,9 @@ def _re2(pattern: str) -> str:
     return pattern.replace(E, r"\b").replace(B, r"\b").replace("(?![a-z0-9_])", r"\b").replace("'", "''")
 
 
+_NAMED = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+for _a, _b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " ")):
+    _NAMED = f"replace({_NAMED}, '{_a}', '{_b}')"
 _SQUEEZED = r"trim(regexp_replace({}, '[ \t\n\r\f\v\x{{A0}}\x{{FEFF}}]+', ' ', 'g'))"
 
 QUERIES = {"url_flags": flags_of_pages} | {f.__name__: f for f in (url_score, url_parse, url_defang, url_org_domain, flag_histogram, own_domain_suppression, group_destinations, url_top_hosts, external_domains, html_anchors, html_signals, visible_text)}
@@ -214,5 +217,5 @@ r AS (SELECT page_id, unnest(range(1, len(h) + 1)) AS ord, h, t FROM a)
 SELECT page_id, ord, h[ord] AS href, {_SQUEEZED.format("regexp_replace(t[ord], '<[^>]+>', '', 'g')")} AS anchor_text FROM r""",
     "html_signals": f"WITH p AS (SELECT page_id, {_HTML} AS html FROM pages) SELECT page_id, " + ", ".join(f"regexp_matches(html, '{_re2(p)}') AS {n}" for n, p in SIGNALS.items())
     + f", len(regexp_extract_all(html, '(?i){_re2(R.HIDDEN_STYLE)}'))::BIGINT AS n_hidden, len(regexp_extract_all(html, '(?i)&#x?[0-9a-f]{{2,}};'))::BIGINT AS n_entities, len(regexp_extract_all(html, '(?i)<img\\b'))::BIGINT AS n_images FROM p",
-    "visible_text": f"WITH v AS (SELECT page_id, {_SQUEEZED.format(chr(34) + 'stripped' + chr(34))} AS t FROM (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') || ' <éé\" ' AS stripped FROM pages)) SELECT page_id, length(t)::BIGINT AS n_chars, md5(t) AS text_md5 FROM v",
+    "visible_text": f"WITH v AS (SELECT page_id, {_SQUEEZED.format(chr(34) + 'stripped' + chr(34))} AS t FROM (SELECT page_id, {_NAMED} || ' <éé\" ' AS stripped FROM pages)) SELECT page_id, length(t)::BIGINT AS n_chars, md5(t) AS text_md5 FROM v",
 }
