@@ -77,6 +77,14 @@ def release(spark: SparkSession, tables: list[str]) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop(*frames: DataFrame) -> None:
+    """Delete the scratch tables of this thread that the frames read; nothing reads them any more."""
+    for df in frames:
+        gone = read_by(df, _own.written)
+        release(df.sparkSession, sorted(gone))
+        _own.written = [t for t in _own.written if t not in gone]
+
+
 #: Characters of text that are taken apart together; longer texts go in segments.
 SEGMENT = 1_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .column_bwt import repeated_windows
-from .common import saved
+from .common import drop, saved
 
 GRAM = 32
 #: Columns of the bands by which large groups are split, one after the other.
@@ -227,6 +227,7 @@ def repeated_runs(docs: DataFrame, *, width: int, batch: int, most: int) -> tupl
     frags = saved(_fragments_of(docs, width), "fragments")
     anchors = saved(frags.groupBy("m").agg(F.count(F.lit(1)).alias("n"), (F.min("k") != F.max("k")).alias("several")).where("n > 1").select("m", "several"), "anchors")
     maybe = saved(frags.join(anchors, "m"), "candidates")
+    drop(frags, anchors)
     contents = saved(
         maybe.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n"), F.first("several").alias("several"), F.min(F.struct("id", "x", "start")).alias("at"), F.min("length").alias("length"), F.min("place").alias("place")), "contents"
     )
