@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("chunked_bpe", "curve_packing", "hidden_markov", "host_rules", "lang_spans", "media", "minmax_dedup", "repeat_dedup", "token_files", "toxic_lexicon", "unigram_count", "whitening")
+MODULES = ("chunked_bpe", "curve_packing", "hidden_markov", "host_rules", "lang_spans", "media", "merkle_manifest", "minmax_dedup", "repeat_dedup", "token_files", "toxic_lexicon", "unigram_count", "whitening")
 
 
 def _merged(name: str) -> dict:

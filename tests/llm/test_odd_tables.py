@@ -14,7 +14,9 @@ from .test_selection import ODD
 CLASH = "n k uid ids node bucket host kept w start score h1 media part label train seq held_out p id x runs a b key base payload feature tokens found component".split()
 ROWS = [(i, t, None if i % 3 else "en", None if i % 4 else "src", None if i % 5 else 3) for i, t in enumerate(ODD)]
 ROWS += [ROWS[4], ROWS[4], (None, "a text without an id", "en", "src", 1), (None, None, None, None, None), (77, "a b", None, None, None)]
-NAMES = sorted(registry.queries())
+NAMES = sorted(n for n in registry.queries() if n != "op12_whitening")  # reads embeddings: test_whitening has its odd rows
+#: Rows that are alike differ by their place in these.
+PLACED = ("op1_", "op11_", "op13_")
 
 
 def written(spark, path, rows, labels):
@@ -47,7 +49,7 @@ def test_odd_rows(spark, odd, name):
     if name.startswith("op1_"):
         got = [r for r in got if r["start"] == 0]
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in ROWS)
-    if not name.startswith("op1_"):  # rows of one id and text get one result
+    if not name.startswith(PLACED):  # rows of one id and text get one result
         assert len({str(r) for r in got if r["doc_id"] == ROWS[4][0]}) == 1
 
 
