@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from .common import own, scratch_dir, table
-from .token_files import kind_for, read_tokens, word_tokens, write_tokens
+from .token_files import read_tokens, write_words
 
 
 def op13_token_files(spark, sf_dir, path=None):
@@ -14,7 +14,7 @@ def op13_token_files(spark, sf_dir, path=None):
         spec = f.read()
     out = f"{scratch_dir(spark)}/siftmail-token-files-{uuid.uuid4().hex}"
     own([out])  # released with the scratch tables
-    write_tokens(word_tokens(table(spark, sf_dir, "documents"), spec, end_id=2), out, kind=kind_for(spec, 2), end_id=2)
+    write_words(table(spark, sf_dir, "documents"), spec, out, end_id=2)
     return read_tokens(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -9,19 +9,17 @@ A data set is a folder of shards and a ``manifest.json``. A shard is three flat
 Shards hold ranges of documents: the manifest lists them in order, each with the number of documents and ids before it
 (prefix sums over one row a shard), so a global offset is a shard's base plus the offset in it.
 
-Writing: texts are tokenised once, into a scratch table; ids move once, range-sorted by document id (then number of
-ids and a hash of them, so that a hot id is dealt over ranges and equal rows stand together). A task writes each shard
-under a name of its own and reports it; only shards that a finished task reports enter the manifest, which is written
-last, so that a lost executor or a second attempt leaves no trace but files that ``commit`` deletes. The folder may be
-in any store that pyarrow opens by its URI; no task holds more than one batch of rows.
+Writing: texts move once, range-sorted by document id (a hot id is dealt over ranges), and the task that encodes a range
+writes it as a shard, under a name of its own, and reports it. Only shards that a finished task reports enter the
+manifest, which is written last, so that a lost executor or a second attempt leaves no trace but files that ``commit``
+deletes. The folder may be in any store that pyarrow opens by its URI; no task holds more than one batch of rows.
 
 Reading: ``read_tokens`` gives a table, runs of documents dealt over tasks; ``TokenFiles`` gives random access to
 documents and to any run of the global stream. Both map a local or mounted file into memory and read the ranges they
 need from other stores.
 
-Null text counts as empty: its document is the end id alone. Rows with one id and several texts stand side by side in
-the order above; repeated rows are written each. Other columns are ignored. An empty table makes a manifest without
-shards.
+Null text counts as empty: its document is the end id alone. Rows with one id and several texts stand side by side;
+repeated rows are written each. Other columns are ignored. An empty table makes a manifest without shards.
 """
 
 from __future__ import annotations
@@ -39,8 +37,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
-
 # Letters that a normaliser to composed form leaves alone and that are letters in any case; one word, whatever stands
 # around it. (Left out: the dotted capital I and the long s, which change class or meet other letters when lowered.)
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ž"
@@ -97,21 +93,24 @@ def kind_for(spec: str, end_id: int) -> str:
     return "<u2" if max([end_id, *vocabulary["model"]["vocab"].values(), *(t["id"] for t in vocabulary["added_tokens"])]) < 1 << 16 else "<u4"
 
 
-def word_tokens(docs: DataFrame, spec: str, *, end_id: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n, ids of each row: the text's ids by a word tokenizer (its json), then ``end_id``."""
-    kind = kind_for(spec, end_id)
-    sent = docs.sparkSession.sparkContext.broadcast(spec)
+def _tokenised(sent, kind: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (doc_id, text) to (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, end = _encoder(sent.value, kind), np.array([end_id], kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [e.encode(t.as_py() or "") + end for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // int(kind[2]) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array((e.encode(t.as_py() or "") + end for t in part.column(1)), pa.binary())], ["doc_id", "ids"])
+
+    return run
 
+
+def word_tokens(docs: DataFrame, spec: str, *, end_id: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, ids of each row: the text's ids by a word tokenizer (its json), then ``end_id``."""
+    sent = docs.sparkSession.sparkContext.broadcast(spec)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, n long, ids binary")
+    return own.mapInArrow(_tokenised(sent, kind_for(spec, end_id), end_id), "doc_id long, ids binary")
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -120,7 +119,7 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def _shard_writer(uri: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Writes the rows (doc_id, n, ids) of a task, in their order, as one shard; reports it."""
+    """Writes the rows (doc_id, ids) of a task, in their order, as one shard; reports it."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, name, store, docs, tokens, nulls = TaskContext.get().partitionId(), None, None, 0, 0, 0
@@ -151,14 +150,33 @@ def _shard_writer(uri: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return write
 
 
+REPORT = "part long, name string, docs long, tokens long, nulls long"
+
+
+def _ranged(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, a value) by ranges of ids. A hot id is dealt over ranges by the partition that its rows come from,
+    which a second attempt finds alike; in a range, rows of one id and partition ascend by a hash."""
+    value = rows.columns[1]
+    keyed = rows.withColumn("_from", F.spark_partition_id())
+    return keyed.repartitionByRange("doc_id", "_from").sortWithinPartitions("doc_id", "_from", F.xxhash64(value)).select("doc_id", value)
+
+
 def write_tokens(tokens: DataFrame, uri: str, *, kind: str, end_id: int | None = None) -> dict:
-    """Rows (doc_id, n, ids) as a data set in the empty or new folder ``uri``; returns its manifest."""
-    made = saved(tokens.select("doc_id", "n", "ids").withColumn("uid", F.monotonically_increasing_id()), "tokens")
+    """Rows (doc_id, ids) as a data set in the empty or new folder ``uri``; returns its manifest."""
+    return _written(_ranged(tokens.select("doc_id", "ids")).mapInArrow(_shard_writer(uri, int(kind[2])), REPORT), uri, kind, end_id)
+
+
+def write_words(docs: DataFrame, spec: str, uri: str, *, end_id: int, text_col: str = "text", id_col: str = "doc_id") -> dict:
+    """The word tokens of ``docs`` as a data set. Texts are sorted, not ids: the task that encodes a text writes it."""
+    sent, kind = docs.sparkSession.sparkContext.broadcast(spec), kind_for(spec, end_id)
+    encode, write = _tokenised(sent, kind, end_id), _shard_writer(uri, int(kind[2]))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _written(_ranged(own).mapInArrow(lambda batches: write(encode(batches)), REPORT), uri, kind, end_id)
+
+
+def _written(reports: DataFrame, uri: str, kind: str, end_id: int | None) -> dict:
     store, path = _place(uri)
     store.create_dir(path, recursive=True)
-    order = ["doc_id", "n", "h", "uid"]
-    ranged = made.withColumn("h", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order)
-    reports = ranged.select("doc_id", "ids").mapInArrow(_shard_writer(uri, int(kind[2])), "part long, name string, docs long, tokens long, nulls long")
     return commit(uri, [r.asDict() for r in reports.collect()], kind=kind, end_id=end_id)  # one row a shard
 
 
