@@ -54,29 +54,43 @@ def word_pieces(text: str) -> list[str]:
     return [p for w in _WORD.findall(text) for p in (_PIECES.findall(w) if _PLAIN.fullmatch(w) else [w])]
 
 
-#: What a task knows of a tokenizer: ids by piece. Cleared when it holds so many pieces or characters.
+#: What a task knows of a tokenizer: ids by piece. Forgotten between two texts when it holds so many pieces or characters.
 MOST_PIECES, MOST_CHARS = 1_000_000, 30_000_000
 _known: dict[int, WordEncoder] = {}
 
 
-class WordEncoder:
-    """A tokenizer of the ``tokenizers`` library (its json) that is asked once for each distinct piece."""
+def byte_signs() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: printable Latin-1 as it is, the others by signs from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class WordEncoder(dict):
+    """Ids by piece; a tokenizer of the ``tokenizers`` library (its json) is asked for each piece that isn't known yet: its
+    model alone for a piece of common letters, as lower case and the signs of bytes are all that comes before."""
 
     def __init__(self, spec: str, kind: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.ids, self.chars = Tokenizer.from_str(spec), kind, {}, 0
+        self.tokenizer, self.kind, self.chars = Tokenizer.from_str(spec), kind, 0
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.signs = self.tokenizer.model, byte_signs()
+
+    def __missing__(self, piece: str) -> bytes:
+        self.chars += len(piece)
+        if _PLAIN.fullmatch(piece):
+            ids = [t.id for t in self.model.tokenize(piece.lower().encode().decode("latin-1").translate(self.signs))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        self[piece] = out = np.array(ids, self.kind).tobytes()
+        return out
 
     def encode(self, text: str) -> bytes:
-        pieces = word_pieces(text)
-        new = {p for p in pieces if p not in self.ids}
-        if len(self.ids) + len(new) > MOST_PIECES or self.chars > MOST_CHARS:
-            self.ids, self.chars, new = {}, 0, set(pieces)
-        for p in new:
-            self.ids[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, self.kind).tobytes()
-            self.chars += len(p)
-        return b"".join(map(self.ids.__getitem__, pieces))
+        if len(self) > MOST_PIECES or self.chars > MOST_CHARS:
+            self.clear()
+            self.chars = 0
+        return b"".join(map(self.__getitem__, word_pieces(text)))
 
 
 def _encoder(spec: str, kind: str) -> WordEncoder:
@@ -268,17 +282,14 @@ class TokenFiles:
 def read_tokens(spark: SparkSession, uri: str, *, run_docs: int = 20_000) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit) from the files;
     runs of at most ``run_docs`` documents are dealt over the tasks."""
-    shards = manifest_of(uri)["shards"]
-    runs = spark.range(len(shards)).select(F.col("id").alias("shard"))
-    sizes = spark.createDataFrame([(i, s["docs"]) for i, s in enumerate(shards)], "shard long, docs long")  # one row a shard
-    runs = runs.join(F.broadcast(sizes), "shard").select("shard", "docs", F.explode(F.expr(f"sequence(0L, docs - 1, {run_docs}L)")).alias("a"))
-    runs = runs.select("shard", "a", F.least(F.col("docs"), F.col("a") + run_docs).alias("b")).repartition("shard", "a")
+    # a task a run; there are few runs beside documents
+    runs = [(i, a, min(a + run_docs, s["docs"])) for i, s in enumerate(manifest_of(uri)["shards"]) for a in range(0, s["docs"], run_docs)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = None
         for batch in batches:
             files = files or TokenFiles(uri)
-            for shard, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, first, last in (runs[i] for i in batch.column(0).to_pylist()):
                 base, nulls = files.shards[shard]["token_base"], files.shards[shard]["nulls"]
                 for a in range(first, last, 256):
                     b = min(last, a + 256)
@@ -290,4 +301,4 @@ def read_tokens(spark: SparkSession, uri: str, *, run_docs: int = 20_000) -> Dat
                         pa.array([ids[x:y].astype("<u4").tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()),
                     ], ["doc_id", "start", "n_tokens", "ids"])
 
-    return runs.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return spark.range(0, len(runs), 1, max(1, len(runs))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")

@@ -81,8 +81,13 @@ def test_megabytes_in_one_text(spark, tmp_path):
     rows = [(1, big, "en", "s", len(big)), (2, "a small text with some words in it", "en", "s", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    got = {n: f(spark, str(tmp_path)).toPandas() for n, f in registry.queries().items()}
+    got = {n: f(spark, str(tmp_path)).toPandas() for n, f in registry.queries().items() if n != "op12_whitening"}  # reads no texts
     assert all(set(g.doc_id) == {1, 2} for g in got.values())
     c = Counter(vocabulary(P.path("piece_bpe_32k.model")))
     assert got["op10_token_counts"].set_index("doc_id").n_tokens[1] == sum(c[u][0] for u in c.unit.findall("▁" + big.replace(" ", "▁")))
     assert got["op2_host_rules"].set_index("doc_id").n_words[1] == 400_000 and got["op6_flac_media"].set_index("doc_id").n_bytes[1] == len(big)
+    from tokenizers import Tokenizer
+
+    words = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert got["op13_token_files"].set_index("doc_id").n_tokens[1] == len(words.encode(big, add_special_tokens=False).ids) + 1
+    assert got["op11_merkle_manifest"].verified.all()

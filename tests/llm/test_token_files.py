@@ -48,7 +48,7 @@ def test_given_table(spark, library):
     check(op13_token_files(spark, "/root/testdata/sf0.001").collect(), [tuple(r) for r in docs], library)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(st.text(st.sampled_from("aÀéŝ'sStTrRvVeElLdD09 \t\n,.!—ſİ́  日ß🙂Σ<|>\x1c"), max_size=40))
 def test_pieces_encode_alone(text):
     e = T._encoder(SPEC, "<u2")
@@ -63,7 +63,7 @@ def test_pieces_forgotten(library, monkeypatch):
 
 
 def rows_of(spark, docs, kind):
-    return spark.createDataFrame([(i, len(x), bytearray(np.array(x, kind).tobytes())) for i, x in docs], "doc_id long, n long, ids binary").repartition(3)
+    return spark.createDataFrame([(i, bytearray(np.array(x, kind).tobytes())) for i, x in docs], "doc_id long, ids binary").repartition(3)
 
 
 @pytest.fixture
@@ -74,6 +74,11 @@ def many_shards(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_word_tokens(spark, docs_of, library):
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u2").tolist() for r in T.word_tokens(docs_of(TEXTS), SPEC, end_id=2).collect()}
+    assert got == {i: [*library(t), 2] for i, t in enumerate(TEXTS, 1)}
+
+
 @pytest.mark.parametrize("kind", ["<u2", "<u4"])
 def test_files(spark, tmp_path, kind, many_shards):
     """Null ids, a hot id, ties and an empty document; the flat files, access by document and by run of the stream."""
@@ -90,6 +95,7 @@ def test_files(spark, tmp_path, kind, many_shards):
     assert all(stream[a : a + len(x)] == x.tolist() for _, a, x in got)
     flat = b"".join(open(f"{uri}/{s['name']}.bin", "rb").read() for s in manifest["shards"])
     assert np.frombuffer(flat, kind).tolist() == stream
+    assert T.read_tokens(spark, uri, run_docs=7).rdd.getNumPartitions() >= len(docs) / 7
     rows = sorted(T.read_tokens(spark, uri, run_docs=7).collect(), key=lambda r: (r["start"], r["n_tokens"]))
     assert [(r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4").tolist()) for r in rows] == sorted(((i, a, x.tolist()) for i, a, x in got), key=lambda r: (r[1], len(r[2])))
     with pytest.raises(IndexError):
@@ -107,5 +113,5 @@ def test_attempts_that_failed_leave_nothing(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     uri = f"file://{tmp_path}/files"
-    T.write_tokens(rows_of(spark, [(1, [1])], "<u2").where("n < 0"), uri, kind="<u2")
+    T.write_tokens(rows_of(spark, [(1, [1])], "<u2").where("doc_id < 0"), uri, kind="<u2")
     assert T.read_tokens(spark, uri).count() == 0 and len(T.TokenFiles(uri)) == 0 and len(T.TokenFiles(uri).tokens(0, 5)) == 0
