@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .text import IPV4, IPV6
+from .text import IPV4, IPV6, B
 
 PARTS = "part_id string, parent_id string, depth int, mime string, charset string, disposition string, encoding string, filename string, text string"
 
@@ -51,7 +51,7 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("address_list", address_list)
     spark.udtf.register("mime_parts", F.udtf(_MimeParts, returnType=PARTS))
     functions = {
-        "defang(s STRING) RETURNS STRING": r"replace(replace(regexp_replace(regexp_replace(s, '(?i)https://', 'hxxps://'), '(?i)http://', 'hxxp://'), '.', '[.]'), '@', '[@]')",
+        "defang(s STRING) RETURNS STRING": rf"replace(replace(regexp_replace(regexp_replace(s, r'(?i){B}https://', 'hxxps://'), r'(?i){B}http://', 'hxxp://'), '.', '[.]'), '@', '[@]')",
         "is_ip(s STRING) RETURNS BOOLEAN": f"coalesce(rlike(s, r'^(?:{IPV4}|{IPV6})$'), false)",
         "is_private_ip(s STRING) RETURNS BOOLEAN": rf"coalesce(CASE WHEN rlike(s, r'^{IPV4}$') THEN rlike(s, r'^(?:10\.|127\.|192\.168\.|169\.254\.|0\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)') ELSE rlike(lower(s), '^(?:::1$|fe80:|fc|fd)') END, false)",
     }

@@ -17,11 +17,14 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 HEX = r"[0-9A-Fa-f]{1,4}"
 IPV4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
 IPV6 = rf"(?:{HEX}:){{3,7}}{HEX}|(?:{HEX}:){{1,6}}:{HEX}"
+#: An address of six kind within a text: a border at both ends of either form.
+IPV6_IN_TEXT = rf"{B}(?:{HEX}:){{3,7}}{HEX}{E}|{B}(?:{HEX}:){{1,6}}:{HEX}{E}"
 # most characters fail the first test, which is the cheapest
 URL = rf"(?i)(?=[fhw]){B}(?:(?:https?|ftp|file)://[^\s<>\"'`)\]}}]+|www\.[a-z0-9-]+(?:\.[a-z0-9-]+)+[^\s<>\"'`)\]}}]*)"
 
 
-_TAIL = r"[)>\]}.,;:'\"]+$"
+#: Signs that belong to the sentence, not to the address before them.
+_TAIL = ")>]}.,;:'\""
 _WHOLE = r"(?is)^([a-z][a-z0-9+.-]*)://([^/?#]*)(.*)$"
 _PAIR = r"^(\[[^\]]+\]|[^:]+)(?::([0-9]+))?$"
 
@@ -84,14 +87,14 @@ def org_domain(host: Column) -> Column:
 
 
 def defang(s: Column) -> Column:
-    for a, b in ((r"(?i)https://", "hxxps://"), (r"(?i)http://", "hxxp://"), (r"\.", "[.]"), ("@", "[@]")):
+    for a, b in ((rf"(?i){B}https://", "hxxps://"), (rf"(?i){B}http://", "hxxp://"), (r"\.", "[.]"), ("@", "[@]")):
         s = F.regexp_replace(s, a, b)
     return s
 
 
 def url_parts(url: Column) -> Column:
     """struct(url, scheme, host, port, userinfo, path); scheme '' if there is no '://'."""
-    s = F.regexp_replace(F.trim(url), _TAIL, "")
+    s = F.rtrim(F.trim(url), F.lit(_TAIL))
     s = F.when(s.rlike(r"(?i)^www\."), F.concat(F.lit("http://"), s)).otherwise(s)
     whole, pair = _WHOLE, _PAIR
 
@@ -155,7 +158,7 @@ def url_flags(p: Column) -> Column:
 
 def with_url_columns(df: DataFrame, url: str = "url") -> DataFrame:
     """``df`` with ``url`` trimmed and scheme, host, port, userinfo, path and org beside it; flat projections only."""
-    s = F.regexp_replace(F.trim(F.col(url)), _TAIL, "")
+    s = F.rtrim(F.trim(F.col(url)), F.lit(_TAIL))
     df = df.withColumn(url, F.when(s.rlike(r"(?i)^www\."), F.concat(F.lit("http://"), s)).otherwise(s))
     full = F.col(url).rlike(_WHOLE)
     df = df.withColumns({"scheme": F.lower(F.regexp_extract(url, _WHOLE, 1)), "_authority": F.regexp_extract(url, _WHOLE, 2), "path": F.when(full, F.regexp_extract(url, _WHOLE, 3)).otherwise(F.col(url))})
@@ -183,7 +186,10 @@ def first_brand(name: Column) -> Column:
 
 
 def strip_tags(html: Column) -> Column:
-    return F.regexp_replace(html, r"<[^>]+>", " ")
+    """Each ``<...>`` as a space. Behind the last ``>`` nothing is looked for, or every ``<`` there would be searched to the
+    end of the text."""
+    rest = F.substring_index(html, ">", -1)
+    return F.concat(F.regexp_replace(F.substring(html, F.lit(1), F.length(html) - F.length(rest)), r"<[^>]+>", " "), rest)
 
 
 _NARROW = r"\t-\r\x{A0}"

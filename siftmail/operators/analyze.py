@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.text import (
-    B, E, IPV4, IPV6, URL, among, built_once, defang, entities, ext_of, first_brand, flag, has_any, human_size, is_ip, is_private_ip, let, magic_of, org_domain, squeezed, strip_tags, url_flags, url_parts,
+    B, E, IPV4, IPV6_IN_TEXT, URL, among, built_once, defang, entities, ext_of, first_brand, flag, has_any, human_size, is_ip, is_private_ip, let, magic_of, org_domain, squeezed, strip_tags, url_flags, url_parts,
 )
 from .parse import with_parsed
 from .scoring import findings, weights
@@ -127,7 +127,7 @@ def _hop_steps() -> list[dict[str, Column]]:
     def hop(line: Column) -> Column:
         word = lambda k: extract(line, rf"(?i){B}{k}\s+([^\s;()]+)")
         date = squeezed(extract(line, r";\s*([^;]+)$"))
-        v6 = F.filter(F.regexp_extract_all(line, F.lit(f"({IPV6})"), 1), lambda x: F.instr(x, ":") > 1)
+        v6 = F.filter(F.regexp_extract_all(line, F.lit(f"({IPV6_IN_TEXT})"), 1), lambda x: F.instr(x, ":") > 1)
         ips = F.array_distinct(F.concat(F.regexp_extract_all(line, F.lit(rf"(?<![A-Za-z0-9_])({IPV4})(?![A-Za-z0-9_])"), 1), v6))
         return F.struct(
             word("from").alias("from_host"), word("by").alias("by_host"), extract(line, rf"(?i){B}with\s+([A-Za-z0-9._+-]+)").alias("with_proto"), word("id").alias("id"),
@@ -162,34 +162,24 @@ def visible_text(plain: Column, html: Column) -> Column:
     return squeezed(F.when(html == "", plain).otherwise(F.concat_ws(" ", plain, entities(strip_tags(html)))))
 
 
-ANCHOR = rf"(?is)<a{E}[^>]*?href\s*=\s*[\"']?([^\"'\s>]+)[\"']?[^>]*>(.*?)</a>"
+def anchor_text(text: Column) -> Column:
+    """What is shown of an anchor's text, up to 200 characters."""
+    return F.substring(squeezed(entities(text)), 1, 200)
 
 
-def raw_links(html: Column, plain: Column) -> Column:
-    """array<struct(url, text, source)> in order of source, then of place."""
-
-    def tagged(pattern: str, source: str, text: str | None) -> Column:
-        return F.transform(F.regexp_extract_all(html, F.lit(pattern), 1), lambda u: link(u, F.lit(text).cast("string"), source))
-
-    link = lambda url, text, source: F.struct(url.alias("url"), text.alias("text"), F.lit(source).alias("source"))
-    attribute = lambda tag, name: rf"(?i)<{tag}{E}[^>]*?\s{name}\s*=\s*[\"']?([^\"'\s>]+)"
-    anchor_text = lambda t: F.substring(squeezed(entities(F.regexp_replace(t, "<[^>]+>", ""))), 1, 200)
-    anchors = F.zip_with(
-        F.regexp_extract_all(html, F.lit(ANCHOR), 1), F.regexp_extract_all(html, F.lit(ANCHOR), 2),
-        lambda u, t: link(u, F.when(t != "", anchor_text(t)), "html:a"),
-    )
+def raw_links(page: Column, html: Column, plain: Column) -> Column:
+    """array<struct(url, text, source)> in order of source, then of place: what the markup refers to (``page``, as
+    ``markup.page_links`` finds it), addresses in the text of the page, its refresh, and addresses in plain text."""
+    link = lambda url, text, source: F.struct(url.alias("url"), text.alias("text"), source.alias("source"))
     none = F.array().cast("array<struct<url:string,text:string,source:string>>")
     some = lambda s: s.contains("://") | s.rlike(r"(?i)www\.")  # noqa: E731  # else there is no address, and no need to look for one
     found = lambda s: F.regexp_extract_all(s, F.lit(f"({URL})"), 1)
-    bare = lambda s, source: F.when(some(s), F.transform(found(s), lambda u: link(u, F.lit(None).cast("string"), source))).otherwise(none)
-    decoded = lambda rows: F.transform(rows, lambda r: F.struct(entities(r["url"]).alias("url"), r["text"].alias("text"), r["source"].alias("source")))
-    of_html = F.concat(
-        anchors, tagged(attribute("img", "src"), "html:img", "[img]"), tagged(attribute("form", "action"), "html:form", "[form]"),
-        tagged(attribute("[a-z][a-z0-9]*", "background"), "html:bg", "[bg]"), tagged(attribute("(?!img|form)[a-z][a-z0-9]*", "(?:src|action)"), "html:asset", "[asset]"),
-        bare(strip_tags(html), "html:text"),
-        F.slice(tagged(r"(?i)http-equiv\s*=\s*[\"']?refresh[\"']?[^>]*url\s*=\s*([^\"'>\s]+)", "html:refresh", "[meta refresh]"), 1, 1),
-    )
-    return F.concat(F.when(html == "", none).otherwise(decoded(of_html)), bare(plain, "text"))
+    bare = lambda s, source, own: F.when(some(s), F.transform(found(s), lambda u: link(own(u), F.lit(None).cast("string"), F.lit(source)))).otherwise(none)
+    told = lambda r: F.when(r["source"] == "html:a", anchor_text(r["text"])).otherwise(r["text"])
+    of_page = F.transform(page, lambda r: link(entities(r["url"]), told(r), r["source"]))
+    refresh = lambda r: r["source"] == "html:refresh"
+    ordered = let(of_page, lambda p: F.concat(F.filter(p, lambda r: ~refresh(r)), bare(strip_tags(html), "html:text", entities), F.filter(p, refresh)))
+    return F.concat(F.when(html == "", none).otherwise(ordered), bare(plain, "text", lambda u: u))
 
 
 CLICKABLE = ("html:a", "html:form", "html:refresh", "text")
@@ -229,13 +219,13 @@ def links(raw: Column, own_domains: Column) -> Column:
 
 @built_once
 def _link_steps() -> list[dict[str, Column]]:
-    return [{"_raw": raw_links(F.col("html"), F.col("plain"))}, {"links": links(F.col("_raw"), F.array("from_org", org_domain(F.col("auth.dkim_domain"))))}]
+    return [{"_raw": raw_links(F.col("page_links"), F.col("html"), F.col("plain"))}, {"links": links(F.col("_raw"), F.array("from_org", org_domain(F.col("auth.dkim_domain"))))}]
 
 
 def with_links(df: DataFrame) -> DataFrame:
     for step in _link_steps():
         df = df.withColumns(step)
-    return df.drop("_raw")
+    return df.drop("_raw", "page_links")
 
 
 ATTACHMENT_TEXTS = {
@@ -323,7 +313,7 @@ def _fired() -> Column:
     other_org = lambda a: (org != "") & (a["org_domain"] != "") & (a["org_domain"] != org)
     name, domain = F.coalesce(sender["name"], F.lit("")), F.coalesce(sender["domain"], F.lit(""))
     brand = first_brand(name)
-    in_name = F.regexp_extract(name, r"([A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]+)", 1)
+    in_name = F.regexp_extract(name, r"(?<![A-Za-z0-9_.+-])([A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]+)", 1)
     has_from, freemail = sender.isNotNull(), among(org, R.FREEMAIL)
     message_id = F.trim(F.coalesce(header("message-id"), F.lit("")))
     mid_domain = F.regexp_extract(message_id, r"@([^>\s]+)>?\s*$", 1)

@@ -166,9 +166,13 @@ def destinations(reports: DataFrame) -> DataFrame:
     return grouped.select("message_id", "kind", F.row_number().over(order).alias("position"), "destination", "times", "f.url", "f.n_flags")
 
 
+def gravest_of(most: int = 6) -> Column:
+    return F.slice(F.filter("findings", lambda f: f["sev"] == "high"), 1, most)
+
+
 def gravest(reports: DataFrame, most: int = 6) -> DataFrame:
     """The first findings of high severity of each message (a top-k report)."""
-    return reports.select("message_id", F.slice(F.filter("findings", lambda f: f["sev"] == "high"), 1, most).alias("findings"))
+    return reports.select("message_id", gravest_of(most).alias("findings"))
 
 
 def cap_shares(reports: DataFrame) -> DataFrame:
@@ -177,11 +181,15 @@ def cap_shares(reports: DataFrame) -> DataFrame:
     return rows.select("message_id", "b.cat", F.element_at(_pairs(CATEGORY_NAMES), F.col("b.cat")).alias("name"), F.expr("int(100 * b.points div b.cap)").alias("percent"))
 
 
-def findings_by_severity(reports: DataFrame) -> DataFrame:
-    """message_id and the findings, the gravest first, stable."""
+def by_severity() -> Column:
     rank = _pairs(R.SEVERITY_RANK)
     keyed = F.transform("findings", lambda f, i: F.struct(F.element_at(rank, f["sev"]).alias("r"), i.alias("i"), f.alias("f")))
-    return reports.select("message_id", F.transform(F.array_sort(keyed), lambda x: x["f"]).alias("findings"))
+    return F.transform(F.array_sort(keyed), lambda x: x["f"])
+
+
+def findings_by_severity(reports: DataFrame) -> DataFrame:
+    """message_id and the findings, the gravest first, stable."""
+    return reports.select("message_id", by_severity().alias("findings"))
 
 
 def sender_lines(reports: DataFrame) -> DataFrame:

@@ -56,6 +56,7 @@ class Envelope:
     emails: tuple[str, ...] = ("ann@example.com",)
     ips: tuple[str, ...] = IPS
     delays: tuple[int | None, ...] = (None, 10)
+    first_ips: str = "198.51.100.7"  # all that the first hop names, private ones too
     chips: tuple[str, str, str, str, str] = ("pass", "pass", "pass", "aligned", "aligned")
 
     @property
@@ -156,7 +157,14 @@ ENVELOPES = [
     envelope("bulk mailer", "xmailer", set={"X-Mailer": "PHPMailer 6"}), envelope("empty mailer", "xmailer", set={"X-Mailer": "", "User-Agent": "Python smtplib"}),
     envelope("origin told", "x-orig-ip", set={"X-Originating-IP": "[203.0.113.1]"}), envelope("empty origin", set={"X-Originating-IP": ""}),
     envelope("no hops", "rcv-none", set={"Received": []}, ips=(), delays=()), envelope("one hop", "rcv-one", set={"Received": [LAST]}, **_ONE_HOP),
-    envelope("private hop", set={"Received": [LAST, FIRST.replace("198.51.100.7", "10.0.0.7")]}, ips=("203.0.113.9",)),
+    envelope("private hop", set={"Received": [LAST, FIRST.replace("198.51.100.7", "10.0.0.7")]}, ips=("203.0.113.9",), first_ips="10.0.0.7"),
+    *(
+        envelope(name, set={"Received": [LAST, FIRST.replace("198.51.100.7", said)]}, ips=(*public, "203.0.113.9"), first_ips=named)
+        for name, said, public, named in (
+            ("tagged address of six", "IPv6:2001:db8::1", ["2001:db8::1"], "2001:db8::1"), ("full address of six", "IPv6:2001:db8:0:0:0:0:0:1", ["2001:db8:0:0:0:0:0:1"], "2001:db8:0:0:0:0:0:1"),
+            ("local address of six", "IPv6:fe80::1", [], "fe80::1"), ("no address of six", "xad::1z", [], ""), ("addresses of both kinds", "198.51.100.7] [2001:db8::a:1", ["198.51.100.7", "2001:db8::a:1"], "198.51.100.7 2001:db8::a:1"),
+        )
+    ),
     envelope("slow hop", "rcv-delay", set={"Received": [LAST, _EARLY.format("07:00:00 +0200")]}, delays=(None, 7210)),
     envelope("slow hop in a named zone", "rcv-delay", set={"Received": [LAST, _EARLY.format("01:00:00 EDT (summer)")]}, delays=(None, 7210)),
     envelope("quick hop in a named zone", set={"Received": [LAST, _EARLY.format("03:00:00 EDT")]}),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def _fixed(spark) -> DataFrame:
     return analyze(spark.createDataFrame([(e.name, e.raw("body")) for e in ENVELOPES], "message_id string, raw binary"))
 
 
-def _ids(findings: str = "findings") -> Column:
+def _ids(findings: str | Column = "findings") -> Column:
     return F.array_join(F.transform(findings, lambda f: f["id"]), " ")
 
 
@@ -95,7 +97,7 @@ def mailbox_attachments(spark, sf_dir):
 
 def mailbox_hops(spark, sf_dir):
     rows = exploded(_reports(spark, sf_dir), "hops", "h", "message_id")
-    return rows.select("message_id", "h.hop", "h.from_host", "h.by_host", "h.with_proto", "h.delay_seconds")
+    return rows.select("message_id", "h.hop", "h.from_host", "h.by_host", "h.with_proto", "h.id", "h.for_addr", "h.date", F.array_join("h.ips", " ").alias("ips"), "h.delay_seconds")
 
 
 def mailbox_auth(spark, sf_dir):
@@ -113,9 +115,7 @@ def mailbox_shares(spark, sf_dir):
 
 def mailbox_gravest(spark, sf_dir):
     """The gravest findings of each message (a top-k report), and all of them by severity."""
-    reports = _reports(spark, sf_dir)
-    ranked = report.findings_by_severity(reports).select("message_id", _ids().alias("by_severity"))
-    return report.gravest(reports).select("message_id", _ids().alias("gravest")).join(ranked, "message_id")
+    return _reports(spark, sf_dir).select("message_id", _ids(report.gravest_of()).alias("gravest"), _ids(report.by_severity()).alias("by_severity"))
 
 
 def mailbox_destinations(spark, sf_dir):
@@ -206,7 +206,9 @@ _LINKS = "links(k, ord, url, host, kind, flags) AS (VALUES " + _values([(i, n, u
 _FILES = "files(k, filename, size, sha256, ext, magic, flags) AS (VALUES " + _values([(i, n, len(c), sha256(c), ext, magic, " ".join(flags)) for i, e in enumerate(ENVELOPES) for n, c, ext, magic, flags in e.files]) + ")"
 _MAILS = "mails(k, email) AS (VALUES " + _values([(i, m) for i, e in enumerate(ENVELOPES) for m in e.emails]) + ")"
 _IPS = "ips(k, ip) AS (VALUES " + _values([(i, m) for i, e in enumerate(ENVELOPES) for m in e.ips]) + ")"
-_HOPS = "hops(k, hop, delay_seconds, n) AS (VALUES " + _values([(i, n, x, len(e.delays)) for i, e in enumerate(ENVELOPES) for n, x in enumerate(e.delays, 1)]) + ")"
+_HOPS = "hops(k, hop, delay_seconds, n, first_ips, began) AS (VALUES " + _values([
+    (i, n, x, len(e.delays), e.first_ips, re.search(r"id A1; ([^\r]*)", e.head)[1] if len(e.delays) > 1 else "") for i, e in enumerate(ENVELOPES) for n, x in enumerate(e.delays, 1)
+]) + ")"
 _IS_IP = r"regexp_matches(host, '^[0-9.]+$')"
 _ORG = "CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN host ELSE array_to_string(string_split(host, '.')[-2:], '.') END"
 _ORG_OF = "CASE WHEN sender IS NULL THEN '' ELSE array_to_string(string_split(split_part(sender, '@', 2), '.')[-2:], '.') END"
@@ -236,7 +238,8 @@ SELECT kind, value, CASE kind WHEN 'hash' THEN value ELSE {_DEFANG} END AS defan
     "mailbox_links": f"WITH {_DOCS}, {_LINKS} SELECT message_id, ord::INTEGER AS ord, url, host, kind, flags FROM d JOIN links USING (k)",
     "mailbox_attachments": f"WITH {_DOCS}, {_FILES} SELECT message_id, filename, size::BIGINT AS size, size || ' B' AS size_human, sha256, ext, magic, flags FROM d JOIN files USING (k)",
     "mailbox_hops": f"""WITH {_DOCS}, {_HOPS} SELECT message_id, hop::INTEGER AS hop, CASE WHEN hop = n THEN 'mx.example.com' ELSE 'host.example.com' END AS from_host,
-CASE WHEN hop = n THEN 'mx.corp.example' ELSE 'mx.example.com' END AS by_host, CASE WHEN hop = n THEN 'ESMTPS' ELSE 'ESMTP' END AS with_proto, delay_seconds::BIGINT AS delay_seconds FROM d JOIN hops USING (k)""",
+CASE WHEN hop = n THEN 'mx.corp.example' ELSE 'mx.example.com' END AS by_host, CASE WHEN hop = n THEN 'ESMTPS' ELSE 'ESMTP' END AS with_proto, CASE WHEN hop = n THEN 'B2' ELSE 'A1' END AS id,
+CASE WHEN hop = n THEN 'box@corp.example' END AS for_addr, CASE WHEN hop = n THEN 'Mon, 10 Aug 2026 09:00:10 +0200' ELSE began END AS date, CASE WHEN hop = n THEN '203.0.113.9' ELSE first_ips END AS ips, delay_seconds::BIGINT AS delay_seconds FROM d JOIN hops USING (k)""",
     "mailbox_auth": f"WITH {_DOCS} SELECT message_id, spf, dkim, dmarc, spf_alignment, dkim_alignment FROM r",
     "mailbox_shares": f"""WITH {_DOCS}, cats AS (SELECT DISTINCT cat, cap FROM weights)
 SELECT message_id, cat, (100 * coalesce(points, 0) // cats.cap)::INTEGER AS percent FROM (SELECT message_id, cat, cap FROM d, cats) cats LEFT JOIN shares USING (message_id, cat) WHERE cat <> 'combinacion' OR points > 0""",
