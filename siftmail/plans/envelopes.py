@@ -162,7 +162,7 @@ ENVELOPES = [
         envelope(name, set={"Received": [LAST, FIRST.replace("198.51.100.7", said)]}, ips=(*public, "203.0.113.9"), first_ips=named)
         for name, said, public, named in (
             ("tagged address of six", "IPv6:2001:db8::1", ["2001:db8::1"], "2001:db8::1"), ("full address of six", "IPv6:2001:db8:0:0:0:0:0:1", ["2001:db8:0:0:0:0:0:1"], "2001:db8:0:0:0:0:0:1"),
-            ("local address of six", "IPv6:fe80::1", [], "fe80::1"), ("no address of six", "xad::1z", [], ""), ("addresses of both kinds", "198.51.100.7] [2001:db8::a:1", ["198.51.100.7", "2001:db8::a:1"], "198.51.100.7 2001:db8::a:1"),
+            ("local address of six", "IPv6:fe80::1", [], "fe80::1"), ("no address of six", "xad::1z", [], ""), ("addresses of both kinds", "198.51.100.7] [2001:db8::a", ["198.51.100.7", "2001:db8::a"], "198.51.100.7 2001:db8::a"),
         )
     ),
     envelope("slow hop", "rcv-delay", set={"Received": [LAST, _EARLY.format("07:00:00 +0200")]}, delays=(None, 7210)),
