@@ -404,8 +404,11 @@ def _attachments() -> Column:
 
 def analyze(messages: DataFrame, raw: str = "raw") -> DataFrame:
     """One report row per message: auth, alignment, hops, links, attachments, findings, score_breakdown, score, verdict,
-    iocs. A message that could not be parsed has ``parse_error`` and neither findings nor score nor verdict."""
-    df = with_links(with_bodies(with_hops(with_auth(with_parsed(messages, raw)))))
+    iocs. A message that could not be parsed, or read (``read_error``), has ``parse_error`` and neither findings nor score nor verdict."""
+    df = with_parsed(messages, raw)
+    if "read_error" in messages.columns:
+        df = df.withColumn("parse_error", F.coalesce("read_error", "parse_error")).drop("read_error")
+    df = with_links(with_bodies(with_hops(with_auth(df))))
     df = with_fired(df.withColumn("attachments", _attachments()))
     for step in _last_steps():
         df = df.withColumns(step)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ("urls", "events", "texts", "decoders", "mailbox")
+MODULES: tuple[str, ...] = ("urls", "events", "texts", "decoders", "mailbox", "mailfiles")
 
 
 def _merged(name: str) -> dict:

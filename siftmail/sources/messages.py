@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mailfiles import read_mail
+
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -14,9 +16,12 @@ def _named(files: DataFrame) -> DataFrame:
     )
 
 
-def read_messages(spark: SparkSession, path: str, glob: str = "*.{eml,txt}") -> DataFrame:
-    """message_id (sha-256 of the bytes), filename, size_bytes, raw: one row per file below ``path``."""
-    return _named(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path))
+def read_messages(spark: SparkSession, path: str, extensions: str = "eml,txt", mailboxes: str = "mbox", partition_bytes: int = 64 << 20) -> DataFrame:
+    """message_id (sha-256 of the bytes), filename, size_bytes, raw, read_error: one row per file below ``path`` and per
+    message of a mailbox. A file that can't be read has its fault in read_error, and an id made of its path."""
+    files = read_mail(spark, path, extensions=extensions, mboxExtensions=mailboxes, partitionBytes=str(partition_bytes))
+    named = F.sha2(F.coalesce("raw", F.concat("path", F.lit(":"), "start").cast("binary")), 256)
+    return files.select(named.alias("message_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "size_bytes", "raw", "read_error")
 
 
 def stream_messages(spark: SparkSession, path: str, glob: str = "*.{eml,txt}", files_per_trigger: int = 1000) -> DataFrame:
