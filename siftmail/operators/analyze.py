@@ -392,9 +392,13 @@ def iocs() -> Column:
     )
 
 
+def last_steps(book: R.Book) -> list[dict[str, Column]]:
+    return [{"findings": F.when(F.col("parse_error").isNull(), findings(F.col("fired"), book))}, *weights(book), {"iocs": iocs()}]
+
+
 @built_once
 def _last_steps() -> list[dict[str, Column]]:
-    return [{"findings": F.when(F.col("parse_error").isNull(), findings(F.col("fired")))}, *weights(), {"iocs": iocs()}]
+    return last_steps(R.CATALOGUE)
 
 
 @built_once
@@ -402,14 +406,25 @@ def _attachments() -> Column:
     return attachments(F.col("parts"))
 
 
-def analyze(messages: DataFrame, raw: str = "raw") -> DataFrame:
+def own_rules(book: R.Book) -> Column:
+    """``fired`` with the rules whose condition the book gives as SQL: in the place of built-in ones of the same id, behind
+    all others."""
+    own = F.filter(F.array(*(F.when(F.expr(c), F.struct(F.lit(i).alias("id"), F.lit(text).alias("msg"))) for i, c, text in book.conditions)), lambda x: x.isNotNull())
+    names = [i for i, _, _ in book.conditions]
+    return F.concat(F.filter("fired", lambda f: ~f["id"].isin(names)), own)
+
+
+def analyze(messages: DataFrame, raw: str = "raw", book: R.Book = R.CATALOGUE) -> DataFrame:
     """One report row per message: auth, alignment, hops, links, attachments, findings, score_breakdown, score, verdict,
-    iocs. A message that could not be parsed, or read (``read_error``), has ``parse_error`` and neither findings nor score nor verdict."""
+    iocs. A message that could not be parsed, or read (``read_error``), has ``parse_error`` and neither findings nor score
+    nor verdict. ``book`` has the weights, caps and combinations, and rules of one's own."""
     df = with_parsed(messages, raw)
     if "read_error" in messages.columns:
         df = df.withColumn("parse_error", F.coalesce("read_error", "parse_error")).drop("read_error")
     df = with_links(with_bodies(with_hops(with_auth(df))))
     df = with_fired(df.withColumn("attachments", _attachments()))
-    for step in _last_steps():
+    if book.conditions:
+        df = df.withColumn("fired", own_rules(book))
+    for step in _last_steps() if book == R.CATALOGUE else last_steps(book):
         df = df.withColumns(step)
     return df.drop("fired")

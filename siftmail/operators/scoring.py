@@ -10,24 +10,17 @@ from .. import rules as R
 from ..functions.text import let
 
 
-def combinations(ids: Column) -> Column:
+def combinations(ids: Column, book: R.Book = R.CATALOGUE) -> Column:
     """Ids of the combinations that a set of fired ids completes."""
-    some = lambda text: F.arrays_overlap(ids, F.array(*(F.lit(x) for x in text.split())))
-    return F.filter(F.array(*(F.when(some(a) & some(b), F.lit(c)) for c, (a, b) in R.COMBO_OF.items())), lambda x: x.isNotNull())
+    some = lambda own: F.arrays_overlap(ids, F.array(*map(F.lit, own)))
+    return F.filter(F.array(*(F.when(some(a) & some(b), F.lit(c)) for c, a, b, _ in book.combinations)), lambda x: x.isNotNull())
 
 
-#: What a completed combination means.
-COMBINED = {
-    "combo-bec": "fits fraud by someone who poses as a superior or supplier and asks for a payment", "combo-credenciales": "fits the theft of passwords by a false page",
-    "combo-malware": "fits the sending of malware: a dangerous attachment and a pretext to open it", "combo-extorsion": "fits extortion: a threat and a wallet to pay to",
-}
-
-
-def findings(fired: Column) -> Column:
+def findings(fired: Column, book: R.Book = R.CATALOGUE) -> Column:
     """Findings of the fired rules (id, msg) in order, then of the combinations they complete."""
-    told = F.create_map(*(F.lit(x) for pair in COMBINED.items() for x in pair))
-    combined = lambda x: F.transform(combinations(F.transform(x, lambda f: f["id"])), lambda i: F.struct(i.alias("id"), F.element_at(told, i).alias("msg")))
-    return let(fired, lambda x: F.transform(F.concat(x, combined(x)), lambda f: R.finding(f)))
+    told = F.create_map(*(F.lit(x) for c, _, _, text in book.combinations for x in (c, text)))
+    combined = lambda x: F.transform(combinations(F.transform(x, lambda f: f["id"]), book), lambda i: F.struct(i.alias("id"), F.element_at(told, i).alias("msg")))
+    return let(fired, lambda x: F.transform(F.concat(x, combined(x)), lambda f: R.finding(f, book)))
 
 
 def without_texts(ids: Column) -> Column:
@@ -35,15 +28,15 @@ def without_texts(ids: Column) -> Column:
     return F.transform(ids, lambda i: F.struct(i.alias("id"), F.lit(None).cast("string").alias("msg")))
 
 
-def breakdown(found: Column) -> Column:
-    """array<struct(cat, raw, cap, points, n_rules)>: the six categories always, combinations if they have points."""
+def breakdown(found: Column, book: R.Book = R.CATALOGUE) -> Column:
+    """array<struct(cat, raw, cap, points, n_rules)>: the categories always, combinations if they have points."""
 
     def of(cat: str, cap: int) -> Column:
         own = F.filter(found, lambda f: f["cat"] == cat)
         raw = F.aggregate(own, F.lit(0), lambda s, f: s + f["points"])
         return F.struct(F.lit(cat).alias("cat"), raw.alias("raw"), F.lit(cap).alias("cap"), F.least(raw, F.lit(cap)).alias("points"), F.size(own).alias("n_rules"))
 
-    rows = [of(c, n) for c, n in R.CAPS.items()] + [of("combinacion", R.COMBO_CAP)]
+    rows = [of(c, n) for c, n in sorted(book.caps, key=lambda x: x[0] == "combinacion")]
     return F.filter(F.array(*rows), lambda r: (r["cat"] != "combinacion") | (r["raw"] > 0))
 
 
@@ -56,10 +49,10 @@ def with_score(df: DataFrame, ids: str = "rule_ids") -> DataFrame:
     return with_weights(df.withColumn("findings", findings(without_texts(F.col(ids)))))
 
 
-def weights() -> list[dict[str, Column]]:
+def weights(book: R.Book = R.CATALOGUE) -> list[dict[str, Column]]:
     """score_breakdown, score and verdict of findings; where these are null, null."""
     there = F.col("findings").isNotNull()
-    return [{"score_breakdown": F.when(there, breakdown(F.col("findings")))}, {"score": F.when(there, total(F.col("score_breakdown")))}, {"verdict": R.verdict(F.col("score"))}]
+    return [{"score_breakdown": F.when(there, breakdown(F.col("findings"), book))}, {"score": F.when(there, total(F.col("score_breakdown")))}, {"verdict": R.verdict(F.col("score"))}]
 
 
 def with_weights(df: DataFrame) -> DataFrame:

@@ -93,8 +93,8 @@ _RULES = "rules(id, cat, points, sev) AS (VALUES " + ", ".join(f"('{a}', '{b}',
 _CAPS = "caps(cat, cap) AS (VALUES " + ", ".join(f"('{c}', {n})" for c, n in [*R.CAPS.items(), ("combinacion", R.COMBO_CAP)]) + ")"
 
 
-def _has(text: str) -> str:
-    return "bool_or(id IN (" + ", ".join(f"'{x}'" for x in text.split()) + "))"
+def _has(ids) -> str:
+    return "bool_or(id IN (" + ", ".join(f"'{x}'" for x in ids) + "))"
 
 
 _FIRED = f"fired AS (SELECT event_id // 4 AS entity, event_id AS ord, {_CASE} AS id FROM events WHERE {_CASE} IS NOT NULL)"

@@ -7,9 +7,12 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import rules as R
 from ..functions.text import defang, entities, exploded, is_ip, is_private_ip, org_domain, url_parts
 from ..operators import report
 from ..operators.analyze import analyze
+from ..operators.store import reports_of, update_reports
+from ..sources.scratch import new_folder
 from .envelopes import ENVELOPES, sha256
 from .urls import spread, table
 
@@ -30,13 +33,27 @@ def mailbox(texts: DataFrame) -> DataFrame:
     return both.select(F.col("doc_id").cast("string").alias("message_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".eml")).alias("filename"), F.octet_length(raw).cast("long").alias("size_bytes"), raw.alias("raw"))
 
 
+#: The table of reports of each session and input: what one query has analysed, the next one reads.
+_tables: dict[tuple[str, str, str], str] = {}
+
+
+def _kept(spark, sf_dir, name: str, texts: DataFrame) -> DataFrame:
+    """Reports of the mailbox of ``texts``, from a table that is brought up to date first."""
+    messages = mailbox(texts)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _tables:
+        _tables[key] = new_folder(spark, "reports")
+    update_reports(messages, _tables[key])
+    return reports_of(messages, _tables[key])
+
+
 def _reports(spark, sf_dir) -> DataFrame:
-    return analyze(mailbox(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return _kept(spark, sf_dir, "documents", spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-def _fixed(spark) -> DataFrame:
-    """Reports of all envelopes around an empty text."""
-    return analyze(spark.createDataFrame([(e.name, e.raw("body")) for e in ENVELOPES], "message_id string, raw binary"))
+def _turns(spark, sf_dir) -> DataFrame:
+    """Reports of the turns of conversations."""
+    return _kept(spark, sf_dir, "conversations", spread(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")))
 
 
 def _ids(findings: str | Column = "findings") -> Column:
@@ -44,26 +61,29 @@ def _ids(findings: str | Column = "findings") -> Column:
 
 
 def fixture_reports(spark, sf_dir):
-    """Envelopes around an empty text."""
-    return _fixed(spark).select("message_id", "score", "verdict", "origin_ip", F.size("hops").alias("hops"), F.size("links").alias("links"), F.size("attachments").alias("attachments"), _ids().alias("rules"))
+    """Every turn of a conversation in an envelope: counts, and the rules in order."""
+    return _turns(spark, sf_dir).select("message_id", "score", "verdict", "origin_ip", F.size("hops").alias("hops"), F.size("links").alias("links"), F.size("attachments").alias("attachments"), _ids().alias("rules"))
 
 
 def auth_goldens(spark, sf_dir):
-    return report.auth_chips(_fixed(spark))
-
-
-SCALARS = (
-    "10.20.0.5", "45.155.205.233", "mail.foo.co.uk", "http://evil.com/a", "a.b.example.org", "1:2:3:4", "https://u:p@h.x:81/p?q#f", "x &amp;lt; &#65;&#x42; &nbsp;|", "::1", "",
-)
+    return report.auth_chips(_turns(spark, sf_dir))
 
 
 def scalar_goldens(spark, sf_dir):
-    s = spark.createDataFrame([(x,) for x in SCALARS], "s string")
+    """Scalar functions over texts made of customers: addresses of both kinds, hosts, URLs, entities."""
+    k = F.col("c_custkey")
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    own = (
+        F.when(k % 6 == 0, text(k % 256, ".", k * 7 % 256, ".", k * 13 % 256, ".", k % 200)).when(k % 6 == 1, text("mail.", F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))), ".co.uk"))
+        .when(k % 6 == 2, text("https://u", k, ":p@h", k, ".example.org:", k % 65536, "/p?q#f")).when(k % 6 == 3, text("x &amp;lt; &#", k % 26 + 65, "; &nbsp;|"))
+        .when(k % 6 == 4, text(k % 10, ":2:3:4")).otherwise(text("FE80::", F.lower(F.hex(k % 65536))))
+    )
+    s = table(spark, sf_dir, "customer").select("c_custkey", own.alias("s"))
     p = url_parts(F.col("s"))
     return s.select(
-        "s", is_ip(F.col("s")).alias("ip"), is_private_ip(F.col("s")).alias("private"), org_domain(F.col("s")).alias("org"), defang(F.col("s")).alias("defanged"), entities(F.col("s")).alias("decoded"),
-        p["host"].alias("host"), p["port"].alias("port"), p["userinfo"].alias("userinfo"),
-    )
+        "c_custkey", "s", is_ip(F.col("s")).alias("ip"), is_private_ip(F.col("s")).alias("private"), org_domain(F.col("s")).alias("org"), defang(F.col("s")).alias("defanged"),
+        entities(F.col("s")).alias("decoded"), p["host"].alias("host"), p["port"].alias("port"), p["userinfo"].alias("userinfo"),
+    )
 
 
 def mailbox_reports(spark, sf_dir):
@@ -71,6 +91,26 @@ def mailbox_reports(spark, sf_dir):
     return report.summary(_reports(spark, sf_dir)).drop("parse_error")
 
 
+#: A table of one's own: other weights, a rule that is told without weighing, and a new rule with its condition.
+OWN_RULES = [
+    ("spf-fail", "auth", 40, "high", None, None), ("rcv-one", None, 0, "info", None, None), ("subj-urgency", None, 10, None, "contains(lower(subject), 'urgent')", "the subject is urgent"),
+    ("own-long", "propias", 7, "low", "length(visible) > 1000 AND size(hops) = 2", "a long text over two hops"), ("combo-own", "combinacion", 9, "high", None, None),
+]
+OWN_CAPS = [("auth", 50), ("propias", 5)]
+OWN_COMBINATIONS = [("combo-own", ["own-long"], ["spf-fail", "body-bec", "url-ip"], "long and suspicious")]
+
+
+def mailbox_own_rules(spark, sf_dir):
+    """The analysis by a changed book: score, verdict and rules of each message."""
+    book = R.CATALOGUE.changed(
+        spark.createDataFrame(OWN_RULES, "id string, cat string, points int, sev string, condition string, text string"), spark.createDataFrame(OWN_CAPS, "cat string, cap int"),
+        spark.createDataFrame(OWN_COMBINATIONS, "id string, any_of array<string>, and_any_of array<string>, text string"),
+    )
+    reports = analyze(mailbox(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), book=book)
+    own = F.array_sort(F.transform("findings", lambda f: f["id"]))
+    return reports.select("message_id", "score", "verdict", F.array_join(own, " ").alias("rules"))
+
+
 def mailbox_findings(spark, sf_dir):
     """All findings in order of emission, with the texts that stand for them left out."""
     rows = exploded(_reports(spark, sf_dir), "findings", "f", "message_id")
@@ -136,32 +176,40 @@ def mailbox_reasons(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (fixture_reports, auth_goldens, scalar_goldens, mailbox_reports, mailbox_findings, mailbox_verdicts, mailbox_iocs, mailbox_links, mailbox_attachments, mailbox_hops, mailbox_auth, mailbox_bodies,
+    for f in (fixture_reports, auth_goldens, scalar_goldens, mailbox_reports, mailbox_own_rules, mailbox_findings, mailbox_verdicts, mailbox_iocs, mailbox_links, mailbox_attachments, mailbox_hops, mailbox_auth, mailbox_bodies,
               mailbox_shares, mailbox_gravest, mailbox_destinations, mailbox_domains, mailbox_json, mailbox_reasons)
 }
 
 # The SQL. What follows is stated once more by hand, apart from ``rules``: weights, caps, combinations and word lists.
-WEIGHTS = """auth 30: spf-fail 25 high, spf-softfail 12 medium, spf-none 8 medium, spf-neutral 8 medium, dkim-fail 20 high, dkim-none 8 medium, dkim-absent 8 medium, dmarc-fail 30 high,
-dmarc-none 10 medium, dmarc-absent 10 medium, compauth 10 medium, align-none 20 high, align-dkim 10 medium, no-transport 0 info
-identidad 20: rp-mismatch 15 high, replyto-mismatch 18 high, replyto-freemail 15 high, from-freemail-cargo 15 high, dn-email 22 high, dn-brand 18 high, dn-homoglyph 12 medium, from-punycode 20 high,
-from-tld 10 medium, from-multi 10 medium, from-missing 10 medium, mid-missing 10 medium, mid-mismatch 6 low
-enlaces 20: url-mismatch 20 high, url-ip 20 high, url-punycode 20 high, url-userinfo 20 high, url-data 25 high, url-brand 18 high, url-shortener 10 medium, url-creds 10 medium, url-tld 8 medium,
-url-port 8 medium, url-http 6 medium, url-subdomains 4 low, url-filehost 4 low, url-redirector 0 info
-adjuntos 15: att-exec 25 high, att-double 22 high, att-rtlo 22 high, att-macro 20 high, att-html 20 high, att-mismatch 20 high, att-ole 10 medium, att-container 8 medium, att-empty 0 info
-contenido 10: body-password 25 high, body-form 20 high, body-script 18 high, body-refresh 18 high, body-bec 15 high, body-iban 12 high, body-nocontacto 10 medium, body-iframe 12 medium,
-body-image 12 medium, body-hidden 10 medium, body-crypto 10 medium, body-empty 8 medium, body-entities 6 low, subj-urgency 8 medium, subj-nothread 8 medium
-transporte 5: xmailer 10 medium, rcv-none 10 medium, rcv-one 3 low, rcv-delay 4 low, date-skew 5 low, x-orig-ip 0 info
-combinacion 20: combo-bec 20 high, combo-credenciales 15 high, combo-malware 15 high, combo-extorsion 15 high"""
-
-
-def _weights() -> list[tuple[str, str, int, int, str]]:
-    """id, category, cap, points, severity"""
-    out = []
-    for block in WEIGHTS.replace(",\n", ", ").split("\n"):
-        head, _, rules = block.partition(": ")
-        for rule in rules.split(", "):
-            out.append((rule.split()[0], head.split()[0], int(head.split()[1]), int(rule.split()[1]), rule.split()[2]))
-    return out
+#: Fixed values, stated once more: id, category, cap of the category, points, severity.
+WEIGHTS = [
+    ("spf-fail", "auth", 30, 25, "high"), ("spf-softfail", "auth", 30, 12, "medium"), ("spf-none", "auth", 30, 8, "medium"), ("spf-neutral", "auth", 30, 8, "medium"),
+    ("dkim-fail", "auth", 30, 20, "high"), ("dkim-none", "auth", 30, 8, "medium"), ("dkim-absent", "auth", 30, 8, "medium"), ("dmarc-fail", "auth", 30, 30, "high"),
+    ("dmarc-none", "auth", 30, 10, "medium"), ("dmarc-absent", "auth", 30, 10, "medium"), ("compauth", "auth", 30, 10, "medium"),
+    ("align-none", "auth", 30, 20, "high"), ("align-dkim", "auth", 30, 10, "medium"), ("no-transport", "auth", 30, 0, "info"),
+    ("rp-mismatch", "identidad", 20, 15, "high"), ("replyto-mismatch", "identidad", 20, 18, "high"), ("replyto-freemail", "identidad", 20, 15, "high"),
+    ("from-freemail-cargo", "identidad", 20, 15, "high"), ("dn-email", "identidad", 20, 22, "high"), ("dn-brand", "identidad", 20, 18, "high"),
+    ("dn-homoglyph", "identidad", 20, 12, "medium"), ("from-punycode", "identidad", 20, 20, "high"), ("from-tld", "identidad", 20, 10, "medium"),
+    ("from-multi", "identidad", 20, 10, "medium"), ("from-missing", "identidad", 20, 10, "medium"), ("mid-missing", "identidad", 20, 10, "medium"),
+    ("mid-mismatch", "identidad", 20, 6, "low"),
+    ("url-mismatch", "enlaces", 20, 20, "high"), ("url-ip", "enlaces", 20, 20, "high"), ("url-punycode", "enlaces", 20, 20, "high"),
+    ("url-userinfo", "enlaces", 20, 20, "high"), ("url-data", "enlaces", 20, 25, "high"), ("url-brand", "enlaces", 20, 18, "high"),
+    ("url-shortener", "enlaces", 20, 10, "medium"), ("url-creds", "enlaces", 20, 10, "medium"), ("url-tld", "enlaces", 20, 8, "medium"),
+    ("url-port", "enlaces", 20, 8, "medium"), ("url-http", "enlaces", 20, 6, "medium"), ("url-subdomains", "enlaces", 20, 4, "low"),
+    ("url-filehost", "enlaces", 20, 4, "low"), ("url-redirector", "enlaces", 20, 0, "info"),
+    ("att-exec", "adjuntos", 15, 25, "high"), ("att-double", "adjuntos", 15, 22, "high"), ("att-rtlo", "adjuntos", 15, 22, "high"),
+    ("att-macro", "adjuntos", 15, 20, "high"), ("att-html", "adjuntos", 15, 20, "high"), ("att-mismatch", "adjuntos", 15, 20, "high"),
+    ("att-ole", "adjuntos", 15, 10, "medium"), ("att-container", "adjuntos", 15, 8, "medium"), ("att-empty", "adjuntos", 15, 0, "info"),
+    ("body-password", "contenido", 10, 25, "high"), ("body-form", "contenido", 10, 20, "high"), ("body-script", "contenido", 10, 18, "high"),
+    ("body-refresh", "contenido", 10, 18, "high"), ("body-bec", "contenido", 10, 15, "high"), ("body-iban", "contenido", 10, 12, "high"),
+    ("body-nocontacto", "contenido", 10, 10, "medium"), ("body-iframe", "contenido", 10, 12, "medium"), ("body-image", "contenido", 10, 12, "medium"),
+    ("body-hidden", "contenido", 10, 10, "medium"), ("body-crypto", "contenido", 10, 10, "medium"), ("body-empty", "contenido", 10, 8, "medium"),
+    ("body-entities", "contenido", 10, 6, "low"), ("subj-urgency", "contenido", 10, 8, "medium"), ("subj-nothread", "contenido", 10, 8, "medium"),
+    ("xmailer", "transporte", 5, 10, "medium"), ("rcv-none", "transporte", 5, 10, "medium"), ("rcv-one", "transporte", 5, 3, "low"),
+    ("rcv-delay", "transporte", 5, 4, "low"), ("date-skew", "transporte", 5, 5, "low"), ("x-orig-ip", "transporte", 5, 0, "info"),
+    ("combo-bec", "combinacion", 20, 20, "high"), ("combo-credenciales", "combinacion", 20, 15, "high"), ("combo-malware", "combinacion", 20, 15, "high"),
+    ("combo-extorsion", "combinacion", 20, 15, "high"),
+]
 
 
 def _q(v) -> str:
@@ -180,8 +228,13 @@ def _values(rows) -> str:
 
 _SQUEEZE = r"trim(regexp_replace({}, '[ \t\n\r\f\v\x{{A0}}\x{{FEFF}}]+', ' ', 'g'))"
 _E = _values([(i, e.name, e.enc, e.ids, e.tail, e.seen, e.risky, e.subject, e.sender, (e.ips or (None,))[0], len(e.delays), len(e.links), sum(x[2] == "enlace" for x in e.links), len(e.files), *e.chips) for i, e in enumerate(ENVELOPES)])
+#: What combinations a list of ids completes.
+_COMBOS = """  || CASE WHEN list_has_any(fired, ['from-freemail-cargo', 'replyto-freemail', 'dn-brand', 'dn-email']) AND list_has_any(fired, ['body-bec', 'body-iban']) THEN ['combo-bec'] ELSE [] END
+  || CASE WHEN list_has_any(fired, ['body-password', 'body-form', 'url-creds']) AND list_has_any(fired, ['url-mismatch', 'url-brand', 'url-punycode', 'url-ip']) THEN ['combo-credenciales'] ELSE [] END
+  || CASE WHEN list_has_any(fired, ['att-exec', 'att-macro', 'att-html']) AND list_has_any(fired, ['body-empty', 'subj-urgency', 'subj-nothread', 'dmarc-fail']) THEN ['combo-malware'] ELSE [] END
+  || CASE WHEN list_contains(fired, 'body-crypto') AND list_has_any(fired, ['from-tld', 'spf-none', 'spf-neutral', 'dmarc-absent', 'dmarc-none']) THEN ['combo-extorsion'] ELSE [] END"""
 _MAIL = rf"""e(k, name, enc, ids, tail, seen, risky, subject, sender, origin_ip, n_hops, n_urls, n_enlace, n_attachments, spf, dkim, dmarc, spf_alignment, dkim_alignment) AS (VALUES {_E}),
-weights(id, cat, cap, points, sev) AS (VALUES {_values(_weights())}),
+weights(id, cat, cap, points, sev) AS (VALUES {_values(WEIGHTS)}),
 d AS (@texts@),
 v AS (SELECT d.message_id, e.*, {_SQUEEZE.format("CASE enc WHEN 'none' THEN '' ELSE coalesce(text, '') || ' ' END || seen")} AS visible FROM d JOIN e USING (k)),
 w AS (SELECT *, lower(visible || ' ' || subject) AS words FROM v),
@@ -192,16 +245,13 @@ c AS (SELECT *, regexp_matches(words, 'bitcoin|btc|usdt|ethereum|monero|wallet|s
 f AS (SELECT *, ids || CASE WHEN crypto THEN ['body-crypto'] ELSE [] END || CASE WHEN payment AND risky THEN ['body-bec'] ELSE [] END || CASE WHEN payment AND account THEN ['body-iban'] ELSE [] END
   || CASE WHEN silence THEN ['body-nocontacto'] ELSE [] END || tail AS fired FROM c),
 g AS (SELECT *, fired
-  || CASE WHEN list_has_any(fired, ['from-freemail-cargo', 'replyto-freemail', 'dn-brand', 'dn-email']) AND list_has_any(fired, ['body-bec', 'body-iban']) THEN ['combo-bec'] ELSE [] END
-  || CASE WHEN list_has_any(fired, ['body-password', 'body-form', 'url-creds']) AND list_has_any(fired, ['url-mismatch', 'url-brand', 'url-punycode', 'url-ip']) THEN ['combo-credenciales'] ELSE [] END
-  || CASE WHEN list_has_any(fired, ['att-exec', 'att-macro', 'att-html']) AND list_has_any(fired, ['body-empty', 'subj-urgency', 'subj-nothread', 'dmarc-fail']) THEN ['combo-malware'] ELSE [] END
-  || CASE WHEN list_contains(fired, 'body-crypto') AND list_has_any(fired, ['from-tld', 'spf-none', 'spf-neutral', 'dmarc-absent', 'dmarc-none']) THEN ['combo-extorsion'] ELSE [] END AS rules FROM f),
+{_COMBOS} AS rules FROM f),
 findings AS (SELECT message_id, position, u.id, cat, cap, points, sev FROM (SELECT message_id, unnest(rules) AS id, generate_subscripts(rules, 1) - 1 AS position FROM g) u JOIN weights USING (id)),
 shares AS (SELECT message_id, cat, least(sum(points), any_value(cap)) AS points, any_value(cap) AS cap FROM findings GROUP BY message_id, cat),
 scores AS (SELECT message_id, least(100, sum(points))::INTEGER AS score FROM shares GROUP BY message_id),
 r AS (SELECT g.*, coalesce(score, 0)::INTEGER AS score, CASE WHEN score >= 80 THEN 'CRITICO' WHEN score >= 50 THEN 'ALTO' WHEN score >= 20 THEN 'MEDIO' ELSE 'BAJO' END AS verdict FROM g LEFT JOIN scores USING (message_id))"""
 _DOCS = _MAIL.replace("@texts@", f"SELECT doc_id::VARCHAR AS message_id, doc_id % {len(ENVELOPES)} AS k, text FROM documents")
-_FIXED = _MAIL.replace("@texts@", "SELECT name AS message_id, k, 'body' AS text FROM e")
+_TURNS = _MAIL.replace("@texts@", f"SELECT (conv_id * 1000 + turn)::VARCHAR AS message_id, (conv_id * 1000 + turn) % {len(ENVELOPES)} AS k, text FROM conversations")
 _LINKS = "links(k, ord, url, host, kind, flags) AS (VALUES " + _values([(i, n, u, h, kind, " ".join(flags)) for i, e in enumerate(ENVELOPES) for n, (u, h, kind, flags) in enumerate(e.links)]) + ")"
 _FILES = "files(k, filename, size, sha256, ext, magic, flags) AS (VALUES " + _values([(i, n, len(c), sha256(c), ext, magic, " ".join(flags)) for i, e in enumerate(ENVELOPES) for n, c, ext, magic, flags in e.files]) + ")"
 _MAILS = "mails(k, email) AS (VALUES " + _values([(i, m) for i, e in enumerate(ENVELOPES) for m in e.emails]) + ")"
@@ -209,26 +259,37 @@ _IPS = "ips(k, ip) AS (VALUES " + _values([(i, m) for i, e in enumerate(ENVELOPE
 _HOPS = "hops(k, hop, delay_seconds, n, first_ips, began) AS (VALUES " + _values([
     (i, n, x, len(e.delays), e.first_ips, re.search(r"id A1; ([^\r]*)", e.head)[1] if len(e.delays) > 1 else "") for i, e in enumerate(ENVELOPES) for n, x in enumerate(e.delays, 1)
 ]) + ")"
+_SHOWN = "s(k, shown) AS (VALUES " + _values([(i, "see www.example.net/a, or ftp://example.net/b" if e.name == "link in plain text" else e.seen) for i, e in enumerate(ENVELOPES)]) + ")"
 _IS_IP = r"regexp_matches(host, '^[0-9.]+$')"
 _ORG = "CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN host ELSE array_to_string(string_split(host, '.')[-2:], '.') END"
 _ORG_OF = "CASE WHEN sender IS NULL THEN '' ELSE array_to_string(string_split(split_part(sender, '@', 2), '.')[-2:], '.') END"
-_SCALARS = [
-    ("10.20.0.5", True, True, "10.20.0.5", "10[.]20[.]0[.]5", "10.20.0.5", "", "", ""), ("45.155.205.233", True, False, "45.155.205.233", "45[.]155[.]205[.]233", "45.155.205.233", "", "", ""),
-    ("mail.foo.co.uk", False, False, "foo.co.uk", "mail[.]foo[.]co[.]uk", "mail.foo.co.uk", "", "", ""), ("http://evil.com/a", False, False, "http://evil.com/a", "hxxp://evil[.]com/a", "http://evil.com/a", "evil.com", "", ""),
-    ("a.b.example.org", False, False, "example.org", "a[.]b[.]example[.]org", "a.b.example.org", "", "", ""), ("1:2:3:4", True, False, "1:2:3:4", "1:2:3:4", "1:2:3:4", "", "", ""),
-    ("https://u:p@h.x:81/p?q#f", False, False, "https://u:p@h.x:81/p?q#f", "hxxps://u:p[@]h[.]x:81/p?q#f", "https://u:p@h.x:81/p?q#f", "h.x", "81", "u:p"),
-    ("x &amp;lt; &#65;&#x42; &nbsp;|", False, False, "x &amp;lt; &#65;&#x42; &nbsp;|", "x &amp;lt; &#65;&#x42; &nbsp;|", "x < AB  |", "", "", ""),
-    ("::1", False, True, "::1", "::1", "::1", "", "", ""), ("", False, False, "", "", "", "", "", ""),
-]
 _DEFANG = "replace(replace(regexp_replace(regexp_replace(value, '(?i)https://', 'hxxps://', 'g'), '(?i)http://', 'hxxp://', 'g'), '.', '[.]'), '@', '[@]')"
 _RANK = "CASE sev WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END"
 
 SQL = {
-    "fixture_reports": f"WITH {_FIXED} SELECT message_id, score, verdict, origin_ip, n_hops::INTEGER AS hops, n_urls::INTEGER AS links, n_attachments::INTEGER AS attachments, array_to_string(rules, ' ') AS rules FROM r",
-    "auth_goldens": f"WITH {_FIXED} SELECT message_id, spf, dkim, dmarc, spf_alignment, dkim_alignment FROM r",
-    "scalar_goldens": "SELECT * FROM (VALUES " + _values(_SCALARS) + ") v(s, ip, private, org, defanged, decoded, host, port, userinfo)",
+    "fixture_reports": f"WITH {_TURNS} SELECT message_id, score, verdict, origin_ip, n_hops::INTEGER AS hops, n_urls::INTEGER AS links, n_attachments::INTEGER AS attachments, array_to_string(rules, ' ') AS rules FROM r",
+    "auth_goldens": f"WITH {_TURNS} SELECT message_id, spf, dkim, dmarc, spf_alignment, dkim_alignment FROM r",
+    "scalar_goldens": """WITH c AS (SELECT c_custkey, c_custkey AS k, c_custkey % 6 AS kind, [c_custkey % 256, c_custkey * 7 % 256, c_custkey * 13 % 256, c_custkey % 200] AS o, lower(replace(c_name, '#', '-')) AS name FROM customer),
+t AS (SELECT *, CASE kind WHEN 0 THEN array_to_string(o, '.') WHEN 1 THEN 'mail.' || name || '.co.uk' WHEN 2 THEN 'https://u' || k || ':p@h' || k || '.example.org:' || k % 65536 || '/p?q#f'
+  WHEN 3 THEN 'x &amp;lt; &#' || (k % 26 + 65) || '; &nbsp;|' WHEN 4 THEN k % 10 || ':2:3:4' ELSE 'FE80::' || printf('%x', k % 65536) END AS s FROM c)
+SELECT c_custkey, s, kind IN (0, 4, 5) AS ip, CASE kind WHEN 0 THEN o[1] IN (0, 10, 127) OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 169 AND o[2] = 254) ELSE kind = 5 END AS private,
+CASE kind WHEN 1 THEN name || '.co.uk' WHEN 2 THEN 'example.org:' || k % 65536 || '/p?q#f' ELSE lower(s) END AS org,
+CASE kind WHEN 2 THEN 'hxxps://u' || k || ':p[@]h' || k || '[.]example[.]org:' || k % 65536 || '/p?q#f' ELSE replace(s, '.', '[.]') END AS defanged,
+CASE kind WHEN 3 THEN 'x < ' || chr((k % 26 + 65)::INTEGER) || '  |' ELSE s END AS decoded,
+CASE kind WHEN 2 THEN 'h' || k || '.example.org' ELSE '' END AS host, CASE kind WHEN 2 THEN (k % 65536)::VARCHAR ELSE '' END AS port, CASE kind WHEN 2 THEN 'u' || k || ':p' ELSE '' END AS userinfo FROM t""",
     "mailbox_reports": f"""WITH {_DOCS} SELECT message_id, message_id || '.eml' AS filename, verdict, score, sender AS "from", subject, origin_ip, n_hops::INTEGER AS n_hops, n_urls::INTEGER AS n_urls, n_enlace::INTEGER AS n_enlace,
 (n_urls - n_enlace)::INTEGER AS n_recurso, n_attachments::INTEGER AS n_attachments, len(rules)::INTEGER AS n_findings FROM r""",
+    "mailbox_own_rules": f"""WITH {_DOCS}, {_SHOWN}, x AS (SELECT message_id, {_SQUEEZE.format("CASE enc WHEN 'none' THEN '' ELSE coalesce(text, '') || ' ' END || shown")} AS t FROM d JOIN e USING (k) JOIN s USING (k)),
+own AS (SELECT message_id, length(t) > 1000 AND n_hops = 2 AS long, list_filter(fired, lambda i: i <> 'subj-urgency') || CASE WHEN regexp_matches(lower(subject), 'urgent') THEN ['subj-urgency'] ELSE [] END
+  || CASE WHEN length(t) > 1000 AND n_hops = 2 THEN ['own-long'] ELSE [] END AS fired FROM f JOIN x USING (message_id)),
+told AS (SELECT message_id, fired
+{_COMBOS} || CASE WHEN long AND list_has_any(fired, ['spf-fail', 'body-bec', 'url-ip']) THEN ['combo-own'] ELSE [] END AS rules FROM own),
+changed AS (SELECT id, cat, CASE cat WHEN 'auth' THEN 50 ELSE cap END AS cap, CASE id WHEN 'spf-fail' THEN 40 WHEN 'rcv-one' THEN 0 WHEN 'subj-urgency' THEN 10 ELSE points END AS points FROM weights
+  UNION ALL VALUES ('own-long', 'propias', 5, 7), ('combo-own', 'combinacion', 20, 9)),
+sums AS (SELECT message_id, least(sum(points), any_value(cap)) AS points FROM (SELECT message_id, unnest(rules) AS id FROM told) JOIN changed USING (id) GROUP BY message_id, cat),
+totals AS (SELECT message_id, least(100, sum(points))::INTEGER AS score FROM sums GROUP BY message_id)
+SELECT message_id, coalesce(score, 0)::INTEGER AS score, CASE WHEN score >= 80 THEN 'CRITICO' WHEN score >= 50 THEN 'ALTO' WHEN score >= 20 THEN 'MEDIO' ELSE 'BAJO' END AS verdict,
+  array_to_string(list_sort(rules), ' ') AS rules FROM told LEFT JOIN totals USING (message_id)""",
     "mailbox_findings": f"WITH {_DOCS} SELECT message_id, position::INTEGER AS position, id, cat, points::INTEGER AS points, sev FROM findings",
     "mailbox_verdicts": f"WITH {_DOCS} SELECT verdict, count(*) AS n, min(score) AS lowest, max(score) AS highest FROM r GROUP BY verdict",
     "mailbox_iocs": f"""WITH {_DOCS}, {_LINKS}, {_FILES}, {_MAILS}, {_IPS}, here AS (SELECT DISTINCT k FROM d),
@@ -254,6 +315,6 @@ SELECT message_id, coalesce(domains, '') AS domains FROM d LEFT JOIN l USING (k)
     "mailbox_reasons": f"""WITH {_DOCS}, told(id, reason) AS (VALUES {_values(report.REASONS.items())}),
 t AS (SELECT message_id, reason, min(position) AS position FROM findings JOIN told USING (id) GROUP BY message_id, reason), l AS (SELECT message_id, array_to_string(list(reason ORDER BY position)[:5], '; ') AS reasons FROM t GROUP BY message_id)
 SELECT message_id, verdict, coalesce(reasons, '') AS reasons FROM r LEFT JOIN l USING (message_id)""",
-    "mailbox_bodies": f"""WITH {_DOCS}, s(k, shown) AS (VALUES {_values([(i, "see www.example.net/a, or ftp://example.net/b" if e.name == "link in plain text" else e.seen) for i, e in enumerate(ENVELOPES)])}),
+    "mailbox_bodies": f"""WITH {_DOCS}, {_SHOWN},
 x AS (SELECT message_id, {_SQUEEZE.format("CASE enc WHEN 'none' THEN '' ELSE coalesce(text, '') || ' ' END || shown")} AS t FROM d JOIN e USING (k) JOIN s USING (k)) SELECT message_id, length(t)::INTEGER AS n_chars, md5(t) AS visible_md5 FROM x""",
 }
