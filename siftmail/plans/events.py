@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..operators import scoring
+from ..operators.sequences import with_places
 from .urls import sql_verdict, table
 
 #: event type -> rule
@@ -61,18 +62,9 @@ def top_findings(spark, sf_dir):
 
 
 def hop_delays(spark, sf_dir):
-    """Whole seconds since the hop before, in time order. Hops are numbered within a user's day; what the days before
-    add, their hops and last time, comes from one row a day, so that a user with most of all events is no single task."""
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.to_date("ts").alias("day"))
-    days = rows.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("hops"), F.max("ts").alias("last_ts"))
-    by_day = Window.partitionBy("user_id").orderBy("day")
-    before = F.coalesce(F.sum("hops").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = days.select(F.col("user_id").alias("u"), F.col("day").alias("d"), before.alias("hops_before"), F.lag("last_ts").over(by_day).alias("ts_before"))
-    order = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
-    rows = rows.withColumns({"place": F.row_number().over(order), "previous": F.lag("ts").over(order)})
-    rows = rows.join(days, F.col("user_id").eqNullSafe(F.col("u")) & F.col("day").eqNullSafe(F.col("d")))
-    previous = F.when(F.col("place") == 1, F.col("ts_before")).otherwise(F.col("previous"))
-    return rows.select("user_id", "event_id", (F.col("hops_before") + F.col("place")).alias("hop"), F.timestamp_diff("SECOND", previous, F.col("ts")).alias("delay_seconds"))
+    """Whole seconds since the hop before, in time order."""
+    rows = with_places(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"])
+    return rows.select("user_id", "event_id", F.col("place").alias("hop"), F.timestamp_diff("SECOND", F.col("previous"), F.col("ts")).alias("delay_seconds"))
 
 
 def first_long_delay(spark, sf_dir):
