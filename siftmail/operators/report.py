@@ -65,10 +65,11 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("links", lambda u: u["kind"] == kind))
 
 
-def summary(reports: DataFrame) -> DataFrame:
-    """The batch table: one line per message. One that could not be parsed has its error and no verdict."""
+def summary(reports: DataFrame, *more: str) -> DataFrame:
+    """The batch table: one line per message, with ``more`` of its columns. One that could not be parsed has its error and no
+    verdict."""
     return reports.select(
-        "message_id", _own(reports, "filename", "string"), "verdict", "score", F.try_element_at(_addresses_of("from"), F.lit(1)).alias("from"), "subject", "origin_ip",
+        *more, "message_id", _own(reports, "filename", "string"), "verdict", "score", F.try_element_at(_addresses_of("from"), F.lit(1)).alias("from"), "subject", "origin_ip",
         F.size("hops").alias("n_hops"), F.size("links").alias("n_urls"), _count("enlace").alias("n_enlace"), _count("recurso").alias("n_recurso"), F.size("attachments").alias("n_attachments"),
         F.size("findings").alias("n_findings"), "parse_error",
     )

@@ -12,8 +12,9 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 def _named(files: DataFrame) -> DataFrame:
     return files.select(
-        F.sha2("content", 256).alias("message_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.col("length").alias("size_bytes"), F.col("content").alias("raw")
-    )
+        F.sha2("content", 256).alias("message_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.col("length").alias("size_bytes"), F.col("content").alias("raw"),
+        F.col("modificationTime").alias("arrived"),
+    )
 
 
 def read_messages(spark: SparkSession, path: str, extensions: str = "eml,txt", mailboxes: str = "mbox", partition_bytes: int = 64 << 20) -> DataFrame:
@@ -25,7 +26,7 @@ def read_messages(spark: SparkSession, path: str, extensions: str = "eml,txt", m
 
 
 def stream_messages(spark: SparkSession, path: str, glob: str = "*.{eml,txt}", files_per_trigger: int = 1000) -> DataFrame:
-    """The same as a stream of the files that arrive."""
+    """The same as a stream of the files that arrive, with ``arrived``, their time of modification."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
     return _named(files.option("maxFilesPerTrigger", files_per_trigger).load(path))
 
