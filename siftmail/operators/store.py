@@ -1,8 +1,8 @@
 """Reports kept as a table: each message is analysed once, however often its file is seen, and every view reads the table.
 
 The table is a folder of Parquet files with one nested row a message (so the nine tables of ``report.tables`` come from one
-write), partitioned by the first digit of the content's digest. An update takes the messages whose id and content aren't
-there yet: it joins them against ids and digests of the partitions that they fall into, which is all that is read of the
+write), partitioned by the first digit of a digest of id and content. An update takes the messages whose id and content aren't
+there yet: it joins them against the digests of the partitions that they fall into, which is all that is read of the
 table. A batch that is given twice, or again after a failure, adds nothing the second time.
 """
 
@@ -18,12 +18,13 @@ from .. import rules as R
 from ..sources.messages import stream_messages
 from .analyze import analyze
 
-KEY = ["bucket", "digest", "message_id"]
+KEY = ["bucket", "digest"]
 
 
 def digest(raw: str = "raw") -> Column:
-    """Of the content; a message without content (one that couldn't be read) is known by its id."""
-    return F.sha2(F.coalesce(F.col(raw), F.col("message_id").cast("binary")), 256)
+    """Of id and content; a null is a value of its own in either."""
+    told = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    return F.sha2(F.concat_ws(":", told(F.sha2(F.col(raw), 256)), told(F.col("message_id").cast("string"))).cast("binary"), 256)
 
 
 def keyed(messages: DataFrame, raw: str = "raw") -> DataFrame:
@@ -45,7 +46,7 @@ def unknown(messages: DataFrame, known: DataFrame | None, raw: str = "raw") -> D
     new = keyed(messages, raw)
     if known is not None:
         buckets = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # sixteen at most
-        new = new.join(known.where(F.col("bucket").cast("string").isin(buckets)).select(F.col("bucket").cast("string").alias("bucket"), *KEY[1:]), KEY, "left_anti")
+        new = new.join(known.where(F.col("bucket").cast("string").isin(buckets)).select(F.col("bucket").cast("string").alias("bucket"), "digest"), KEY, "left_anti")
     return new.dropDuplicates(KEY)
 
 
