@@ -37,12 +37,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared or LOCAL_SCRATCH
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: later steps restart from files that
-    outlive any executor, and nothing upstream is computed twice."""
+    outlive any executor, and nothing upstream is computed twice. ``by``: a column of few values; a filter on it reads
+    the files of these values only."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/siftmail-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     _own.written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
