@@ -8,13 +8,14 @@ proper distribution over texts, and the log probability of a text is its class s
 plus its tokens' shares.
 
 Training. 1. Token counts of all training texts: one aggregation; it grows with the corpus. 2. Class sequences of all
-texts, two bytes a token, in a scratch table. 3. Rounds of Baum-Welch over shares of the corpus that grow: a 64th, a
-16th, a quarter, then all of it (``SHARES``; the share of a text is by hash, so each grows with the input; shares of
-under ``FLOOR`` tokens give way to the next larger). Baum-Welch ends in a local optimum, so ``starts`` disturbed
-unigrams go through the first share side by side, and the likeliest goes on. In a round each task adds up expected
-counts of its texts, Spark adds up the tasks' (classes x states numbers, whatever the corpus), the driver normalises; no
-sequence reaches the driver. The rounds over the whole corpus end when one gains less than ``gain`` (log10 likelihood of
-a token), or after ``rounds``: 4.75 passes in all at most. Sequences are taken whole: a long one is cut so that its
+texts, two bytes a token, in a scratch table. 3. Baum-Welch, which ends in a local optimum, from several ``starts``
+(disturbed unigrams) side by side: a first pass takes the training texts in ``BLOCKS`` parts by hash, disjoint and
+growing with the input, and goes on after each with the counts of all parts so far, so that every start learns from
+every text; of a small corpus there are fewer parts, each taken several times, its counts in place of its former ones.
+The start under which all the texts are likeliest goes on, in rounds over the whole corpus, until one gains less than
+``gain`` (log10 likelihood of a token), or after ``rounds``. No count and no choice rests on a part of the texts. In a
+round each task adds up expected counts of its texts, Spark adds up the tasks' (classes x states numbers, whatever the
+corpus), the driver normalises; no sequence reaches the driver. Sequences are taken whole: a long one is cut so that its
 pieces advance side by side, each from the exact forward and backward values at its borders.
 
 Counts of rare tokens never gather anywhere: the ``known`` most frequent tokens (a fixed bound, by a threshold on the
@@ -206,7 +207,7 @@ def _classes(docs: DataFrame, sent) -> DataFrame:
 
 
 #: Symbols of a sequence that are taken one after the other; longer sequences have several such pieces side by side.
-PIECE = 512
+PIECE = 1024
 
 
 class Lanes:
@@ -380,18 +381,21 @@ def _seqs(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]
         yield first, own
 
 
-#: Shares of the training texts that the first rounds go over, and the rounds of each: texts of ``level`` l and more are
-#: one in 4 ** l of all.
-SHARES = ((3, 12), (2, 4), (1, 3))
+#: Parts of the first pass, how often it takes one in all, and the expected tokens that a part must have.
+BLOCKS, LEAST = 16, 100_000
+#: For callers in a hurry, in place of the first pass: rounds over shares, (level, times) each, of the texts of this level
+#: and more, one in 4 ** level of all. None here: they leave the choice among starts to a part of the texts.
+SHARES: tuple[tuple[int, int], ...] = ()
 #: Expected tokens that a share must have.
 FLOOR = 200_000
 
 
-def with_level(rows: DataFrame) -> DataFrame:
-    """``rows`` with the level of each, by a hash of id and sequence: 3 for one in 64, 2 and more for one in 16, 1 and
-    more for one in 4."""
-    h = F.pmod(F.xxhash64("doc_id", "seq"), F.lit(64))
-    return rows.withColumn("level", F.when(h < 1, 3).when(h < 4, 2).when(h < 16, 1).otherwise(0))
+def with_parts(rows: DataFrame) -> DataFrame:
+    """``rows`` with the block of each, 0 to ``BLOCKS`` - 1, and its level (3 for one in 64, 2 and more for one in 16, 1 and
+    more for one in 4), by a hash of id and sequence."""
+    hashed = F.xxhash64("doc_id", "seq")
+    h = F.pmod(hashed, F.lit(64))
+    return rows.withColumns({"level": F.when(h < 1, 3).when(h < 4, 2).when(h < 16, 1).otherwise(0), "block": F.pmod(F.shiftright(hashed, 6), F.lit(BLOCKS)).cast("int")})
 
 
 def first_models(prior: np.ndarray, states: int, starts: int) -> list[Model]:
@@ -405,17 +409,19 @@ def first_models(prior: np.ndarray, states: int, starts: int) -> list[Model]:
 
 
 def trained(rows: DataFrame, tables: Tables, states: int, starts: int, rounds: int, weight: float, gain: float) -> Model:
-    """Baum-Welch over shares of ``rows`` (seq, level) that grow, at last over all."""
+    """Baum-Welch over all of ``rows`` (seq, level, block): a first pass for each start, rounds for the likeliest."""
     models = first_models(tables.prior, states, starts)
-    for level, times in SHARES if tables.total else ():
+    if not tables.total:
+        return models[0]
+    for level, times in SHARES:
         while level and tables.total < FLOOR * 4**level:
             level -= 1
         for _ in range(times):
             made = _round(rows.where(F.col("level") >= level), models, tables.prior, weight)
             models = [m for m, _ in made]
         models = [max(made, key=lambda x: x[1])[0]]
-    model, last = models[0], -np.inf
-    for _ in range(rounds if tables.total else 0):
+    model, last = models[0] if SHARES else first_pass(rows, models, tables, weight), -np.inf
+    for _ in range(rounds):
         [(model, now)] = _round(rows, [model], tables.prior, weight)
         if now - last < gain:
             break
@@ -423,17 +429,43 @@ def trained(rows: DataFrame, tables: Tables, states: int, starts: int, rounds: i
     return model
 
 
+def first_pass(rows: DataFrame, models: list[Model], tables: Tables, weight: float) -> Model:
+    """Every model over all ``rows`` (seq, block), part by part: after each, the next one comes of the newest counts of all
+    parts so far. The one under which the texts were likeliest when they were last taken."""
+    parts = BLOCKS
+    while parts > 1 and tables.total < LEAST * parts:
+        parts //= 2
+    sums: dict[int, np.ndarray] = {}
+    for i in range(BLOCKS):
+        sums[i % parts] = _sums(rows.where(F.col("block") % parts == i % parts), models)
+        total = sum(sums.values())
+        models = [model_of(t, tables.prior, weight) for t in total]
+    return models[int(np.argmax(total[:, -1, 0]))]
+
+
+def model_of(t: np.ndarray, prior: np.ndarray, weight: float) -> Model:
+    """The next model, of one model's rows of ``_sums``."""
+    n = len(prior)
+    return normalised(t[n], t[n + 1 : -1], t[:n], prior, weight)
+
+
 def _round(rows: DataFrame, models: list[Model], prior: np.ndarray, weight: float) -> list[tuple[Model, float]]:
     """One pass of Baum-Welch over all rows (seq), for each model: the next one, and the log10 likelihood of a token under
     the given one."""
-    k, n = len(models[0].start), len(prior)
-    size = n + 2 + k  # of one model's rows: emissions, starts, moves, likelihood
+    return [(model_of(t, prior, weight), t[-1, 0] / max(1.0, t[: len(prior)].sum())) for t in _sums(rows, models)]
+
+
+def _sums(rows: DataFrame, models: list[Model]) -> np.ndarray:
+    """Expected counts of all rows (seq) under each model: its rows are emissions, starts, moves and (in the first column)
+    the log10 likelihood."""
+    n, k = models[0].emit.shape
+    size = n + 2 + k
     sent = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(sent.value), size, k))
         for batch in batches:
-            for _, own in _seqs(batch.column(0), 400_000):
+            for _, own in _seqs(batch.column(0), 800_000):
                 for t, model in zip(total, sent.value, strict=True):
                     s, m, e, likelihood = model.expected_and_likelihood(own)
                     t[:n] += e
@@ -449,7 +481,7 @@ def _round(rows: DataFrame, models: list[Model], prior: np.ndarray, weight: floa
     sent.unpersist()
     total = np.zeros((len(models) * size, k))
     total[got["row"]] = got[[f"s{j}" for j in range(k)]].to_numpy()
-    return [(normalised(t[n], t[n + 1 : -1], t[:n], prior, weight), t[-1, 0] / max(1.0, t[:n].sum())) for t in total.reshape(len(models), size, k)]
+    return total.reshape(len(models), size, k)
 
 
 class Fitted:
@@ -469,7 +501,7 @@ def fit(
     counted = own.where("train").select("text").mapInArrow(_count, "h long, c long")
     counts = saved(counted.groupBy("h").agg(F.sum("c").alias("c")), "token-counts")
     tables, least = tables_of(counts, emit, known)
-    rows = saved(with_level(_classes(own, docs.sparkSession.sparkContext.broadcast(tables))), "class-sequences", by="level")
+    rows = saved(with_parts(_classes(own, docs.sparkSession.sparkContext.broadcast(tables))), "class-sequences", by="block")
     model = trained(rows.where("train"), tables, states, starts, rounds, weight, gain)
     return Fitted(model, tables, rows, counts, least)
 

@@ -175,3 +175,34 @@ def test_one_empty_table(spark, docs_of, tmp_path):
     docs_of(["x"], extra=False).where("doc_id < 0").write.parquet(f"{tmp_path}/documents.parquet")
     assert op8_hidden_markov(spark, str(tmp_path)).count() == 0
     assert normalised(np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2)), np.full(3, 1 / 3), 1.0).emit.shape == (3, 2)
+
+
+@pytest.mark.parametrize("least, parts", [(1, 16), (1000, 4), (1 << 30, 1)])
+def test_every_start_learns_from_every_text(spark, docs_of, monkeypatch, least, parts):
+    """The first pass takes each text as often as any other, for all starts; each model comes of the counts of all parts."""
+    docs = docs_of([f"a b{i} c" for i in range(1000)] + ["v " * 900])
+    seen, plain = [], hidden_markov._sums
+
+    def noted(rows, models):
+        seen.append((len(models), sorted(r["doc_id"] for r in rows.select("doc_id").collect())))
+        return plain(rows, models)
+
+    monkeypatch.setattr(hidden_markov, "_sums", noted)
+    monkeypatch.setattr(hidden_markov, "LEAST", least)
+    fitted = fit(docs, F.col("doc_id") > 1, states=2, emit=64, rounds=2, gain=-math.inf)
+    assert [m for m, _ in seen] == [4] * 16 + [1] * 2
+    for i in range(0, 16, parts):
+        assert sorted(d for _, own in seen[i : i + parts] for d in own) == seen[16][1] == seen[17][1] == list(range(2, 1002))
+    assert np.allclose(fitted.model.emit.sum(0), 1)
+
+
+def test_the_first_pass_of_one_part_is_rounds_on_all_sequences(spark, docs_of):
+    docs = docs_of(["a b c", "b", None, "c c a", "x " * 1500] * 4)
+    fitted = fit(docs, F.lit(True), states=3, emit=4, rounds=0)
+    seqs = [np.frombuffer(bytes(r["seq"]), "<u2") for r in fitted.rows.collect()]
+    models = hidden_markov.first_models(fitted.tables.prior, 3, 4)
+    for _ in range(16):
+        told = [m.log10_likelihood(seqs).sum() for m in models]
+        models = [normalised(*m.expected(seqs), fitted.tables.prior, 0.02) for m in models]
+    best = models[int(np.argmax(told))]
+    assert np.allclose(fitted.model.emit, best.emit, rtol=1e-2, atol=1e-4) and np.allclose(fitted.model.move, best.move, rtol=1e-2, atol=1e-4)
