@@ -5,7 +5,7 @@ of a mailbox (``mboxExtensions``: messages one after another, each behind a line
 follows an empty line; ``>From`` at a line's begin has one ``>`` taken away). The driver lists paths and sizes; partitions
 are cut so that each has about ``partitionBytes``: small files are packed in order of their paths, mailboxes are cut at
 fixed offsets, and the messages that begin between two offsets belong to one partition. A task holds one message and
-a batch of at most 8 MB.
+a batch of at most 8 MB and 1000 messages.
 
 A file that can't be read (or a message too long for a value, 2 GB) is a row with ``read_error`` and no ``raw``; the
 job goes on. Paths are opened by pyarrow, so any store that it knows by URI will do.
@@ -29,8 +29,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, start long, size_bytes long, raw binary, read_error string"
 _ARROW = pa.schema([("path", pa.string()), ("start", pa.int64()), ("size_bytes", pa.int64()), ("raw", pa.binary()), ("read_error", pa.string())])
-#: What opening a file costs, in bytes read; what a batch holds; what a value can hold.
-OPEN_COST, BATCH, LONGEST = 4096, 8 << 20, (1 << 31) - 1
+#: What opening a file costs, in bytes read; what a batch holds, in bytes and rows; what a value can hold.
+OPEN_COST, BATCH, BATCH_ROWS, LONGEST = 4096, 8 << 20, 1000, (1 << 31) - 1
 _BLOCK = 1 << 20
 _BORDER = re.compile(rb"\n\r?\nFrom ")
 _QUOTED = re.compile(rb"(?m)^>(>*From )")
@@ -177,7 +177,7 @@ class MailReader(DataSourceReader):
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for row in self._rows(partition.value):
-            if rows and held + (row[2] or 0) > BATCH:
+            if len(rows) == BATCH_ROWS or (rows and held + (row[2] or 0) > BATCH):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
                 rows, held = [], 0
             rows.append(row)

@@ -81,3 +81,12 @@ def test_no_files(spark, tmp_path):
     assert read_messages(spark, str(tmp_path)).count() == 0
     with pytest.raises(Exception, match="FileNotFound"):
         read_messages(spark, f"{tmp_path}/gone").count()
+
+
+def test_batches_of_small_messages_are_bounded(tmp_path):
+    """Tiny messages weigh more as Python objects than as bytes, so a batch is bounded by rows as well."""
+    (tmp_path / "tiny.mbox").write_bytes(b"".join(b"From a@b x\nA: %d\n\n" % i for i in range(5000)))
+    reader = M.MailReader({"path": str(tmp_path)})
+    [part] = reader.partitions()
+    own = [b.num_rows for b in reader.read(part)]
+    assert sum(own) == 5000 and max(own) <= M.BATCH_ROWS
